@@ -58,8 +58,7 @@ def confusion_matrix(scored: DataFrame, label_col: str = "label", pred_col: str
         classes = sorted(r[0] for r in vals if r[0] is not None)
     totals = counts.groupBy(*by, label_col).agg(F.sum("n").alias("_total"))
     ltype = scored.schema[label_col].dataType
-    grid = totals.withColumn(pred_col, F.explode(F.array(*[F.lit(c) for c in classes]))
-                                         .cast(ltype))
+    grid = totals.withColumn(pred_col, F.explode(F.array(*[F.lit(c).cast(ltype) for c in classes])))
     counts = counts.withColumn(pred_col, F.col(pred_col).cast(ltype))
     out = (grid.join(counts, [*by, label_col, pred_col], "left")
                .withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
