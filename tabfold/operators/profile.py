@@ -7,12 +7,13 @@ pass per column. Quartiles are *exact* with linear interpolation (as
 pandas and ``quantile_cont``), without ever holding a whole feature in one
 task:
 
-1. one pass computes, per feature, the count and an approximate quantile
-   grid (``percentile_approx``, a mergeable bounded sketch);
-2. each target rank ``k`` is bracketed between two grid values whose ranks
-   provably enclose it (the sketch's rank error is at most n/accuracy);
-   brackets that still hold too many rows are refined with a new grid over
-   the bracket rows only;
+1. the moment pass also counts the values per feature; a feature with few
+   enough values (``max_candidates``) skips to step 3 with no bracket;
+2. otherwise an approximate quantile grid (``percentile_approx``, a
+   mergeable bounded sketch) brackets each target rank ``k`` between two
+   grid values whose ranks enclose it (the sketch's rank error is at most
+   n/accuracy); a counting pass verifies the bracket, and brackets that still
+   hold too many rows are refined with a new grid over their rows only;
 3. the bracket rows are pre-aggregated to ``(value, count)`` and an exact
    running count over those few distinct values yields the order statistics.
 
@@ -92,92 +93,104 @@ def _bracket(grid: list[float], lo_rank: float, hi_rank: float, m: int, accuracy
 
 
 def exact_quantiles(long: DataFrame, probs: Sequence[float] = (0.25, 0.5, 0.75),
-                    accuracy: int = 10000, max_candidates: int = 200_000,
-                    max_rounds: int = 8, first_pass: DataFrame | None = None) -> DataFrame:
+                    accuracy: int = 10000, max_candidates: int = 1_000_000,
+                    max_rounds: int = 8, counts: DataFrame | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles ``(feature, q, quantile)`` over
     ``long`` = ``(feature, value)``; ``q`` indexes ``probs``.
 
-    ``first_pass`` may carry ``(feature, n, grid)`` already computed with the
-    moments (see ``feature_profile``) to save one scan.
+    A feature with at most ``max_candidates`` values goes straight to the
+    exact step (its window then holds at most that many distinct values).
+    Larger features are bracketed with the sketch grid first. ``counts`` may
+    carry ``(feature, n)`` computed with the moments, saving one scan.
     """
     spark = long.sparkSession
     probs = list(probs)
-    if first_pass is None:
-        first_pass = long.groupBy("feature").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx("value", _grid_probs(), accuracy).alias("grid"))
-    # targets per (feature, q): ranks k0 <= k1 (0-based) and the weight
+    if counts is None:
+        counts = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     targets = {}
-    for r in first_pass.collect():
+    for r in counts.collect():
         n = int(r["n"])
         if n == 0:
             continue
         for q, p in enumerate(probs):
             h = (n - 1) * p
             k0 = math.floor(h)
-            k1 = min(k0 + 1, n - 1)
-            targets[(r["feature"], q)] = dict(n=n, k0=k0, k1=k1, frac=h - k0, lo=None, hi=None,
-                                              below=0, m=n, grid=list(r["grid"] or []),
+            targets[(r["feature"], q)] = dict(n=n, k0=k0, k1=min(k0 + 1, n - 1), frac=h - k0,
+                                              lo=None, hi=None, below=0, m=n,
                                               done=n <= max_candidates)
-    # narrow brackets from the full-range grid, then refine while needed
-    for t in targets.values():
-        if not t["done"]:
-            t["lo"], t["hi"] = _bracket(t["grid"], t["k0"], t["k1"], t["m"], accuracy, None, None)
     state_schema = T.StructType([
         T.StructField("feature", T.StringType()), T.StructField("q", T.IntegerType()),
         T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
 
-    def state_df(items):
-        rows = [(f, q, t["lo"], t["hi"]) for (f, q), t in items]
-        return broadcast_if_small(spark.createDataFrame(rows, state_schema))
-
     def in_bracket():
         return ((F.col("lo").isNull() | (F.col("value") >= F.col("lo")))
                 & (F.col("hi").isNull() | (F.col("value") <= F.col("hi"))))
 
+    def with_state(items):
+        rows = [(f, q, t["lo"], t["hi"]) for (f, q), t in items]
+        return long.join(broadcast_if_small(spark.createDataFrame(rows, state_schema)), "feature")
+
+    def refine(items):
+        """Sketch grid over each target's current bracket -> narrower bracket."""
+        grids = (with_state(items).groupBy("feature", "q")
+                 .agg(F.percentile_approx(F.when(in_bracket(), F.col("value")), _grid_probs(),
+                                          accuracy).alias("grid")).collect())
+        moved = False
+        for r in grids:
+            t = targets[(r["feature"], r["q"])]
+            lo, hi = _bracket(list(r["grid"] or []), t["k0"] - t["below"], t["k1"] - t["below"],
+                              t["m"], accuracy, t["lo"], t["hi"])
+            if lo is not None and t["lo"] is not None and lo < t["lo"]:
+                lo = t["lo"]
+            if hi is not None and t["hi"] is not None and hi > t["hi"]:
+                hi = t["hi"]
+            moved |= (lo, hi) != (t["lo"], t["hi"])
+            t["lo"], t["hi"] = lo, hi
+        return moved
+
     for _ in range(max_rounds):
-        pending = [(key, t) for key, t in targets.items() if t["lo"] is not None or t["hi"] is not None]
-        if not pending:
+        pending = [(key, t) for key, t in targets.items() if not t["done"]]
+        if not pending or not refine(pending):
             break
-        joined = long.join(state_df(pending), "feature")
-        stats = joined.groupBy("feature", "q").agg(
+        # verify each bracket encloses both ranks and measure its size
+        stats = with_state(pending).groupBy("feature", "q").agg(
             F.sum((F.col("lo").isNotNull() & (F.col("value") < F.col("lo"))).cast("long")).alias("below"),
-            F.sum(in_bracket().cast("long")).alias("m"),
-            F.percentile_approx(F.when(in_bracket(), F.col("value")), _grid_probs(),
-                                accuracy).alias("grid")).collect()
-        progressed = False
+            F.sum(in_bracket().cast("long")).alias("m")).collect()
         for r in stats:
             t = targets[(r["feature"], r["q"])]
             below, m = int(r["below"] or 0), int(r["m"] or 0)
             if not (below <= t["k0"] and t["k1"] < below + m):
-                # rank check failed: widen to the full range (exact, costlier)
+                # rank check failed: full range (exact, costlier)
                 t.update(lo=None, hi=None, below=0, m=t["n"], done=True)
                 continue
-            t.update(below=below, m=m)
-            if m <= max_candidates or t["lo"] == t["hi"]:
-                t["done"] = True
-                continue
-            lo, hi = _bracket(list(r["grid"] or []), t["k0"] - below, t["k1"] - below, m,
-                              accuracy, t["lo"], t["hi"])
-            if (lo, hi) != (t["lo"], t["hi"]):
-                progressed = True
-            t["lo"], t["hi"] = lo, hi
-        if all(t["done"] for t in targets.values()) or not progressed:
-            break
-    # exact order statistics over the (few) distinct values of each bracket
-    state_rows = [(f, q, t["lo"], t["hi"], t["below"], t["k0"], t["k1"], t["frac"])
-                  for (f, q), t in targets.items()]
-    full = spark.createDataFrame(state_rows, T.StructType(state_schema.fields + [
-        T.StructField("below", T.LongType()), T.StructField("k0", T.LongType()),
-        T.StructField("k1", T.LongType()), T.StructField("frac", T.DoubleType())]))
-    cand = (long.join(broadcast_if_small(full), "feature").filter(in_bracket())
-                .groupBy("feature", "q", "value").agg(F.count(F.lit(1)).alias("c")))
-    params = full.select("feature", "q", "below", "k0", "k1", "frac")
-    w = (Window.partitionBy("feature", "q").orderBy("value")
+            t.update(below=below, m=m, done=m <= max_candidates or t["lo"] == t["hi"])
+    # exact order statistics over the (few) distinct values of each bracket;
+    # targets sharing a bracket (e.g. all quartiles of a small feature) are
+    # one row, so each value is ranked once per bracket, not once per target
+    nq = len(probs)
+    groups: dict = {}
+    for (f, q), t in targets.items():
+        groups.setdefault((f, t["lo"], t["hi"], t["below"]), {})[q] = t
+    fields = [T.StructField("feature", T.StringType()), T.StructField("bid", T.IntegerType()),
+              T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
+              T.StructField("below", T.LongType())]
+    for i in range(nq):
+        fields += [T.StructField(f"k0_{i}", T.LongType()), T.StructField(f"k1_{i}", T.LongType()),
+                   T.StructField(f"frac_{i}", T.DoubleType())]
+    rows = []
+    for bid, ((f, lo, hi, below), qs) in enumerate(groups.items()):
+        row = [f, bid, lo, hi, below]
+        for i in range(nq):
+            t = qs.get(i)
+            row += [t["k0"], t["k1"], t["frac"]] if t else [None, None, None]
+        rows.append(tuple(row))
+    br = broadcast_if_small(spark.createDataFrame(rows, T.StructType(fields)))
+    cand = (long.join(br.select("feature", "bid", "lo", "hi"), "feature").filter(in_bracket())
+                .groupBy("feature", "bid", "value").agg(F.count(F.lit(1)).alias("c")))
+    w = (Window.partitionBy("feature", "bid").orderBy("value")
          .rowsBetween(Window.unboundedPreceding, 0))
     ranked = (cand.withColumn("_end", F.sum("c").over(w))
-                  .join(F.broadcast(params) if len(state_rows) <= 1_000_000 else params,
-                        ["feature", "q"])
+                  .join(br.drop("lo", "hi"), ["feature", "bid"])
                   .withColumn("_start", F.col("below") + F.col("_end") - F.col("c"))
                   .withColumn("_end", F.col("below") + F.col("_end")))
 
@@ -185,36 +198,53 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float] = (0.25, 0.5, 0.75),
         return F.max(F.when((F.col("_start") <= F.col(k)) & (F.col(k) < F.col("_end")),
                             F.col("value")))
 
-    return (ranked.groupBy("feature", "q")
-                  .agg(at("k0").alias("v0"), at("k1").alias("v1"), F.first("frac").alias("frac"))
-                  .select("feature", "q",
-                          (F.col("v0") + F.col("frac") * (F.col("v1") - F.col("v0"))).alias("quantile")))
+    aggs = []
+    for i in range(nq):
+        aggs += [at(f"k0_{i}").alias(f"v0_{i}"), at(f"k1_{i}").alias(f"v1_{i}"),
+                 F.first(f"frac_{i}").alias(f"frac_{i}")]
+    per_bracket = ranked.groupBy("feature", "bid").agg(*aggs)
+    items = F.array(*[F.struct(F.lit(i).alias("q"), F.col(f"frac_{i}").alias("frac"),
+                               (F.col(f"v0_{i}") + F.col(f"frac_{i}")
+                                * (F.col(f"v1_{i}") - F.col(f"v0_{i}"))).alias("quantile"))
+                      for i in range(nq)])
+    return (per_bracket.select("feature", F.explode(items).alias("t"))
+                       .filter(F.col("t.frac").isNotNull())
+                       .select("feature", "t.q", "t.quantile"))
 
 
 def feature_profile(long: DataFrame, probs: Sequence[float] = (0.25, 0.5, 0.75),
-                    approx: bool = False, accuracy: int = 10000) -> DataFrame:
+                    approx: bool = False, accuracy: int = 10000, rows_bound: int | None = None,
+                    max_candidates: int = 1_000_000) -> DataFrame:
     """A3: per feature ``count, mean, std (n-1), min, p25, p50, p75, max``,
-    sorted by std ascending. ``approx=True`` returns the sketch quartiles
-    (one pass) instead of exact ones."""
+    sorted by std ascending.
+
+    Exact quartiles by default. When the caller knows no feature has more
+    than ``max_candidates`` values (``rows_bound``, e.g. the row count of the
+    wide table from parquet metadata), Spark's exact ``percentile`` runs in
+    the same single pass - its per-group state is bounded by that count.
+    Otherwise the bracketed path of ``exact_quantiles`` is used.
+    ``approx=True`` returns the sketch quartiles (one pass) instead.
+    """
     names = [f"p{int(round(p * 100))}" for p in probs]
-    first = long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.percentile_approx("value", list(probs) if approx else _grid_probs(),
-                            accuracy).alias("grid"))
-    first = first.persist()
-    if approx:
+    moments = [F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
+               F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+               F.max("value").alias("max")]
+    one_pass = approx or (rows_bound is not None and rows_bound <= max_candidates)
+    if one_pass:
+        q = (F.percentile_approx("value", list(probs), accuracy) if approx
+             else F.percentile("value", F.array(*[F.lit(float(p)) for p in probs])))
+        first = long.groupBy("feature").agg(*moments, q.alias("grid"))
         out = first.select("feature", "count", "mean", "std", "min",
                            *[F.col("grid")[i].alias(nm) for i, nm in enumerate(names)], "max")
     else:
-        qs = exact_quantiles(long, probs, accuracy,
-                             first_pass=first.select("feature", F.col("count").alias("n"), "grid"))
+        first = long.groupBy("feature").agg(*moments).persist()
+        qs = exact_quantiles(long, probs, accuracy, max_candidates,
+                             counts=first.select("feature", F.col("count").alias("n")))
         wide = (qs.groupBy("feature")
                   .pivot("q", list(range(len(probs))))
                   .agg(F.first("quantile")))
         wide = wide.select("feature", *[F.col(str(i)).alias(nm) for i, nm in enumerate(names)])
-        out = (first.drop("grid").join(wide, "feature", "left")
+        out = (first.join(wide, "feature", "left")
                     .select("feature", "count", "mean", "std", "min", *names, "max"))
     return out.orderBy(F.col("std").asc_nulls_first(), "feature")
 

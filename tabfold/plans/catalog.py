@@ -44,8 +44,8 @@ PROFILE_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quant
                 "l_extendedprice", "l_discount", "l_tax")
 
 
-def _t(spark, d, name, spread=False):
-    return read_table(spark, d, name, spread=spread)
+def _t(spark, d, name, spread=False, keys=None):
+    return read_table(spark, d, name, spread=spread, keys=keys)
 
 
 def _sql_split(keys, seed, frac: float = 0.7) -> str:
@@ -62,7 +62,7 @@ def _r(c, digits=DIGITS):
 # ------------------------------------------------------------ planted models
 
 def _planted_prep(spark, d, rule, seed=SEED):
-    li = _t(spark, d, "lineitem", spread=True)
+    li = _t(spark, d, "lineitem", spread=True, keys=LI_KEYS)
     df = li.withColumn("label", F.expr(rule))
     return ex.prepare(df, LI_FEATURES, "label", LI_KEYS, seed=seed)
 
@@ -132,7 +132,7 @@ SWEEP = ex.SWEEP_SEEDS
 
 
 def _sweep(spark, d):
-    li = _t(spark, d, "lineitem", spread=True).withColumn("label", F.expr(RULE_TREE))
+    li = _t(spark, d, "lineitem", spread=True, keys=LI_KEYS).withColumn("label", F.expr(RULE_TREE))
     return ex.seed_sweep(li, LI_FEATURES, "label", LI_KEYS, "tree", SWEEP, parallelism=2)
 
 
@@ -528,8 +528,9 @@ def _rounded_profile(p):
 
 
 def q_feature_profile(spark, d):
-    li = _t(spark, d, "lineitem")
-    return _rounded_profile(profile.feature_profile(profile.long_format(li, PROFILE_COLS)))
+    li = _t(spark, d, "lineitem", spread=True, keys=LI_KEYS)
+    long = profile.long_format(li, PROFILE_COLS)
+    return _rounded_profile(profile.feature_profile(long, rows_bound=li.count()))
 
 
 def _sql_profile(long_sql, where=""):
@@ -546,7 +547,8 @@ SQL_FEATURE_PROFILE = _sql_profile(" UNION ALL ".join(
 
 def q_embedding_profile(spark, d):
     e = _t(spark, d, "embeddings")
-    return _rounded_profile(profile.feature_profile(profile.array_long_format(e, "embedding")))
+    long = profile.array_long_format(e, "embedding")
+    return _rounded_profile(profile.feature_profile(long, rows_bound=e.count()))
 
 
 SQL_EMBEDDING_PROFILE = _sql_profile(
