@@ -33,10 +33,12 @@ def balanced_accuracy(scored: DataFrame, label_col: str = "indexedLabel",
     """Unweighted mean of per-class recall (not Spark's weightedRecall)."""
     hit = _hit(label_col, pred_col)
     recall = (scored.groupBy(*by, label_col)
-                    .agg((F.sum(hit) / F.count(F.lit(1))).alias("_recall")))
+                    .agg((F.sum(hit) / F.count(F.lit(1))).alias("_recall"),
+                         F.count(F.lit(1)).alias("_n")))
     return (recall.groupBy(*by)
                   .agg(F.avg("_recall").alias("balanced_accuracy"),
-                       F.count(F.lit(1)).alias("n_classes")))
+                       F.count(F.lit(1)).alias("n_classes"),
+                       F.sum("_n").alias("n_rows")))
 
 
 def confusion_matrix(scored: DataFrame, label_col: str = "label", pred_col: str = "prediction",
@@ -48,7 +50,9 @@ def confusion_matrix(scored: DataFrame, label_col: str = "label", pred_col: str
     if not given. Aggregation happens first; the zero fill explodes the class
     list against the aggregated true-class rows only.
     """
-    counts = scored.groupBy(*by, label_col, pred_col).agg(F.count(F.lit(1)).alias("n"))
+    # one pass over the scored rows; everything below works on this small
+    # aggregate (classes^2 x groups rows)
+    counts = scored.groupBy(*by, label_col, pred_col).agg(F.count(F.lit(1)).alias("n")).persist()
     if classes is None:
         vals = (counts.select(F.col(label_col).alias("c"))
                       .union(counts.select(F.col(pred_col).cast(scored.schema[label_col].dataType)))

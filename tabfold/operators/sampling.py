@@ -58,7 +58,7 @@ def _hex_digits(n_rows: int, rows_per_bucket: int) -> int:
 
 def stratified_folds(df: DataFrame, keys: Sequence[str], label_col: str, n_folds: int = 10,
                      n_repeats: int = 3, seed=1, rows_per_bucket: int = 1 << 20,
-                     keep: Sequence[str] = ()) -> DataFrame:
+                     keep: Sequence[str] = (), repeat_ids: Sequence[int] | None = None) -> DataFrame:
     """K3: repeated stratified k-fold, one output row per (row, repeat).
 
     Inside each class, rows are ranked by ``md5(key:seed:repeat)`` (key as the
@@ -71,12 +71,15 @@ def stratified_folds(df: DataFrame, keys: Sequence[str], label_col: str, n_folds
     ``prefix`` is the leading hex digits of the hash: prefix groups are
     uniform in size (about ``rows_per_bucket``), and the offset table has one
     row per (class, repeat, prefix), small and size-checked before broadcast.
+    ``repeat_ids`` computes only the given repeats (same folds as in the full
+    run), e.g. one at a time.
     """
     n_rows = df.count()
     digits = _hex_digits(n_rows, rows_per_bucket)
     cols = list(dict.fromkeys([*keys, label_col, *keep]))
+    ids = list(repeat_ids) if repeat_ids is not None else list(range(n_repeats))
     reps = (df.select(*cols)
-              .withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
+              .withColumn("repeat", F.explode(F.array(*[F.lit(int(i)) for i in ids])))
               .withColumn("_h", hash_hex(keys, seed, F.col("repeat")))
               .withColumn("_b", F.substring("_h", 1, digits)))
     counts = reps.groupBy(label_col, "repeat", "_b").agg(F.count(F.lit(1)).alias("_n"))

@@ -11,14 +11,27 @@ from tabfold.functions.exprs import binary_label
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
-# Rows a side may hold to be broadcast. Checked by counting the side, so a
+# Bytes a side may hold to be broadcast. Checked by counting the side's rows
+# (at most max_rows + 1 are read) times an estimate of its row width, so a
 # side that grows with the data is shuffled instead of shipped to every task.
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
+_WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "bigint": 8,
+          "float": 4, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only for a side proven small by a count; else leave it
-    to the planner (sort-merge join, or AQE's runtime conversion)."""
+def row_bytes(schema) -> int:
+    """Rough in-memory width of a row (strings 32 bytes, nested 128)."""
+    total = 16
+    for f in schema.fields:
+        t = f.dataType.simpleString()
+        total += _WIDTH.get(t, 32 if t == "string" else 128)
+    return total
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only for a side proven small; else leave it to the
+    planner (sort-merge join, or AQE's runtime conversion)."""
+    max_rows = max(1, max_bytes // row_bytes(df.schema))
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
@@ -73,13 +86,17 @@ def preview(df: DataFrame, cols: Sequence[str] | None = None, n: int = 5) -> Dat
 
 
 def join_labels(features: DataFrame, labels: DataFrame, key: str = "track_id",
-                how: str = "inner", broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                how: str = "inner", broadcast_max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Using-join of a feature table with a key -> category table.
 
     The label side is broadcast only when a count proves it small; a large
     label table is joined by shuffle on the key (AQE splits skewed keys).
+    A left join keeps the features as the preserved side, so only the label
+    side may be broadcast in either case.
     """
-    return features.join(broadcast_if_small(labels, broadcast_max_rows), [key], how)
+    if how not in ("inner", "left", "left_outer", "leftouter", "left_semi", "left_anti"):
+        return features.join(labels, [key], how)
+    return features.join(broadcast_if_small(labels, broadcast_max_bytes), [key], how)
 
 
 def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:

@@ -432,8 +432,10 @@ def q_balanced_accuracy(spark, d):
         "balanced_accuracy", _r("balanced_accuracy"))
 
 
-SQL_BALANCED_ACCURACY = (f"SELECT split, round(avg(recall), {DIGITS}) AS balanced_accuracy, count(*) AS n_classes FROM ("
-                         f"SELECT split, label, sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) / count(*) AS recall "
+SQL_BALANCED_ACCURACY = (f"SELECT split, round(avg(recall), {DIGITS}) AS balanced_accuracy, count(*) AS n_classes, "
+                         f"CAST(sum(n) AS BIGINT) AS n_rows FROM ("
+                         f"SELECT split, label, sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) / count(*) AS recall, "
+                         f"count(*) AS n "
                          f"FROM ({_SQL_RULE}) t GROUP BY split, label) r GROUP BY split")
 
 

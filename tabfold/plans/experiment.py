@@ -202,25 +202,26 @@ def cross_validate(prep: Prepared, learner: str = "tree", n_folds: int = 10, n_r
     """
     train = prep.data.filter(F.col("split") == "train")
     label_idx = prep.label_model.transform(train)
-    folds = sampling.stratified_folds(label_idx, list(keys), prep.label_col, n_folds,
-                                      n_repeats, seed, keep=["features", "indexedLabel"])
-    folds = folds.persist(StorageLevel.MEMORY_AND_DISK)
     spark = train.sparkSession
-
-    def one(rf):
-        r, f = rf
-        rep = folds.filter(F.col("repeat") == r)
-        fit_rows = rep.filter(F.col("fold") != f)
-        held = rep.filter(F.col("fold") == f)
-        model = models.fit([prep.category_model, learner_for(learner, **params)], fit_rows)
-        scored = models.predict(model, held)
-        row = evaluate.balanced_accuracy(scored, by=()).first()
-        return (int(r), int(f), int(held.count()), float(row["balanced_accuracy"]))
-
-    tasks = [(r, f) for r in range(n_repeats) for f in range(n_folds)]
-    with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        rows = list(pool.map(one, tasks))
-    folds.unpersist()
+    rows = []
+    # one repeat cached at a time: peak cache is the train rows, not repeats x rows
+    for r in range(n_repeats):
+        folds = sampling.stratified_folds(label_idx, list(keys), prep.label_col, n_folds,
+                                          1, seed, keep=["features", "indexedLabel"],
+                                          repeat_ids=[r])
+        folds = folds.persist(StorageLevel.MEMORY_AND_DISK)
+
+        def one(f, folds=folds, r=r):
+            fit_rows = folds.filter(F.col("fold") != f)
+            held = folds.filter(F.col("fold") == f)
+            model = models.fit([prep.category_model, learner_for(learner, **params)], fit_rows)
+            scored = models.predict(model, held)
+            row = evaluate.balanced_accuracy(scored, by=()).first()
+            return (int(r), int(f), int(row["n_rows"]), float(row["balanced_accuracy"]))
+
+        with ThreadPoolExecutor(max(1, parallelism)) as pool:
+            rows += list(pool.map(one, range(n_folds)))
+        folds.unpersist()
     schema = T.StructType([T.StructField("repeat", T.IntegerType()),
                            T.StructField("fold", T.IntegerType()),
                            T.StructField("n_rows", T.LongType()),
