@@ -88,6 +88,19 @@ def seed_summary(results: DataFrame, value_col: str = "value",
 
 
 def running_total(df: DataFrame, value_col: str, order_col: str, out: str) -> DataFrame:
-    """W1 helper: cumulative sum over a small, ordered table."""
+    """Cumulative sum over a small ordered table (one row per component
+    or feature - the window has no partition key, so the table must be
+    bounded, never the data itself)."""
     w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, F.sum(value_col).over(w))
+
+
+def share_and_running_total(scores: DataFrame, value_col: str, name_col: str) -> DataFrame:
+    """W1 over a score table: ``rank`` (largest first, name breaks ties),
+    ``share`` of the total and the running ``cumulative`` share - the table
+    behind a cumulative explained-variance (area / scree) plot."""
+    order = [F.col(value_col).desc(), F.col(name_col).asc()]
+    total = F.sum(value_col).over(Window.partitionBy())
+    run = F.sum(value_col).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return scores.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), name_col,
+                         (F.col(value_col) / total).alias("share"), (run / total).alias("cumulative"))

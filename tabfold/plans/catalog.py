@@ -200,15 +200,19 @@ def q_model_summary(spark, d):
 
 # ------------------------------------------------------------ splits, folds
 
+# split seeds of the jobs (1, 23, 42) and of the single-machine notebook (2342)
+SPLIT_SEEDS = (1, 23, 42, 2342)
+
+
 def q_hash_split(spark, d):
     o = _t(spark, d, "orders").select("o_orderkey")
-    o = o.withColumn("seed", F.explode(F.array(F.lit(1), F.lit(23), F.lit(42))))
+    o = o.withColumn("seed", F.explode(F.array(*[F.lit(x) for x in SPLIT_SEEDS])))
     return o.withColumn("split", sampling.split_column(["o_orderkey"], F.col("seed")))
 
 
 SQL_HASH_SPLIT = (f"SELECT o_orderkey, CAST(v.seed AS INTEGER) AS seed, "
                   f"{_sql_split(['o_orderkey'], 'v.seed')} AS split "
-                  f"FROM orders, (VALUES (1), (23), (42)) v(seed)")
+                  f"FROM orders, (VALUES {', '.join(f'({x})' for x in SPLIT_SEEDS)}) v(seed)")
 
 
 def q_random_split(spark, d):
@@ -597,6 +601,66 @@ def q_importance_family(spark, d):
     return top.unionByName(low)
 
 
+# ---------------------------------------- data-derived score tables
+
+def _emb_names():
+    return ["_".join(n) for n in fixtures.embedding_names(EMB_D)]
+
+
+def _variance_scores(spark, d):
+    """Per-slot sample variance of the embeddings as a score table
+    ``(feature, importance)``, slots named like the wide audio table."""
+    e = _t(spark, d, "embeddings")
+    long = profile.array_long_format(e, "embedding", names=_emb_names())
+    return long.groupBy("feature").agg(F.var_samp("value").alias("importance"))
+
+
+def q_top_variance(spark, d):
+    top = importance.top_k(_variance_scores(spark, d), 50)
+    return top.withColumn("importance", _r("importance"))
+
+
+def q_top_variance_family(spark, d):
+    scores = _variance_scores(spark, d)
+    top = importance.family_summary(importance.top_k(scores, 50)).withColumn("part", F.lit("top50"))
+    low = importance.family_summary(importance.top_k(scores, 50, descending=False)) \
+        .withColumn("part", F.lit("bottom50"))
+    out = top.unionByName(low)
+    return out.withColumn("total", _r("total")).withColumn("mean", _r("mean"))
+
+
+def q_variance_share(spark, d):
+    scores = _variance_scores(spark, d)
+    return (evaluate.share_and_running_total(scores, "importance", "feature")
+            .select("rank", "feature", _r("share").alias("share"), _r("cumulative").alias("cumulative")))
+
+
+_SQL_SCORES = ("WITH u AS (SELECT unnest(generate_series(0, len(embedding) - 1)) AS i, "
+               "unnest(embedding)::DOUBLE AS x FROM embeddings), "
+               "s AS (SELECT 'emb' || CAST(i // 16 AS VARCHAR) || '_' || "
+               "list_extract(['mean', 'std', 'min', 'max'], CAST((i // 4) % 4 + 1 AS INTEGER)) || '_' || "
+               "lpad(CAST(i % 4 + 1 AS VARCHAR), 2, '0') AS feature, var_samp(x) AS importance "
+               "FROM u WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY i) ")
+SQL_TOP_VARIANCE = (_SQL_SCORES + f"SELECT feature, round(importance, {DIGITS}) AS importance FROM s "
+                    f"ORDER BY importance DESC, feature LIMIT 50")
+
+
+def _sql_family(order):
+    return (f"SELECT split_part(feature, '_', 1) AS category, sum(importance) AS total, "
+            f"avg(importance) AS mean, count(*) AS n_features FROM "
+            f"(SELECT * FROM s ORDER BY importance {order}, feature LIMIT 50) t GROUP BY 1")
+
+
+SQL_TOP_VARIANCE_FAMILY = (_SQL_SCORES + f"SELECT category, round(total, {DIGITS}) AS total, "
+                           f"round(mean, {DIGITS}) AS mean, n_features, part FROM ("
+                           f"SELECT *, 'top50' AS part FROM ({_sql_family('DESC')}) UNION ALL "
+                           f"SELECT *, 'bottom50' AS part FROM ({_sql_family('ASC')}))")
+SQL_VARIANCE_SHARE = (_SQL_SCORES + f"SELECT CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank, "
+                      f"feature, round(importance / sum(importance) OVER (), {DIGITS}) AS share, "
+                      f"round(sum(importance) OVER (ORDER BY importance DESC, feature ROWS BETWEEN UNBOUNDED PRECEDING "
+                      f"AND CURRENT ROW) / sum(importance) OVER (), {DIGITS}) AS cumulative FROM s")
+
+
 # ------------------------------------------------------------ registry
 
 QUERIES = {
@@ -656,6 +720,9 @@ QUERIES = {
     # importance
     "importance_top": q_importance_top,
     "importance_family": q_importance_family,
+    "top_variance": q_top_variance,
+    "top_variance_family": q_top_variance_family,
+    "variance_share": q_variance_share,
 }
 
 ORACLES = {
@@ -700,4 +767,7 @@ ORACLES = {
     "embedding_profile": SQL_EMBEDDING_PROFILE,
     "low_spread": SQL_LOW_SPREAD,
     "family_profile": SQL_FAMILY_PROFILE,
+    "top_variance": SQL_TOP_VARIANCE,
+    "top_variance_family": SQL_TOP_VARIANCE_FAMILY,
+    "variance_share": SQL_VARIANCE_SHARE,
 }
