@@ -725,6 +725,38 @@ QUERIES = {
     "variance_share": q_variance_share,
 }
 
+def _plus_zero_rounds(sql: str) -> str:
+    """``round(x, d)`` -> ``(round(x, d) + 0.0)``: DuckDB keeps -0.0 after
+    rounding, Spark returns 0.0; adding +0.0 maps -0.0 to 0.0 (IEEE)."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, quote = 0, j + 5, None
+        while k < len(sql):
+            ch = sql[k]
+            if quote:
+                quote = None if ch == quote else quote
+            elif ch in "'\"":
+                quote = ch
+            elif ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _plus_zero_rounds(sql[j + 6:k])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0)")
+        i = k + 1
+
+
 ORACLES = {
     "tree_planted": _sql_planted(RULE_TREE),
     "logit_planted": _sql_planted(RULE_LINEAR),
@@ -771,3 +803,4 @@ ORACLES = {
     "top_variance_family": SQL_TOP_VARIANCE_FAMILY,
     "variance_share": SQL_VARIANCE_SHARE,
 }
+ORACLES = {k: _plus_zero_rounds(v) for k, v in ORACLES.items()}

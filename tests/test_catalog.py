@@ -20,7 +20,7 @@ def _norm(v):
     if v is None:
         return "NULL"
     if isinstance(v, float):
-        return "NaN" if math.isnan(v) else repr(round(v, 9) + 0.0)
+        return "NaN" if math.isnan(v) else repr(round(v, 9))
     if hasattr(v, "isoformat"):
         return v.isoformat()
     return str(v)
