@@ -1,9 +1,11 @@
 """End-to-end job: input table + seed -> report table.
 
-    spark-submit -m tabfold.plans.jobs <input> <output> <seed> --model tree
+    spark-submit -m tabfold.plans.jobs <input> <output> <seed> --model tree --csv
+    spark-submit -m tabfold.plans.jobs <input> <output> <seed> --model logistic --csv --binary
 
-``input`` is a parquet table (default) or a headerless CSV (``--csv`` with
-``--names``); the label is a column or a SQL expression. The report
+``input`` is a parquet table (default) or a headerless CSV (``--csv``; the 42
+connection columns unless ``--names``); the label is a column, a SQL
+expression, or ``--binary`` (normal vs. the rest). The report
 ``(ValueType, Value)`` - train accuracy, test accuracy, run time in minutes -
 is written with ``partitionBy(model, seed)`` so every run of a sweep lands in
 one table.
@@ -22,11 +24,28 @@ from tabfold.plans import experiment as ex
 from tabfold.sources import delimited, sinks
 from tabfold.sources.tables import ensure_parallelism
 
+# Column names of the headerless connection table the jobs
+# read (41 numeric features, then the class label), in file order.
+CONNECTION_FEATURES = (
+    "duration", "protocol_type", "service", "flag", "src_bytes", "dst_bytes", "land",
+    "wrong_fragment", "urgent", "hot", "num_failed_logins", "logged_in", "num_compromised",
+    "root_shell", "su_attempted", "num_root", "num_file_creations", "num_shells",
+    "num_access_files", "num_outbound_cmds", "is_host_login", "is_guest_login", "count",
+    "srv_count", "serror_rate", "srv_serror_rate", "rerror_rate", "srv_rerror_rate",
+    "same_srv_rate", "diff_srv_rate", "srv_diff_host_rate", "dst_host_count",
+    "dst_host_srv_count", "dst_host_same_srv_rate", "dst_host_diff_srv_rate",
+    "dst_host_same_src_port_rate", "dst_host_srv_diff_host_rate", "dst_host_serror_rate",
+    "dst_host_srv_serror_rate", "dst_host_rerror_rate", "dst_host_srv_rerror_rate",
+)
+CONNECTION_COLUMNS = CONNECTION_FEATURES + ("label",)
+# the binary job's positive class
+NORMAL = "normal"
+
 
 def run_job(spark: SparkSession, source: DataFrame | str, output: str | None, model: str = "tree",
             seed=23, feature_cols: Sequence[str] | None = None, label_col: str = "label",
             label_expr: str | None = None, keys: Sequence[str] | None = None,
-            max_categories: int = 4, mode: str = "errorifexists", **params) -> DataFrame:
+            max_categories: int = 4, mode: str = "overwrite_partitions", **params) -> DataFrame:
     t0 = time.time()
     df = spark.read.parquet(source) if isinstance(source, str) else source
     df = ensure_parallelism(df)
@@ -60,20 +79,29 @@ def main(argv=None):
     ap.add_argument("--label-expr", default=None)
     ap.add_argument("--features", default=None, help="comma-separated feature columns")
     ap.add_argument("--keys", default=None, help="comma-separated split key columns")
-    ap.add_argument("--csv", action="store_true", help="headerless CSV input")
+    ap.add_argument("--csv", action="store_true",
+                    help="headerless CSV input (default names: the 42 connection columns)")
     ap.add_argument("--names", default=None, help="comma-separated CSV column names")
+    ap.add_argument("--binary", action="store_true",
+                    help=f"label = 1 when the label text is '{NORMAL}', else 0")
     a = ap.parse_args(argv)
+    owned = SparkSession.getActiveSession() is None
     spark = SparkSession.builder.appName(f"tabfold-{a.model}").getOrCreate()
     feats = a.features.split(",") if a.features else None
+    label_expr = a.label_expr
     if a.csv:
-        names = a.names.split(",")
+        names = a.names.split(",") if a.names else list(CONNECTION_COLUMNS)
         types = ["string" if n == a.label else "double" for n in names]
         src = delimited.read_headerless(spark, a.input, names, types)
+        feats = feats or [n for n in names if n != a.label]
     else:
         src = a.input
-    run_job(spark, src, a.output, a.model, a.seed, feats, a.label, a.label_expr,
+    if a.binary:
+        label_expr = f"CAST(CASE WHEN `{a.label}` = '{NORMAL}' THEN 1 ELSE 0 END AS INTEGER)"
+    run_job(spark, src, a.output, a.model, a.seed, feats, a.label, label_expr,
             a.keys.split(",") if a.keys else None)
-    spark.stop()
+    if owned:
+        spark.stop()
 
 
 if __name__ == "__main__":

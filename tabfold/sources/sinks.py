@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 def write_report(df: DataFrame, path: str, partition_by: Sequence[str] = (),
                  mode: str = "errorifexists", header: bool = False) -> None:
     """A small report as one CSV file per partition value.
-    ``partition_by=("variant", "seed")`` lands every run in one table.
+    ``partition_by=("variant", "seed")`` lands every run in one table;
+    ``mode="overwrite_partitions"`` replaces only the partitions written
+    (dynamic partition overwrite), so runs can be repeated independently.
     ``coalesce(1)`` is only for reports (a few rows), never for data."""
-    w = df.coalesce(1).write.mode(mode).option("header", str(header).lower())
+    w = df.coalesce(1).write
+    if mode == "overwrite_partitions":
+        w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        w = w.mode(mode)
+    w = w.option("header", str(header).lower())
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)

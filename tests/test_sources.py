@@ -105,6 +105,12 @@ def test_report_sink_partitioned_and_no_overwrite(spark, tmp_dir):
     back = spark.read.schema("ValueType string, Value double").csv(out)
     assert sorted((r.ValueType, r.Value, r.seed) for r in back.collect()) == [
         ("Test accuracy", 0.5, 23), ("Train accuracy", 1.0, 23)]
+    # another run lands next to it; re-running a run replaces only its partition
+    other = rep.withColumn("seed", F.lit(42))
+    sinks.write_report(other, out, partition_by=("model", "seed"), mode="overwrite_partitions")
+    sinks.write_report(other, out, partition_by=("model", "seed"), mode="overwrite_partitions")
+    back = spark.read.schema("ValueType string, Value double").csv(out)
+    assert back.count() == 4 and back.filter("seed = 42").count() == 2
 
 
 def test_lines_with_header_every_file(spark, tmp_dir):
