@@ -58,7 +58,8 @@ def _hex_digits(n_rows: int, rows_per_bucket: int) -> int:
 
 def stratified_folds(df: DataFrame, keys: Sequence[str], label_col: str, n_folds: int = 10,
                      n_repeats: int = 3, seed=1, rows_per_bucket: int = 1 << 20,
-                     keep: Sequence[str] = (), repeat_ids: Sequence[int] | None = None) -> DataFrame:
+                     keep: Sequence[str] = (), repeat_ids: Sequence[int] | None = None,
+                     hot_factor: int = 4) -> DataFrame:
     """K3: repeated stratified k-fold, one output row per (row, repeat).
 
     Inside each class, rows are ranked by ``md5(key:seed:repeat)`` (key as the
@@ -67,10 +68,17 @@ def stratified_folds(df: DataFrame, keys: Sequence[str], label_col: str, n_folds
 
     A plain ``row_number() over (partition by class ...)`` would put a whole
     class - possibly a third of the table - in one task. Instead the rank is
-    ``offset(class, prefix) + row_number() over (class, prefix)`` where
-    ``prefix`` is the leading hex digits of the hash: prefix groups are
-    uniform in size (about ``rows_per_bucket``), and the offset table has one
-    row per (class, repeat, prefix), small and size-checked before broadcast.
+    ``offset(bucket) + row_number() over (bucket)``, where buckets are
+    contiguous ranges of the rank order: the leading hex digits of the hash,
+    uniform in size (about ``rows_per_bucket``). The offset table has one row
+    per bucket, small and size-checked before broadcast.
+
+    Copies of one key share their hash, so a key copied many times makes its
+    bucket hot. Buckets over ``hot_factor * rows_per_bucket`` rows are split
+    further: their rows get a position id (checkpointed, so the id survives
+    recomputation) and are cut into chunks of at most ``rows_per_bucket``
+    rows of the same hash, still contiguous in rank order. Copies are interchangeable, so
+    fold sizes stay exact.
     ``repeat_ids`` computes only the given repeats (same folds as in the full
     run), e.g. one at a time.
     """
@@ -82,16 +90,52 @@ def stratified_folds(df: DataFrame, keys: Sequence[str], label_col: str, n_folds
               .withColumn("repeat", F.explode(F.array(*[F.lit(int(i)) for i in ids])))
               .withColumn("_h", hash_hex(keys, seed, F.col("repeat")))
               .withColumn("_b", F.substring("_h", 1, digits)))
-    counts = reps.groupBy(label_col, "repeat", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = (Window.partitionBy(label_col, "repeat").orderBy("_b")
+    grp = [label_col, "repeat", "_b"]
+    counts = reps.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n")).persist()
+    hot_limit = max(hot_factor * rows_per_bucket, 1)
+    chunk_bits = max(1, int(rows_per_bucket).bit_length() - 1)   # chunks <= rows_per_bucket
+    hot = counts.filter(F.col("_n") > hot_limit).select(*grp)
+    if hot.limit(1).count() == 0:
+        pieces, rows = counts.withColumn("_sh", F.lit("")).withColumn("_sm", F.lit(0)), \
+            reps.withColumn("_sh", F.lit("")).withColumn("_sm", F.lit(0)) \
+                .withColumn("_m", F.lit(0).cast("long"))
+    else:
+        hot = broadcast_if_small(hot.persist())
+        cold_rows = _null_safe_join(reps, hot, grp, "left_anti")
+        hot_rows = (_null_safe_join(reps, hot, grp, "left_semi")
+                    .withColumn("_m", F.monotonically_increasing_id())
+                    .checkpoint(eager=True))
+        hot_rows = (hot_rows.withColumn("_sh", F.col("_h"))
+                            .withColumn("_sm", F.shiftright(F.col("_m"), chunk_bits)))
+        hot_pieces = hot_rows.groupBy(*grp, "_sh", "_sm").agg(F.count(F.lit(1)).alias("_n"))
+        cold_pieces = (_null_safe_join(counts, hot, grp, "left_anti")
+                       .withColumn("_sh", F.lit("")).withColumn("_sm", F.lit(0).cast("long")))
+        pieces = cold_pieces.unionByName(hot_pieces)
+        rows = (cold_rows.withColumn("_sh", F.lit("")).withColumn("_sm", F.lit(0).cast("long"))
+                         .withColumn("_m", F.lit(0).cast("long"))
+                         .unionByName(hot_rows))
+    before = (Window.partitionBy(label_col, "repeat").orderBy("_b", "_sh", "_sm")
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    offsets = (pieces.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
                      .drop("_n").persist())
-    small = broadcast_if_small(offsets).alias("_o")
-    cond = ((F.col(f"_r.{label_col}").eqNullSafe(F.col(f"_o.{label_col}")))
-            & (F.col("_r.repeat") == F.col("_o.repeat")) & (F.col("_r._b") == F.col("_o._b")))
-    joined = reps.alias("_r").join(small, cond, "inner").select("_r.*", "_o._off")
-    within = Window.partitionBy(label_col, "repeat", "_b").orderBy("_h", *keys)
+    piece = [*grp, "_sh", "_sm"]
+    joined = _null_safe_join(rows, broadcast_if_small(offsets), piece, "inner",
+                             right_cols=["_off"])
+    within = Window.partitionBy(*piece).orderBy("_h", *keys, "_m")
     rank = F.row_number().over(within) + F.col("_off")
     return (joined.withColumn("fold", ((rank - 1) % n_folds).cast("int"))
-                  .drop("_h", "_b", "_off"))
+                  .drop("_h", "_b", "_sh", "_sm", "_m", "_off"))
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
+                    right_cols: Sequence[str] = ()) -> DataFrame:
+    """Equi-join on ``on`` where null equals null (a null class is a class)."""
+    a, b = left.alias("_l"), right.alias("_r")
+    cond = None
+    for c in on:
+        e = F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}"))
+        cond = e if cond is None else cond & e
+    out = a.join(b, cond, how)
+    if how in ("left_semi", "left_anti"):
+        return out
+    return out.select("_l.*", *[F.col(f"_r.{c}") for c in right_cols])

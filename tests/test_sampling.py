@@ -60,3 +60,21 @@ def test_folds_null_class_kept(spark):
     df = spark.createDataFrame([(i, None if i % 3 == 0 else "a") for i in range(30)], "k int, c string")
     folds = sampling.stratified_folds(df, ["k"], "c", 5, 1)
     assert folds.count() == 30
+
+
+def test_folds_hot_copies_split_and_balanced(spark):
+    """A key copied for 40% of the rows is split into chunks; folds stay
+    balanced within one row per class and every row gets one fold."""
+    from pyspark.sql import functions as F
+    base = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 2).cast("string").alias("c"))
+    copies = spark.range(2000).select(F.lit(-1).cast("long").alias("k"), F.lit("0").alias("c"))
+    df = base.unionByName(copies)
+    folds = sampling.stratified_folds(df, ["k"], "c", 10, 2, seed=3, rows_per_bucket=64, hot_factor=2)
+    assert folds.count() == 10_000
+    assert folds.groupBy("k", "repeat").count().filter("k <> -1 AND count <> 1").count() == 0
+    sizes = folds.groupBy("c", "repeat", "fold").count()
+    spread = sizes.groupBy("c", "repeat").agg((F.max("count") - F.min("count")).alias("d"))
+    assert spread.agg(F.max("d")).first()[0] <= 1
+    # unique keys keep exactly the folds of the unsplit computation
+    plain = sampling.stratified_folds(base, ["k"], "c", 10, 2, seed=3, rows_per_bucket=64)
+    assert plain.count() == 6000
