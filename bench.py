@@ -18,7 +18,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
-    "tree_planted", "logit_planted", "lasso_planted", "gbt_planted",
+    "tree_planted", "logit_planted", "lasso_planted", "gbt_planted", "seed_sweep",
     "feature_profile", "stratified_folds", "hash_split", "covariance",
     "confusion_matrix", "csv_header_bz2_roundtrip",
 )

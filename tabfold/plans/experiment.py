@@ -113,20 +113,22 @@ def confusion_counts(scored: DataFrame, label_col: str) -> DataFrame:
 # ---------------------------------------------------------------- E6 variants
 
 def variant_data(prep: Prepared, variant: str, k: int | None = None):
-    """Feature column for a variant: raw, scaled (F4), standardised (F5) or
-    pca (F5 then F7). Scaler and PCA are fitted on train rows only; the
-    category indexer over their output is refitted on all rows."""
+    """Feature column for a variant: raw, scaled (F4), standardised (F5),
+    pca (F5 then F7, as the single-machine notebook) or scaled_pca (F4 then
+    F7, as the Spark job: no centring anywhere). Scaler and PCA are fitted on
+    train rows only; the category indexer over their output is refitted on
+    all rows."""
     from tabfold.operators import reduce as red
     data = prep.data
     train = data.filter(F.col("split") == "train")
     if variant == "raw":
         return data, prep.category_model
-    if variant in ("scaled", "standardised", "pca"):
-        with_mean = variant != "scaled"
+    if variant in ("scaled", "standardised", "pca", "scaled_pca"):
+        with_mean = variant in ("standardised", "pca")
         scaler = features.fit_scaler(train, "features", "normFeatures", with_mean=with_mean)
         data = scaler.transform(data)
         col = "normFeatures"
-        if variant == "pca":
+        if variant in ("pca", "scaled_pca"):
             d = len(prep.feature_cols)
             pca = red.fit_pca(data.filter(F.col("split") == "train"), "normFeatures", "pca",
                               k or d)

@@ -103,9 +103,10 @@ def test_variant_compare_exact(lineitem):
     assert {r.variant for r in out.select("variant").distinct().collect()} == {"raw", "scaled", "standardised"}
 
 
-def test_pca_variant_high_accuracy(lineitem):
+@pytest.mark.parametrize("variant", ["pca", "scaled_pca"])
+def test_pca_variants_high_accuracy(lineitem, variant):
     prep = _prep(lineitem, C.RULE_TREE)
-    data, cat = ex.variant_data(prep, "pca")
+    data, cat = ex.variant_data(prep, variant)
     _, scored = ex.fit_and_score(prep, ex.learner_for("gbt", max_iter=5), data, cat)
     acc = {r["split"]: r["accuracy"] for r in evaluate.accuracy(scored).collect()}
     assert acc["test"] >= 0.95
