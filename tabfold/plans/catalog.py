@@ -12,11 +12,9 @@ summaries, importances, preview) are rows-only.
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabfold.functions.exprs import binary_label
 from tabfold.operators import (
     evaluate, features, importance, models, profile, reduce as red, sampling, wrangle,
 )

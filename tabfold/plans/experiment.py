@@ -82,7 +82,11 @@ def fit_and_score(prep: Prepared, learner, data: DataFrame | None = None,
     data = prep.data if data is None else data
     cat = prep.category_model if category_model is None else category_model
     train = data.filter(F.col(split_col) == "train")
-    model = models.fit([prep.label_model, cat, learner], train)
+    # the category indexer only runs when the learner reads its output
+    # (the reference built it for logistic regression and never used it)
+    uses_cat = learner.getOrDefault("featuresCol") == cat.getOrDefault("outputCol")
+    stages = [prep.label_model, cat, learner] if uses_cat else [prep.label_model, learner]
+    model = models.fit(stages, train)
     scored = models.predict(model, data)
     scored = features.label_names(prep.label_model).transform(scored)
     return model, scored

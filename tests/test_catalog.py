@@ -2,7 +2,6 @@
 (the driver checks sf0.01); model queries are covered in test_models."""
 
 import math
-import os
 
 import duckdb
 import pytest

@@ -2,8 +2,6 @@
 
 import re
 
-from pyspark.sql import functions as F
-
 from tabfold.operators import profile, sampling, wrangle
 from tabfold.plans import catalog as C
 from conftest import SF001

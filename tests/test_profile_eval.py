@@ -7,7 +7,6 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import functions as F
 
 from tabfold.operators import evaluate, features, profile
 from tabfold.operators import reduce as red
