@@ -18,7 +18,7 @@ def _write_connections(path, n=600, seed=3):
 
 
 def test_cli_tree_and_binary_logistic(spark, tmp_dir):
-    data = _write_connections(f"{tmp_dir}/in/kdd.data")
+    data = _write_connections(f"{tmp_dir}/in/connections.csv")
     jobs.main([data, f"{tmp_dir}/out", "23", "--model", "tree", "--csv"])
     jobs.main([data, f"{tmp_dir}/out", "23", "--model", "logistic", "--csv", "--binary"])
     back = spark.read.schema("ValueType string, Value double").csv(f"{tmp_dir}/out")

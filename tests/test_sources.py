@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabfold.sources import delimited, sinks
 
-KDD_NAMES = [f"x{i}" for i in range(41)] + ["label"]
+CONN_NAMES = [f"x{i}" for i in range(41)] + ["label"]
 
 
 def _write(path, text):
@@ -60,28 +60,28 @@ def test_nth_position_errors():
         delimited.nth_position(["a", "track"], "track", 2)
 
 
-def _kdd_csv(rows):
+def _conn_csv(rows):
     return "".join(",".join(str(v) for v in r) + "\n" for r in rows)
 
 
 def test_headerless_42_columns(spark, tmp_dir):
     rows = [[i] * 41 + ["normal"] for i in range(3)] + [[9] * 41 + ["smurf."]]
-    p = _write(f"{tmp_dir}/kdd.data", _kdd_csv(rows))
+    p = _write(f"{tmp_dir}/connections.csv", _conn_csv(rows))
     types = ["double"] * 41 + ["string"]
-    df = delimited.read_headerless(spark, p, KDD_NAMES, types)
-    assert df.columns == KDD_NAMES and df.count() == 4
-    inferred = delimited.read_headerless(spark, p, KDD_NAMES, infer=True)
-    assert inferred.columns == KDD_NAMES and dict(inferred.dtypes)["x0"] == "int"
+    df = delimited.read_headerless(spark, p, CONN_NAMES, types)
+    assert df.columns == CONN_NAMES and df.count() == 4
+    inferred = delimited.read_headerless(spark, p, CONN_NAMES, infer=True)
+    assert inferred.columns == CONN_NAMES and dict(inferred.dtypes)["x0"] == "int"
 
 
 def test_null_feature_raises_or_skips(spark, tmp_dir):
     from tabfold.operators import features
     rows = [[1] * 41 + ["normal"], [""] + [2] * 40 + ["normal"]]
-    p = _write(f"{tmp_dir}/kdd.data", _kdd_csv(rows))
-    df = delimited.read_headerless(spark, p, KDD_NAMES, ["double"] * 41 + ["string"])
+    p = _write(f"{tmp_dir}/connections.csv", _conn_csv(rows))
+    df = delimited.read_headerless(spark, p, CONN_NAMES, ["double"] * 41 + ["string"])
     with pytest.raises(Exception):
-        features.assemble(df, KDD_NAMES[:-1]).collect()
-    assert features.assemble(df, KDD_NAMES[:-1], handle_invalid="skip").count() == 1
+        features.assemble(df, CONN_NAMES[:-1]).collect()
+    assert features.assemble(df, CONN_NAMES[:-1], handle_invalid="skip").count() == 1
 
 
 def test_header_bz2_and_safe_names(spark, tmp_dir):
