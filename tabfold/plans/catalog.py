@@ -136,7 +136,7 @@ SWEEP = ex.SWEEP_SEEDS
 
 def _sweep(spark, d):
     li = _t(spark, d, "lineitem", spread=True, keys=LI_KEYS).withColumn("label", F.expr(RULE_TREE))
-    return ex.seed_sweep(li, LI_FEATURES, "label", LI_KEYS, "tree", SWEEP, parallelism=2)
+    return ex.seed_sweep(li, LI_FEATURES, "label", LI_KEYS, "tree", SWEEP, parallelism=4)
 
 
 def q_seed_sweep(spark, d):
