@@ -45,7 +45,12 @@ NORMAL = "normal"
 def run_job(spark: SparkSession, source: DataFrame | str, output: str | None, model: str = "tree",
             seed=23, feature_cols: Sequence[str] | None = None, label_col: str = "label",
             label_expr: str | None = None, keys: Sequence[str] | None = None,
-            max_categories: int = 4, mode: str = "overwrite_partitions", **params) -> DataFrame:
+            max_categories: int = 4, mode: str = "overwrite_partitions", phases: bool = False,
+            fit_on: str = "all", **params) -> DataFrame:
+    """Report rows: train accuracy, test accuracy, total run time in minutes;
+    with ``phases=True`` also ``Run time: prepare|fit|evaluate`` (SURVEY
+    2.11-6: phases timed separately, not one timer started anywhere)."""
+    timer = ex.Timer()
     t0 = time.time()
     df = spark.read.parquet(source) if isinstance(source, str) else source
     df = ensure_parallelism(df)
@@ -55,13 +60,14 @@ def run_job(spark: SparkSession, source: DataFrame | str, output: str | None, mo
         from tabfold.operators.wrangle import feature_cols as numeric
         feature_cols = numeric(df, exclude=[label_col, *(keys or [])])
     keys = list(keys or feature_cols)
-    prep = ex.prepare(df, feature_cols, label_col, keys, seed=seed, max_categories=max_categories)
-    _, scored = ex.fit_and_score(prep, ex.learner_for(model, **params))
-    report = ex.report(scored, spark, run_minutes=None)
-    rows = report.collect()
+    prep = timer.run("prepare", ex.prepare, df, feature_cols, label_col, keys, seed=seed,
+                     max_categories=max_categories, fit_on=fit_on)
+    _, scored = timer.run("fit", ex.fit_and_score, prep, ex.learner_for(model, **params))
+    rows = timer.run("evaluate", lambda: ex.report(scored, spark, run_minutes=None).collect())
     minutes = (time.time() - t0) / 60.0
-    out = spark.createDataFrame([(r[0], r[1]) for r in rows] + [("Run time", minutes)],
-                                report.schema)
+    extra = [(f"Run time: {k}", v) for k, v in timer.phases.items()] if phases else []
+    out = spark.createDataFrame([(r[0], r[1]) for r in rows] + [("Run time", minutes)] + extra,
+                                "ValueType string, Value double")
     out = out.withColumn("model", F.lit(model)).withColumn("seed", F.lit(int(seed)))
     prep.data.unpersist()
     if output is not None:

@@ -132,9 +132,19 @@ def test_seed_sweep_and_summary(lineitem):
 def test_job_report(spark, lineitem, tmp_dir):
     from tabfold.plans import jobs
     rep = jobs.run_job(spark, lineitem, f"{tmp_dir}/out", "tree", "5", C.LI_FEATURES, "label",
-                       C.RULE_TREE, C.LI_KEYS)
+                       C.RULE_TREE, C.LI_KEYS, phases=True)
     vals = {r.ValueType: r.Value for r in rep.collect()}
     assert vals["Train accuracy"] == 1.0 and vals["Test accuracy"] == 1.0 and vals["Run time"] > 0
+    parts = [vals[f"Run time: {p}"] for p in ("prepare", "fit", "evaluate")]
+    assert all(p >= 0 for p in parts) and sum(parts) <= vals["Run time"] + 1e-9
+
+
+def test_fit_on_train_keeps_unseen(spark, lineitem):
+    """Indexers fitted on train rows only; unseen test values are kept, not fatal."""
+    df = lineitem.withColumn("label", F.expr(C.RULE_TREE))
+    prep = ex.prepare(df, C.LI_FEATURES, "label", C.LI_KEYS, 23, max_categories=10, fit_on="train")
+    _, scored = ex.fit_and_score(prep, ex.learner_for("tree"))
+    assert scored.count() == df.count()
 
 
 def test_pca_components_orthonormal(spark):
