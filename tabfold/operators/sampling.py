@@ -100,6 +100,8 @@ def stratified_folds(df: DataFrame, keys: Sequence[str], label_col: str, n_folds
             reps.withColumn("_sh", F.lit("")).withColumn("_sm", F.lit(0)) \
                 .withColumn("_m", F.lit(0).cast("long"))
     else:
+        from tabfold.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
         hot = broadcast_if_small(hot.persist())
         cold_rows = _null_safe_join(reps, hot, grp, "left_anti")
         hot_rows = (_null_safe_join(reps, hot, grp, "left_semi")
