@@ -86,7 +86,10 @@ def stratified_folds(df: DataFrame, keys: Sequence[str], label_col: str, n_folds
     digits = _hex_digits(n_rows, rows_per_bucket)
     cols = list(dict.fromkeys([*keys, label_col, *keep]))
     ids = list(repeat_ids) if repeat_ids is not None else list(range(n_repeats))
+    # content hash of the row: ties between copies of a key are broken by
+    # what the rows hold, so a recomputed task ranks them the same way
     reps = (df.select(*cols)
+              .withColumn("_t", F.xxhash64(*cols))
               .withColumn("repeat", F.explode(F.array(*[F.lit(int(i)) for i in ids])))
               .withColumn("_h", hash_hex(keys, seed, F.col("repeat")))
               .withColumn("_b", F.substring("_h", 1, digits)))
@@ -123,10 +126,10 @@ def stratified_folds(df: DataFrame, keys: Sequence[str], label_col: str, n_folds
     piece = [*grp, "_sh", "_sm"]
     joined = _null_safe_join(rows, broadcast_if_small(offsets), piece, "inner",
                              right_cols=["_off"])
-    within = Window.partitionBy(*piece).orderBy("_h", *keys, "_m")
+    within = Window.partitionBy(*piece).orderBy("_h", *keys, "_t", "_m")
     rank = F.row_number().over(within) + F.col("_off")
     return (joined.withColumn("fold", ((rank - 1) % n_folds).cast("int"))
-                  .drop("_h", "_b", "_sh", "_sm", "_m", "_off"))
+                  .drop("_h", "_b", "_sh", "_sm", "_m", "_off", "_t"))
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
