@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabfold.functions.exprs import HASH_SPACE, hash_hex, hash_unit
+from tabfold.functions.exprs import HASH_SPACE, hash_hex
 from tabfold.operators.wrangle import broadcast_if_small
 
 
@@ -24,14 +24,21 @@ def split_column(keys: Sequence, seed, weights: Sequence[float] = (0.7, 0.3),
     if len(weights) != len(names):
         raise ValueError("one name per weight")
     total = float(sum(weights))
-    u = hash_unit(keys, seed)
+    # ``unit < bound`` on the 32-bit unit equals ``prefix <= hex(last unit
+    # below bound)`` on the 8-digit lowercase hex prefix (fixed width, so text
+    # order is numeric order) - the same rows, without a text->number conv
+    prefix = F.substring(hash_hex(keys, seed), 1, 8)
     bounds, acc = [], 0.0
     for w in weights[:-1]:
         acc += w / total
         bounds.append(acc * HASH_SPACE)
     expr = F.lit(names[-1])
     for bound, name in reversed(list(zip(bounds, names[:-1]))):
-        expr = F.when(u < F.lit(bound), F.lit(name)).otherwise(expr)
+        last = math.ceil(bound) - 1                  # largest unit with unit < bound
+        if last < 0:
+            continue
+        cond = F.lit(True) if last >= HASH_SPACE - 1 else prefix <= F.lit(f"{last:08x}")
+        expr = F.when(cond, F.lit(name)).otherwise(expr)
     return expr
 
 

@@ -90,3 +90,21 @@ def test_folds_of_key_copies_independent_of_layout(spark):
     b = sampling.stratified_folds(df.repartition(7, "v"), ["k"], "c", 10, 1, keep=["v"])
     j = a.join(b.withColumnRenamed("fold", "f2"), ["k", "v", "c", "repeat"])
     assert j.count() == 4000 and j.filter("fold <> f2").count() == 0
+
+
+def test_split_text_compare_equals_unit_compare(spark):
+    from pyspark.sql import functions as F
+    from tabfold.functions.exprs import hash_unit
+    df = spark.range(50_000).toDF("k")
+    for w in ((0.7, 0.3), (0.5, 0.5), (0.2, 0.3, 0.5), (1.0, 0.0)):
+        names = [f"s{i}" for i in range(len(w))]
+        got = df.withColumn("s", sampling.split_column(["k"], 9, w, names))
+        u = hash_unit(["k"], 9)
+        acc, want = 0.0, F.lit(names[-1])
+        bounds = []
+        for x in w[:-1]:
+            acc += x / sum(w)
+            bounds.append(acc * 4294967296)
+        for b, n in reversed(list(zip(bounds, names[:-1]))):
+            want = F.when(u < F.lit(b), F.lit(n)).otherwise(want)
+        assert got.filter(F.col("s") != want).count() == 0, w
