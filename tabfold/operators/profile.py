@@ -132,9 +132,9 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float] = (0.25, 0.5, 0.75),
 
     def refine(items):
         """Sketch grid over each target's current bracket -> narrower bracket."""
-        grids = (with_state(items).groupBy("feature", "q")
-                 .agg(F.percentile_approx(F.when(in_bracket(), F.col("value")), _grid_probs(),
-                                          accuracy).alias("grid")).collect())
+        grids = (with_state(items).filter(in_bracket()).groupBy("feature", "q")
+                 .agg(F.percentile_approx("value", _grid_probs(), accuracy).alias("grid"))
+                 .collect())
         moved = False
         for r in grids:
             t = targets[(r["feature"], r["q"])]

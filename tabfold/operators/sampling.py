@@ -84,8 +84,8 @@ def stratified_folds(df: DataFrame, keys: Sequence[str], label_col: str, n_folds
     bucket hot. Buckets over ``hot_factor * rows_per_bucket`` rows are split
     further: their rows get a position id (checkpointed, so the id survives
     recomputation) and are cut into chunks of at most ``rows_per_bucket``
-    rows of the same hash, still contiguous in rank order. Copies are interchangeable, so
-    fold sizes stay exact.
+    rows of the same hash, still contiguous in rank order. Copies are
+    interchangeable, so fold sizes stay exact.
     ``repeat_ids`` computes only the given repeats (same folds as in the full
     run), e.g. one at a time.
     """
