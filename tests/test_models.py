@@ -159,3 +159,16 @@ def test_pca_components_orthonormal(spark):
     ev = red.explained_variance(spark, full, red.total_variance(e, "f")).orderBy("component").collect()
     assert abs(ev[-1].cumulative - 1.0) < 1e-9
     assert abs(sum(r.eigenvalue for r in ev) - red.total_variance(e, "f")) < 1e-9
+
+
+@pytest.mark.parametrize("name", ["tree", "logistic", "gbt"])
+def test_optional_weight_column(spark, lineitem, name):
+    """No class weights by default; a weight column passes through to the learner."""
+    df = lineitem.withColumn("label", F.expr(C.RULE_LINEAR if name == "logistic" else C.RULE_TREE))
+    prep = ex.prepare(df, C.LI_FEATURES, "label", C.LI_KEYS, 23)
+    weighted = prep.data.withColumn("w", F.when(F.col("label") == 1, 2.0).otherwise(1.0))
+    params = {"max_iter": 2} if name == "gbt" else {}
+    learner = ex.learner_for(name, weightCol="w", **params)
+    assert learner.getOrDefault("weightCol") == "w"
+    _, scored = ex.fit_and_score(prep, learner, data=weighted)
+    _all_correct(scored)
