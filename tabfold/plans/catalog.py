@@ -362,6 +362,19 @@ def q_multiheader_scan(spark, d):
     return delimited.read_multi_header(spark, path, 3, ",", "_", "track_id", value_type="float")
 
 
+def q_csv_lines_parse(spark, d):
+    """Text lines of the multi-row-header fixture, metadata lines dropped
+    by their key, parsed with the generated schema."""
+    e = _t(spark, d, "embeddings")
+    path = fixtures.write_multi_header_embeddings(spark, e, EMB_D)
+    names = delimited.multi_header_names(delimited.header_lines(spark, path, 3), key_name="track_id")
+    schema = T.StructType([T.StructField(names[0], T.LongType())] +
+                          [T.StructField(n, T.FloatType()) for n in names[1:]])
+    lines = spark.read.text(path)
+    body = lines.filter(F.split_part("value", F.lit(","), F.lit(1)).try_cast("bigint").isNotNull())
+    return delimited.parse_lines(body, schema)
+
+
 def _sql_multiheader():
     names = ["_".join(n) for n in fixtures.embedding_names(EMB_D)]
     cols = ", ".join(f"embedding[{i + 1}] AS {n}" for i, n in enumerate(names))
@@ -700,6 +713,7 @@ QUERIES = {
     "csv_header_bz2_roundtrip": q_csv_header_bz2_roundtrip,
     "safe_names": q_safe_names,
     "multiheader_scan": q_multiheader_scan,
+    "csv_lines_parse": q_csv_lines_parse,
     "positional_scan": q_positional_scan,
     "report_sink": q_report_sink,
     # metrics
@@ -786,6 +800,7 @@ ORACLES = {
     "csv_header_bz2_roundtrip": "SELECT * FROM orders",
     "safe_names": "SELECT * FROM part",
     "multiheader_scan": _sql_multiheader(),
+    "csv_lines_parse": _sql_multiheader(),
     "positional_scan": SQL_POSITIONAL,
     "report_sink": SQL_REPORT_SINK,
     "accuracy": SQL_ACCURACY,

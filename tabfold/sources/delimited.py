@@ -105,6 +105,15 @@ def read_multi_header(spark: SparkSession, path: str, n_header: int = 3, sep: st
                 .withColumn(names[0], key.cast(key_type)))
 
 
+def parse_lines(lines: DataFrame, schema: T.StructType, sep: str = ",",
+                col: str = "value") -> DataFrame:
+    """Parse already-loaded text lines (a string column) as CSV with the
+    JVM's CSV parser (``from_csv``) - the DataFrame form of handing an RDD of
+    lines to the CSV reader."""
+    parsed = F.from_csv(F.col(col), schema.simpleString(), {"sep": sep})
+    return lines.select(parsed.alias("_row")).select("_row.*")
+
+
 def nth_position(header: Sequence[str], name: str, occurrence: int) -> int:
     """Index of the ``occurrence``-th (1-based) column whose header is ``name``.
     ``track.7`` in pandas numbering is occurrence 8."""

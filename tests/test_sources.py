@@ -122,3 +122,12 @@ def test_lines_with_header_every_file(spark, tmp_dir):
     for f in files:
         with open(f"{out}/{f}") as fh:
             assert fh.readline().strip() == "h1"
+
+
+def test_parse_lines(spark):
+    from pyspark.sql import types as T
+    lines = spark.createDataFrame([("1,0.5,x",), ("2,,y",), ("3,1e3,z",)], "value string")
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.DoubleType()),
+                           T.StructField("s", T.StringType())])
+    rows = sorted(tuple(r) for r in delimited.parse_lines(lines, schema).collect())
+    assert rows == [(1, 0.5, "x"), (2, None, "y"), (3, 1000.0, "z")]
