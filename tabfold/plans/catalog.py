@@ -196,9 +196,14 @@ SQL_CV_SUMMARY = (_CV_BASE + f"SELECT 'balanced_accuracy' AS metric, round(avg(b
 
 
 def q_model_summary(spark, d):
+    """M8: what printing the fitted tree and boosted models shows, as rows."""
     prep = _planted_prep(spark, d, RULE_TREE)
-    model, _ = ex.fit_and_score(prep, ex.learner_for("tree"))
-    return models.model_summary(spark, model, "tree")
+    out = None
+    for name in ("tree", "gbt"):
+        model, _ = ex.fit_and_score(prep, ex.learner_for(name))
+        part = models.model_summary(spark, model, name)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # ------------------------------------------------------------ splits, folds
