@@ -1,9 +1,10 @@
 """End-to-end job: input table + seed -> report table.
 
-    spark-submit -m tabfold.plans.jobs <input> <output> <seed> --model tree --csv
-    spark-submit -m tabfold.plans.jobs <input> <output> <seed> --model logistic --csv --binary
+    spark-submit --py-files tabfold.zip tabfold/plans/jobs.py <input> <output> <seed> --model tree --csv
+    spark-submit --py-files tabfold.zip tabfold/plans/jobs.py <input> <output> <seed> --model logistic --csv --binary
 
-``input`` is a parquet table (default) or a headerless CSV (``--csv``; the 42
+(``tabfold.zip`` is the zipped package; ``python -m tabfold.plans.jobs`` runs
+the same locally.) ``input`` is a parquet table (default) or a headerless CSV (``--csv``; the 42
 connection columns unless ``--names``); the label is a column, a SQL
 expression, or ``--binary`` (normal vs. the rest). The report
 ``(ValueType, Value)`` - train accuracy, test accuracy, run time in minutes -
