@@ -47,8 +47,10 @@ def _t(spark, d, name, spread=False, keys=None):
 
 
 def _sql_split(keys, seed, frac: float = 0.7) -> str:
+    """SQL twin of ``sampling.hash_split``; ``seed`` is an int (a literal) or
+    the name of a seed column."""
     k = ", ".join(keys)
-    s = seed if not isinstance(seed, (int, str)) or not str(seed).isdigit() else f"'{seed}'"
+    s = f"'{seed}'" if isinstance(seed, int) else seed
     return (f"(CASE WHEN ('0x' || substr(md5(concat_ws(':', {k}, {s})), 1, 8))::UBIGINT"
             f" < {frac} * 4294967296 THEN 'train' ELSE 'test' END)")
 
