@@ -87,12 +87,16 @@ class _PopulationScalerModel:
 
 def flatten(df: DataFrame, col: str, prefix: str, n: int, keep: Sequence[str] = (),
             digits: int | None = None) -> DataFrame:
-    """Vector column -> ``prefix0 .. prefix{n-1}`` double columns."""
-    arr = vector_to_array(F.col(col))
+    """Vector column -> ``prefix0 .. prefix{n-1}`` double columns.
+
+    The vector is converted to an array once, in its own projection; the
+    slots are then cheap array lookups (no per-slot conversion, small
+    generated code even for hundreds of slots)."""
+    arr = df.select(*keep, vector_to_array(F.col(col)).alias("_arr"))
     vals = []
     for i in range(n):
-        v = arr[i]
+        v = F.col("_arr")[i]
         if digits is not None:
             v = F.round(v, digits)
         vals.append(v.alias(f"{prefix}{i}"))
-    return df.select(*keep, *vals)
+    return arr.select(*keep, *vals)

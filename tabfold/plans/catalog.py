@@ -11,7 +11,7 @@ summaries, importances, preview) are rows-only.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,8 +55,34 @@ def _sql_split(keys, seed, frac: float = 0.7) -> str:
             f" < {frac} * 4294967296 THEN 'train' ELSE 'test' END)")
 
 
+# Computed doubles are compared at 9 significant digits (absolute 1e-9 below
+# 1): k = min(9, 8 - floor(log10|x|)) decimals, applied as round(x * 10^k) /
+# 10^k (or round(x / 10^-k) * 10^-k for k < 0). Powers of ten are exact
+# doubles, so Spark and DuckDB perform the same IEEE operations; a mean near
+# 5e4 keeps 9 digits, not 14 - below the summation-order noise of engines.
+
+
+def _sig_k(x, digits=DIGITS):
+    return F.least(F.lit(digits), F.lit(digits - 1) - F.floor(F.log10(F.abs(x)))).cast("int")
+
+
+def _sig_apply(x, k, p):
+    scaled = F.when(k >= 0, F.round(x * p, 0) / p).otherwise(F.round(x / p, 0) * p)
+    return F.when(x.isNull() | F.isnan(x) | (x == 0), x).otherwise(scaled)
+
+
 def _r(c, digits=DIGITS):
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    x = F.col(c) if isinstance(c, str) else c
+    k = _sig_k(x, digits)
+    return _sig_apply(x, k, F.pow(F.lit(10.0), F.abs(k)))
+
+
+def _sql_sig(x: str, digits: int = DIGITS) -> str:
+    k = f"least({digits}, {digits - 1} - floor(log10(abs({x}))))"
+    p = f"power(10.0, abs({k}))"
+    return (f"(CASE WHEN {x} IS NULL OR isnan({x}) OR {x} = 0 THEN {x} "
+            f"WHEN {k} >= 0 THEN round({x} * {p}, 0) / {p} "
+            f"ELSE round({x} / {p}, 0) * {p} END)")
 
 
 # ------------------------------------------------------------ planted models
@@ -289,6 +315,8 @@ def _emb_vectors(spark, d):
 
 
 def _scaled(kind):
+    """Scaler fitted on train rows, applied to all; long output
+    ``(vec_id, slot, value)`` - one expression whatever the dimension."""
     def q(spark, d):
         e = _emb_vectors(spark, d)
         train = e.filter(F.col("split") == "train")
@@ -296,22 +324,22 @@ def _scaled(kind):
             m = features.PopulationScaler("features", "normFeatures", with_mean=True).fit(train)
         else:
             m = features.fit_scaler(train, "features", "normFeatures", with_mean=(kind == "std"))
-        return features.flatten(m.transform(e), "normFeatures", "s", EMB_D, keep=["vec_id"],
-                                digits=DIGITS)
+        long = m.transform(e).select("vec_id", F.posexplode(vector_to_array("normFeatures"))
+                                     .alias("slot", "value"))
+        return long.select("vec_id", "slot", _r("value").alias("value"))
     return q
 
 
 def _sql_scaled(kind):
     sd = "stddev_pop" if kind == "pop" else "stddev_samp"
-    stats = ", ".join(f"avg(embedding[{i + 1}]::DOUBLE) AS m{i}, {sd}(embedding[{i + 1}]::DOUBLE) AS d{i}"
-                      for i in range(EMB_D))
-    center = kind in ("std", "pop")
-    cols = ", ".join(
-        f"round(CASE WHEN d{i} = 0 THEN 0.0 ELSE (embedding[{i + 1}]::DOUBLE"
-        f"{f' - m{i}' if center else ''}) / d{i} END, {DIGITS}) AS s{i}" for i in range(EMB_D))
+    center = "- m" if kind in ("std", "pop") else ""
     return (f"WITH e AS (SELECT vec_id, embedding, {_sql_split(['vec_id'], SEED)} AS split FROM embeddings), "
-            f"st AS (SELECT {stats} FROM e WHERE split = 'train') "
-            f"SELECT vec_id, {cols} FROM e, st")
+            f"u AS (SELECT vec_id, split, unnest(generate_series(0, len(embedding) - 1)) AS slot, "
+            f"unnest(embedding)::DOUBLE AS x FROM e), "
+            f"st AS (SELECT slot, avg(x) AS m, {sd}(x) AS d FROM u WHERE split = 'train' GROUP BY slot) "
+            f"SELECT u.vec_id, CAST(u.slot AS INTEGER) AS slot, "
+            f"round(CASE WHEN d = 0 THEN 0.0 ELSE (x {center}) / d END, {DIGITS}) AS value "
+            f"FROM u JOIN st USING (slot)")
 
 
 def q_covariance(spark, d):
@@ -828,4 +856,41 @@ ORACLES = {
     "top_variance_family": SQL_TOP_VARIANCE_FAMILY,
     "variance_share": SQL_VARIANCE_SHARE,
 }
-ORACLES = {k: _plus_zero_rounds(v) for k, v in ORACLES.items()}
+def _sig_rounds(sql: str) -> str:
+    """``round(x, 9)`` -> the same significant-digit rounding as ``_r``."""
+    out, i, low, tag = [], 0, sql.lower(), "round("
+    while True:
+        j = low.find(tag, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
+            out.append(sql[i:j + len(tag)])
+            i = j + len(tag)
+            continue
+        depth, k, quote, comma = 0, j + len(tag) - 1, None, None
+        while k < len(sql):
+            ch = sql[k]
+            if quote:
+                quote = None if ch == quote else quote
+            elif ch in "'\"":
+                quote = ch
+            elif ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner, digits = sql[j + len(tag):comma], sql[comma + 1:k].strip()
+        inner = _sig_rounds(inner)
+        if digits != str(DIGITS):
+            out.append(sql[i:j] + f"round({inner}, {digits})")
+        else:
+            out.append(sql[i:j] + _sql_sig(f"(({inner})::DOUBLE)"))
+        i = k + 1
+
+
+ORACLES = {k: _plus_zero_rounds(_sig_rounds(v)) for k, v in ORACLES.items()}
