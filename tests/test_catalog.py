@@ -54,3 +54,27 @@ def test_every_oracle_has_a_query():
 def test_entry_runs(spark):
     rows = entry.entry(spark).collect()
     assert rows and all(r.label == r.prediction for r in rows)
+
+
+def test_every_oracle_runs_in_duckdb(con):
+    for name, sql in entry.oracle_sql().items():
+        con.execute(sql).fetchall()
+
+
+def test_significant_rounding_same_in_both_engines(spark, con):
+    """The comparison rounding gives the same double in Spark and DuckDB."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tabfold.plans import catalog as C
+    rnd = random.Random(7)
+    vals = [0.0, -0.0, 1.0, 10.0, 1e-12, -3.5e-7, 52952.003539333499, 1e9 + 0.5, 123456789012.0]
+    vals += [rnd.uniform(-1, 1) * 10 ** rnd.randint(-8, 11) for _ in range(300)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double")
+    got = {r.i: r.r for r in df.select("i", C._r("v").alias("r")).collect()}
+    con.execute("CREATE OR REPLACE TEMP TABLE rv(i INTEGER, v DOUBLE)")
+    con.executemany("INSERT INTO rv VALUES (?, ?)", list(enumerate(vals)))
+    sql = C._plus_zero_rounds(C._sig_rounds(f"SELECT i, round(v, {C.DIGITS}) AS r FROM rv"))
+    want = dict(con.execute(sql).fetchall())
+    assert {i: repr(v) for i, v in got.items()} == {i: repr(v) for i, v in want.items()}
