@@ -80,9 +80,16 @@ def with_binary_label(df: DataFrame, source: str, positive, out: str = "label",
     return df.drop(source) if drop_source and source != out else df
 
 
-def preview(df: DataFrame, cols: Sequence[str] | None = None, n: int = 5) -> DataFrame:
-    """The rows ``show(5)`` would print, as a DataFrame."""
-    return (df.select(*cols) if cols else df).limit(n)
+def preview(df: DataFrame, cols: Sequence[str] | None = None, n: int = 5,
+            order_by: Sequence[str] | None = None) -> DataFrame:
+    """The rows ``show(5)`` would print, as a DataFrame. With
+    ``order_by`` the preview is the first n rows in that order (a
+    distributed top-n), so it is reproducible."""
+    out = df.select(*(list(order_by or []) + [c for c in (cols or df.columns)
+                                               if c not in (order_by or [])]))
+    if order_by:
+        out = out.orderBy(*order_by)
+    return out.limit(n)
 
 
 def join_labels(features: DataFrame, labels: DataFrame, key: str = "track_id",

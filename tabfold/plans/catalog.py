@@ -5,8 +5,8 @@ tables. Oracles are SQL over the same parquet tables; computed doubles are
 rounded to ``DIGITS`` on both sides. Model queries use *planted* labels -
 a rule over low-cardinality columns that the learner recovers exactly - so
 the oracle is the rule itself (predictions == labels on every row).
-Queries without an exact oracle (random split, PCA spectrum, model
-summaries, importances, preview) are rows-only.
+Queries without an exact oracle (random split, PCA spectrum and variant,
+model summaries, importances) are rows-only.
 """
 
 from __future__ import annotations
@@ -508,7 +508,14 @@ SQL_CONFUSION = (f"WITH t AS ({_SQL_RULE}), cls AS (SELECT label AS c FROM t UNI
 
 
 def q_preview(spark, d):
-    return wrangle.preview(_rule_scored(spark, d), ["prediction", "label"], 5)
+    li = _t(spark, d, "lineitem")
+    scored = li.select(*LI_KEYS, F.col("l_returnflag").alias("label"),
+                       F.expr(RULE_PRED).alias("prediction"))
+    return wrangle.preview(scored, ["prediction", "label"], 5, order_by=list(LI_KEYS))
+
+
+SQL_PREVIEW = (f"SELECT {', '.join(LI_KEYS)}, {RULE_PRED} AS prediction, l_returnflag AS label "
+               f"FROM lineitem ORDER BY {', '.join(LI_KEYS)} LIMIT 5")
 
 
 # ------------------------------------------------------------ wrangling
@@ -841,6 +848,7 @@ ORACLES = {
     "accuracy": SQL_ACCURACY,
     "balanced_accuracy": SQL_BALANCED_ACCURACY,
     "confusion_matrix": SQL_CONFUSION,
+    "preview": SQL_PREVIEW,
     "isin_filter": SQL_ISIN,
     "binary_label": SQL_BINARY_LABEL,
     "feature_label_join": SQL_JOIN,
