@@ -9,7 +9,6 @@ refuse rather than write to a machine-local path.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -60,8 +59,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "tabfold-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique path under the shared checkpoint folder (scheme kept)."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/tabfold-scratch/{name}-{uuid.uuid4().hex[:12]}"
