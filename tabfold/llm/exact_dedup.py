@@ -155,12 +155,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def keepers(docs: DataFrame, narrow: DataFrame, **params) -> DataFrame:
-    """One row per group of copies: fp, text_sha256, group_size, keep (doc_id, uid)."""
+    """One row per group of copies: fp, text_sha256, group_size, keep_id, keep_uid, same (rows of
+    the kept id).
+
+    Copies are summed up before they meet, so a hot text sends one row per task.
+    """
     groups = duplicate_groups(docs, narrow, **params)
-    rows = narrow.join(groups.select("fp", "text_sha256", "group_size"), ["fp", "text_sha256"])
-    return rows.groupBy("fp", "text_sha256").agg(
-        F.max("group_size").alias("group_size"),
-        F.max(F.struct("doc_id", "uid")).alias("keep"))
+    summed = (narrow.groupBy("fp", "text_sha256", "doc_id")
+              .agg(F.count("*").alias("n"), F.max("uid").alias("uid")))
+    largest = narrow.groupBy("fp", "text_sha256").agg(
+        F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
+    repeated = largest.filter("n > 1").drop("n").join(groups, ["fp", "text_sha256"])
+    at = repeated.select(F.col("fp").alias("_f"), F.col("text_sha256").alias("_s"), "keep_id",
+                         "group_size")
+    return (summed.join(at, (F.col("fp") == F.col("_f")) & (F.col("text_sha256") == F.col("_s"))
+                        & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+            .select("fp", "text_sha256", "group_size", "keep_id", F.col("uid").alias("keep_uid"),
+                    F.col("n").alias("same")))
 
 
 def exact_dedup(docs: DataFrame, **params) -> DataFrame:
@@ -173,11 +184,11 @@ def exact_dedup(docs: DataFrame, **params) -> DataFrame:
     narrow = fingerprints(docs)
     groups = written(keepers(docs, narrow, **params), "groups")
     joined = narrow.join(groups, ["fp", "text_sha256"], "left")
-    single = F.col("keep").isNull()
+    single = F.col("keep_uid").isNull()
     return joined.select(
-        "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
+        "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (single | (F.col("uid") == F.col("keep.uid"))).alias("kept"), "text_sha256")
+        (single | (F.col("uid") == F.col("keep_uid"))).alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame, **params) -> DataFrame:
@@ -185,12 +196,8 @@ def deduplicated(docs: DataFrame, **params) -> DataFrame:
     narrow = fingerprints(docs)
     groups = written(keepers(docs, narrow, **params), "groups")
     # a group whose kept id comes in repeated rows is settled row by row below
-    same = (narrow.join(groups, ["fp", "text_sha256"])
-            .filter(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")))
-            .groupBy("fp", "text_sha256").agg(F.count("*").alias("_same")))
-    keep = groups.join(same, ["fp", "text_sha256"], "left").select(
-        F.col("fp").alias("_fp"), F.col("text_sha256").alias("_sha"),
-        F.col("keep.doc_id").alias("_keep"), (F.col("_same") > 1).alias("_repeated"))
+    keep = groups.select(F.col("fp").alias("_fp"), F.col("text_sha256").alias("_sha"),
+                         F.col("keep_id").alias("_keep"), (F.col("same") > 1).alias("_repeated"))
     norm = lower_ascii(docs["text"])
     tagged = docs.join(keep, (F.xxhash64(norm) == F.col("_fp"))
                        & (F.sha2(norm, 256) == F.col("_sha")), "left").filter(
