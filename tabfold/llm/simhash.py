@@ -30,7 +30,7 @@ from .common import text_hash, written
 SHINGLE = 3
 MAX_DISTANCE = 2
 SEED = 42
-SHARD_POINTS = 1 << 15    # distinct fingerprints of a shard, about
+SHARD_POINTS = 1 << 13    # distinct fingerprints of a shard, about
 SAMPLE_POINTS = 1 << 15   # fingerprints that fit the top tree, at most
 LEAF_POINTS = 512
 CANDIDATES = 8            # vantage points tried for a node
