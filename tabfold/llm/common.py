@@ -69,12 +69,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def anti_rows(docs: DataFrame, losers: DataFrame) -> DataFrame:
     """Documents without the rows that ``losers`` (doc_id, text_hash) names; columns unchanged."""
-    gone = losers.select(F.col("doc_id").alias("_gone_id"),
-                         F.col("text_hash").alias("_gone_hash")).distinct()
-    return docs.join(gone, F.col("_gone_id").eqNullSafe(docs["doc_id"])
-                     & F.col("_gone_hash").eqNullSafe(text_hash(docs["text"])), "left_anti")
+    gone_id, gone_hash = unused(docs, "gone_id"), unused(docs, "gone_hash")
+    gone = losers.select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct()
+    return docs.join(gone, gone[gone_id].eqNullSafe(docs["doc_id"])
+                     & gone[gone_hash].eqNullSafe(text_hash(docs["text"])), "left_anti")
 
 
 def text_hash(text: Column) -> Column:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, written
+from .common import lower_ascii, unused, written
 
 OWNER_ROWS = 1 << 17       # documents per owner
 FILTER_SLOTS = 1 << 20     # bound of the broadcast pre-filter
@@ -196,12 +196,12 @@ def deduplicated(docs: DataFrame, **params) -> DataFrame:
     narrow = fingerprints(docs)
     groups = written(keepers(docs, narrow, **params), "groups")
     # a group whose kept id comes in repeated rows is settled row by row below
-    keep = groups.select(F.col("fp").alias("_fp"), F.col("text_sha256").alias("_sha"),
-                         F.col("keep_id").alias("_keep"), (F.col("same") > 1).alias("_repeated"))
+    fp, sha, keep_id, repeated = (unused(docs, n) for n in ("_fp", "_sha", "_keep", "_repeated"))
+    keep = groups.select(F.col("fp").alias(fp), F.col("text_sha256").alias(sha),
+                         F.col("keep_id").alias(keep_id), (F.col("same") > 1).alias(repeated))
     norm = lower_ascii(docs["text"])
-    tagged = docs.join(keep, (F.xxhash64(norm) == F.col("_fp"))
-                       & (F.sha2(norm, 256) == F.col("_sha")), "left").filter(
-        F.col("_fp").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep")))
-    settled = tagged.filter(F.coalesce("_repeated", F.lit(False))).dropDuplicates(["_fp", "_sha"])
-    plain = tagged.filter(~F.coalesce("_repeated", F.lit(False)))
-    return plain.unionByName(settled).select(*docs.columns)
+    tagged = docs.join(keep, (F.xxhash64(norm) == F.col(fp)) & (F.sha2(norm, 256) == F.col(sha)),
+                       "left").filter(F.col(fp).isNull() | docs["doc_id"].eqNullSafe(F.col(keep_id)))
+    again = F.coalesce(repeated, F.lit(False))
+    settled = tagged.filter(again).dropDuplicates([fp, sha])
+    return tagged.filter(~again).unionByName(settled).drop(fp, sha, keep_id, repeated)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import remainder, unused
 
 TRAIN_ROWS = 20_000
 SLOTS = 1 << 18
@@ -187,6 +187,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, min_score: float = 0.2) -> DataFrame:
     """Documents whose language is recognised: some letter, and a score of ``min_score`` or more."""
-    tagged = docs.withColumn("_language", detector(docs, model)(docs["text"]))
-    return tagged.filter((F.col("_language.lang_pred") != UNDECIDED)
-                         & (F.col("_language.score") >= min_score)).drop("_language")
+    name = unused(docs, "_language")
+    tagged = docs.withColumn(name, detector(docs, model)(docs["text"]))
+    return tagged.filter((F.col(name)["lang_pred"] != UNDECIDED)
+                         & (F.col(name)["score"] >= min_score)).drop(name)

@@ -23,6 +23,8 @@ TRAIN_DOCS = 5_000
 MIN_LENGTH = 20
 THRESHOLD = 0.8      # mean log ratio per pair of characters
 SMOOTHING = 0.5
+BACK_OFF = 4         # weight of the single-character rates in a pair's rate
+UNIFORM = 0.5        # share of random strings over the whole alphabet, besides the samples'
 
 # Java patterns (fixed by contract): quotes and blanks in escaped form
 ASSIGN = (r"((?i:password|passwd|secret|token|api_?key))[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?"
@@ -95,8 +97,8 @@ def labelled_samples(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame
 def train(samples: DataFrame) -> list[float]:
     """Log ratio P(next | char, random) / P(next | char, ordinary), SIZE x SIZE, row by row.
 
-    From labelled samples (value, is_secret); a class without samples is
-    uniform. The counts are at most 2 x SIZE^2 rows.
+    From labelled samples (value, is_secret); pair rates back off to single characters. Random
+    strings are taken to be of the samples' kind or uniform; a class without samples is uniform. The counts are at most 2 x SIZE^2 rows.
     """
     pairs = samples.filter(F.length("value") > 1).select("is_secret", F.explode_outer(F.expr(
         "transform(sequence(1, char_length(value) - 1), i -> substring(value, i, 2))")).alias("pair"))
@@ -107,12 +109,18 @@ def train(samples: DataFrame) -> list[float]:
     table = {(r["is_secret"], r["a"], r["b"]): r["n"] for r in
              counted.groupBy("is_secret", "a", "b").agg(F.count("*").alias("n")).collect()}
 
-    def log_rate(label, a):
-        row = [table.get((label, a, b), 0) + SMOOTHING for b in range(SIZE)]
-        return [math.log(x / sum(row)) for x in row]
-
-    return [s - p for a in range(SIZE)
-            for s, p in zip(log_rate(True, a), log_rate(False, a), strict=True)]
+    def rates(label):
+        single = [sum(table.get((label, a, b), 0) for a in range(SIZE)) + SMOOTHING
+                  for b in range(SIZE)]
+        total = sum(single)
+        for a in range(SIZE):
+            row = [table.get((label, a, b), 0) for b in range(SIZE)]
+            seen = sum(row) + BACK_OFF
+            for n, one in zip(row, single, strict=True):
+                p = (n + BACK_OFF * one / total) / seen
+                yield UNIFORM / SIZE + (1 - UNIFORM) * p if label else p
+
+    return [math.log(x / y) for x, y in zip(rates(True), rates(False), strict=True)]
 
 
 def _score(value: str, model: list[float]) -> str:
