@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabfold.operators.sampling import null_safe_join
+
 MAX_CLASSES = 10_000
 
 
@@ -59,12 +61,13 @@ def confusion_matrix(scored: DataFrame, label_col: str = "label", pred_col: str
                       .distinct().limit(MAX_CLASSES + 1).collect())
         if len(vals) > MAX_CLASSES:
             raise ValueError("too many classes for a confusion matrix")
-        classes = sorted(r[0] for r in vals if r[0] is not None)
+        found = [r[0] for r in vals]
+        classes = sorted(c for c in found if c is not None) + [None] * (None in found)
     totals = counts.groupBy(*by, label_col).agg(F.sum("n").alias("_total"))
     ltype = scored.schema[label_col].dataType
     grid = totals.withColumn(pred_col, F.explode(F.array(*[F.lit(c).cast(ltype) for c in classes])))
     counts = counts.withColumn(pred_col, F.col(pred_col).cast(ltype))
-    out = (grid.join(counts, [*by, label_col, pred_col], "left")
+    out = (null_safe_join(grid, counts, [*by, label_col, pred_col], "left", right_cols=["n"])
                .withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
                .withColumn("rate", F.col("n") / F.col("_total"))
                .drop("_total"))

@@ -41,7 +41,9 @@ def _vector(model) -> np.ndarray:
 def importances(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:
     """``(feature, importance)``; one row per feature (bounded by d)."""
     vec = _vector(model)
-    rows = [(str(n), float(v)) for n, v in zip(names, vec)]
+    if len(names) != len(vec):
+        raise ValueError(f"{len(names)} feature names for {len(vec)} importances")
+    rows = [(str(n), float(v)) for n, v in zip(names, vec, strict=True)]
     schema = T.StructType([T.StructField("feature", T.StringType()),
                            T.StructField("importance", T.DoubleType())])
     return spark.createDataFrame(rows, schema)

@@ -46,9 +46,10 @@ def boosted_multiclass(label_col: str = "indexedLabel", features_col: str = "ind
                        max_iter: int = 20, parallelism: int = 1, **params):
     """M5: k-class boosting as one-vs-rest GBT (GBT alone is binary).
     ``parallelism`` fits the k binary models concurrently on one session."""
+    weight = {k: params.pop(k) for k in ("weightCol",) if k in params}
     gbt = GBTClassifier(maxIter=max_iter, **params)
     return OneVsRest(classifier=gbt, labelCol=label_col, featuresCol=features_col,
-                     parallelism=parallelism)
+                     parallelism=parallelism, **weight)
 
 
 LEARNERS = {

@@ -68,9 +68,11 @@ def covariance(df: DataFrame, col: str, ddof: int = 1) -> DataFrame:
 
     parts = _as_array(df, col).mapInPandas(gram, schema)
     upper = parts.groupBy("i", "j").agg((F.sum("s") / F.lit(n - ddof)).alias("cov"))
-    lower = upper.filter(F.col("i") != F.col("j")).select(
+    # both triangles from the aggregated cells: the rows are read once
+    cell, mirrored = F.struct("i", "j", "cov"), F.struct(
         F.col("j").alias("i"), F.col("i").alias("j"), "cov")
-    return upper.unionByName(lower)
+    both = F.when(F.col("i") == F.col("j"), F.array(cell)).otherwise(F.array(cell, mirrored))
+    return upper.select(F.inline(both))
 
 
 def explained_variance(spark: SparkSession, pca_model, total_variance: float | None = None

@@ -82,10 +82,10 @@ def stratified_folds(df: DataFrame, keys: Sequence[str], label_col: str, n_folds
 
     Copies of one key share their hash, so a key copied many times makes its
     bucket hot. Buckets over ``hot_factor * rows_per_bucket`` rows are split
-    further: their rows get a position id (checkpointed, so the id survives
-    recomputation) and are cut into chunks of at most ``rows_per_bucket``
-    rows of the same hash, still contiguous in rank order. Copies are
-    interchangeable, so fold sizes stay exact.
+    further, by ranges of the rows' content hash, which is the rank order
+    within a key anyway: folds don't depend on the layout or on the bucket
+    size. Only rows that are equal in every column are cut by a position id
+    (checkpointed), and those are interchangeable.
     ``repeat_ids`` computes only the given repeats (same folds as in the full
     run), e.g. one at a time.
     """
@@ -105,41 +105,53 @@ def stratified_folds(df: DataFrame, keys: Sequence[str], label_col: str, n_folds
     hot_limit = max(hot_factor * rows_per_bucket, 1)
     chunk_bits = max(1, int(rows_per_bucket).bit_length() - 1)   # chunks <= rows_per_bucket
     hot = counts.filter(F.col("_n") > hot_limit).select(*grp)
+    # rank order is (_b, _h, _t) on every path; pieces are ranges of it
+    none = {"_sh": F.lit(""), "_sm": F.lit(0).cast("long"), "_st": F.lit(0).cast("long"),
+            "_sp": F.lit(0).cast("long")}
+    piece = [*grp, *none]
     if hot.limit(1).count() == 0:
-        pieces, rows = counts.withColumn("_sh", F.lit("")).withColumn("_sm", F.lit(0)), \
-            reps.withColumn("_sh", F.lit("")).withColumn("_sm", F.lit(0)) \
-                .withColumn("_m", F.lit(0).cast("long"))
+        pieces = counts.withColumns(none)
+        rows = reps.withColumns({**none, "_m": F.lit(0).cast("long")})
     else:
         from tabfold.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
         hot = broadcast_if_small(hot.persist())
-        cold_rows = _null_safe_join(reps, hot, grp, "left_anti")
-        hot_rows = (_null_safe_join(reps, hot, grp, "left_semi")
+        cold_rows = null_safe_join(reps, hot, grp, "left_anti")
+        hot_rows = (null_safe_join(reps, hot, grp, "left_semi")
                     .withColumn("_m", F.monotonically_increasing_id())
                     .checkpoint(eager=True))
+        # rows of one key: by ranges of the content hash
         hot_rows = (hot_rows.withColumn("_sh", F.col("_h"))
-                            .withColumn("_sm", F.shiftright(F.col("_m"), chunk_bits)))
-        hot_pieces = hot_rows.groupBy(*grp, "_sh", "_sm").agg(F.count(F.lit(1)).alias("_n"))
-        cold_pieces = (_null_safe_join(counts, hot, grp, "left_anti")
-                       .withColumn("_sh", F.lit("")).withColumn("_sm", F.lit(0).cast("long")))
+                            .withColumn("_sm", F.shiftright("_t", 48)))
+        ranges = [*grp, "_sh", "_sm"]
+        full = (hot_rows.groupBy(*ranges).agg(F.count(F.lit(1)).alias("_n"))
+                        .filter(F.col("_n") > hot_limit)
+                        .select(*ranges, F.lit(True).alias("_full")))
+        # a range that is still full holds equal rows: those alone are cut by position
+        hot_rows = null_safe_join(hot_rows, broadcast_if_small(full), ranges, "left",
+                                  right_cols=["_full"])
+        hot_rows = (hot_rows
+                    .withColumn("_st", F.when(F.col("_full"), F.col("_t")).otherwise(F.lit(0)))
+                    .withColumn("_sp", F.when(F.col("_full"), F.shiftright("_m", chunk_bits))
+                                .otherwise(F.lit(0)))
+                    .drop("_full"))
+        hot_pieces = hot_rows.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"))
+        cold_pieces = null_safe_join(counts, hot, grp, "left_anti").withColumns(none)
         pieces = cold_pieces.unionByName(hot_pieces)
-        rows = (cold_rows.withColumn("_sh", F.lit("")).withColumn("_sm", F.lit(0).cast("long"))
-                         .withColumn("_m", F.lit(0).cast("long"))
-                         .unionByName(hot_rows))
-    before = (Window.partitionBy(label_col, "repeat").orderBy("_b", "_sh", "_sm")
+        rows = cold_rows.withColumns({**none, "_m": F.lit(0).cast("long")}).unionByName(hot_rows)
+    before = (Window.partitionBy(label_col, "repeat").orderBy("_b", *none)
               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = (pieces.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
                      .drop("_n").persist())
-    piece = [*grp, "_sh", "_sm"]
-    joined = _null_safe_join(rows, broadcast_if_small(offsets), piece, "inner",
-                             right_cols=["_off"])
-    within = Window.partitionBy(*piece).orderBy("_h", *keys, "_t", "_m")
+    joined = null_safe_join(rows, broadcast_if_small(offsets), piece, "inner",
+                            right_cols=["_off"])
+    within = Window.partitionBy(*piece).orderBy("_h", "_t", *keys, "_m")
     rank = F.row_number().over(within) + F.col("_off")
     return (joined.withColumn("fold", ((rank - 1) % n_folds).cast("int"))
-                  .drop("_h", "_b", "_sh", "_sm", "_m", "_off", "_t"))
+                  .drop("_h", "_b", *none, "_m", "_off", "_t"))
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
                     right_cols: Sequence[str] = ()) -> DataFrame:
     """Equi-join on ``on`` where null equals null (a null class is a class)."""
     a, b = left.alias("_l"), right.alias("_r")

@@ -11,30 +11,33 @@ from tabfold.functions.exprs import binary_label
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
-# Bytes a side may hold to be broadcast. Checked by counting the side's rows
-# (at most max_rows + 1 are read) times an estimate of its row width, so a
-# side that grows with the data is shuffled instead of shipped to every task.
+# Bytes a side may hold to be broadcast. They are measured, so a side that
+# grows with the data is shuffled instead of shipped to every task.
 BROADCAST_MAX_BYTES = 64 << 20
 _WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "bigint": 8,
           "float": 4, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
+ROW_OVERHEAD = 16
 
 
-def row_bytes(schema) -> int:
-    """Rough in-memory width of a row (strings 32 bytes, nested 128)."""
-    total = 16
-    for f in schema.fields:
+def measured_bytes(df: DataFrame) -> int | None:
+    """Bytes the rows hold, by one partial aggregation; None if a column's type has no measure."""
+    width = F.lit(ROW_OVERHEAD)
+    for f in df.schema.fields:
         t = f.dataType.simpleString()
-        total += _WIDTH.get(t, 32 if t == "string" else 128)
-    return total
+        if t in _WIDTH:
+            width = width + _WIDTH[t]
+        elif t in ("string", "binary"):
+            width = width + 8 + F.coalesce(F.octet_length(df[f.name]), F.lit(0))
+        else:
+            return None
+    return int(df.agg(F.sum(width.cast("long"))).first()[0] or 0)
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Broadcast hint only for a side proven small; else leave it to the
+    """Broadcast hint only for a side measured small; else leave it to the
     planner (sort-merge join, or AQE's runtime conversion)."""
-    max_rows = max(1, max_bytes // row_bytes(df.schema))
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    size = measured_bytes(df)
+    return F.broadcast(df) if size is not None and size <= max_bytes else df
 
 
 def drop_columns(df: DataFrame, *cols: str) -> DataFrame:

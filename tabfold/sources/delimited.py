@@ -87,15 +87,21 @@ def multi_header_names(lines: Sequence[str], sep: str = ",", join: str = "_",
 
 def read_multi_header(spark: SparkSession, path: str, n_header: int = 3, sep: str = ",",
                       join: str = "_", key_name: str = "track_id",
-                      value_type="double", key_type: str = "bigint") -> DataFrame:
+                      value_type="double", key_type: str = "bigint",
+                      header_path: str | None = None) -> DataFrame:
     """S4 + S6: CSV whose column names span ``n_header`` rows, followed by
     metadata rows (e.g. ``track_id,,,``).
 
-    Names come from the first ``n_header`` lines; the body is read with a
+    Names come from the first ``n_header`` lines (of ``header_path`` if given); the body is read with a
     generated schema (key as text) and only rows whose key parses as an
     integer are kept - a bad key drops its row, a bad cell becomes null.
     """
-    names = multi_header_names(header_lines(spark, path, n_header), sep, join, key_name)
+    lines = header_lines(spark, header_path or path, n_header)
+    for line in lines:
+        if _split_line(line, sep)[0].strip().lstrip("-").isdigit():
+            raise ValueError(f"a data row stands where a header row should: {line[:80]!r}; "
+                             "give header_path if only one of the files has the header")
+    names = multi_header_names(lines, sep, join, key_name)
     vtype = _dtype(value_type)
     schema = T.StructType([T.StructField(names[0], T.StringType(), True)] +
                           [T.StructField(n, vtype, True) for n in names[1:]])

@@ -7,21 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_parallelism(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """Spread an under-partitioned input (e.g. one small file with one row
-    group) over the cluster's cores, hash-partitioned on ``keys`` when given
-    (no local sort, unlike round-robin). A large input already has at least
-    that many splits, so this adds no shuffle at scale."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, *keys) if keys else df.repartition(target)
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread an input of a single split (one small file, or one row group)
+    over the cluster's cores. One split holds at most
+    ``spark.sql.files.maxPartitionBytes``, which bounds what is moved; an
+    input of several splits is left as it is."""
+    if df.rdd.getNumPartitions() == 1:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return df
 
 
 def read_table(spark: SparkSession, data_dir: str, name: str,
-               columns: Sequence[str] | None = None, spread: bool = False,
-               keys: Sequence[str] | None = None) -> DataFrame:
+               columns: Sequence[str] | None = None, spread: bool = False) -> DataFrame:
     df = spark.read.parquet(f"{data_dir.rstrip('/')}/{name}.parquet")
     if columns:
         df = df.select(*columns)
-    return ensure_parallelism(df, keys) if spread else df
+    return ensure_parallelism(df) if spread else df
