@@ -5,30 +5,27 @@ The profile (``describe().T``) is computed on the long form
 ``(feature, value)`` with one grouped aggregation for the moments, not one
 pass per column. Quartiles are *exact* with linear interpolation (as
 pandas and ``quantile_cont``), without ever holding a whole feature in one
-task:
-
-1. the moment pass also counts the values per feature; a feature with few
-   enough values (``max_candidates``) skips to step 3 with no bracket;
-2. otherwise an approximate quantile grid (``percentile_approx``, a
-   mergeable bounded sketch) brackets each target rank ``k`` between two
-   grid values whose ranks enclose it (the sketch's rank error is at most
-   n/accuracy); a counting pass verifies the bracket, and brackets that still
-   hold too many rows are refined with a new grid over their rows only;
-3. the bracket rows are pre-aggregated to ``(value, count)`` and an exact
-   running count over those few distinct values yields the order statistics.
-
-A bracket whose rank check fails falls back to the full range, so the
-result is exact in every case; only its cost changes.
+task. Each wanted rank has a cell, at first the whole feature:
+
+1. while a cell holds more than ``max_candidates`` rows, a mergeable bounded
+   sketch (``percentile_approx``) proposes two cut values around the rank, and
+   a counting pass gives the exact sizes of the five cells they make: below,
+   at the first cut, between, at the second, above. The rank moves to the
+   cell that holds it. A cut is a value of the cell, so every round narrows,
+   whatever the sketch's error; a cell of one value is the answer;
+2. rows of the remaining cells are pre-aggregated to ``(value, count)`` and an
+   exact running count over those few distinct values yields the order
+   statistics.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabfold.operators.wrangle import broadcast_if_small
 
@@ -46,12 +43,17 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _number(col: str):
+    """A NaN counts as null: aggregates skip it, as describe() does."""
+    value = F.col(col).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def long_format(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
-    """``(feature, value)`` rows for the given numeric columns, nulls and
-    NaNs dropped (describe() ignores them)."""
-    wide = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols])
-    long = wide.unpivot(list(ids), list(cols), "feature", "value")
-    return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    """``(feature, value)`` rows for the given numeric columns. Null values
+    stay, so a feature without any value still has its profile row."""
+    wide = df.select(*ids, *[_number(c).alias(c) for c in cols])
+    return wide.unpivot(list(ids), list(cols), "feature", "value")
 
 
 def array_long_format(df: DataFrame, col: str, names: Sequence[str] | None = None,
@@ -62,190 +64,162 @@ def array_long_format(df: DataFrame, col: str, names: Sequence[str] | None = Non
         feat = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1)
     else:
         feat = F.concat(F.lit(prefix), F.col("_i").cast("string"))
-    out = pos.select(feat.alias("feature"), F.col("value").cast("double").alias("value"))
-    return out.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    return pos.select(feat.alias("feature"), _number("value").alias("value"))
 
 
 # --------------------------------------------------------------- quantiles
 
-GRID = 1000
-
-
-def _grid_probs(g: int = GRID) -> list[float]:
-    return [i / g for i in range(1, g)]
-
-
-def _bracket(grid: list[float], lo_rank: float, hi_rank: float, m: int, accuracy: int,
-             old_lo, old_hi):
-    """Grid cells enclosing relative ranks [lo_rank, hi_rank] of m rows, with
-    a margin for the sketch error (m/accuracy ranks) and one row each way."""
-    g = len(grid) + 1
-    slack = (3.0 * m / accuracy + 2.0) / m * g
-    i_lo = math.floor(lo_rank / m * g - slack)
-    i_hi = math.ceil(hi_rank / m * g + slack)
-    lo = grid[i_lo - 1] if 1 <= i_lo <= len(grid) else old_lo
-    hi = grid[i_hi - 1] if 1 <= i_hi <= len(grid) else old_hi
-    if i_lo < 1:
-        lo = old_lo
-    if i_hi > len(grid):
-        hi = old_hi
-    return lo, hi
+GRID = 200
+MAX_CANDIDATES = 1 << 20
+
+
+@dataclass
+class _Cell:
+    """Open interval (lo, hi) of values, None without end, that holds a rank."""
+    n: int                      # rows inside
+    lo: float | None = None
+    hi: float | None = None
+    below: int = 0              # rows of the feature at or before lo
+    value: float | None = None  # the order statistic, once known
+
+
+def _inside():
+    return ((F.col("lo").isNull() | (F.col("value") > F.col("lo")))
+            & (F.col("hi").isNull() | (F.col("value") < F.col("hi"))))
+
+
+def _rows_of(long: DataFrame, cells: list[tuple], extra: str = "") -> DataFrame:
+    """Values of ``long`` with the cells (feature, id, lo, hi, ...) they lie in."""
+    schema = "feature string, id int, lo double, hi double" + extra
+    small = long.sparkSession.createDataFrame(cells, schema)
+    return long.join(broadcast_if_small(small), "feature").filter(_inside())
+
+
+def _distinct_cells(items) -> dict:
+    """(feature, lo, hi) -> number; ranks in the same cell share it."""
+    ids: dict = {}
+    for (feature, _), c in items:
+        ids.setdefault((feature, c.lo, c.hi), len(ids))
+    return ids
+
+
+def _narrow(long: DataFrame, items: list, accuracy: int) -> None:
+    """One round: every given rank moves to a smaller cell that holds it."""
+    ids = _distinct_cells(items)
+    grids = {r["id"]: r["grid"] for r in
+             _rows_of(long, [(f, i, lo, hi) for (f, lo, hi), i in ids.items()])
+             .groupBy("id").agg(F.percentile_approx(
+                 "value", [i / GRID for i in range(GRID + 1)], accuracy).alias("grid")).collect()}
+    cuts = []
+    for at, ((feature, rank), c) in enumerate(items):
+        grid = grids[ids[feature, c.lo, c.hi]]
+        place = (rank - c.below) / c.n * GRID
+        cuts.append((feature, at, c.lo, c.hi, grid[max(math.floor(place) - 1, 0)],
+                     grid[min(math.ceil(place) + 1, GRID)]))
+    v, a, b = F.col("value"), F.col("a"), F.col("b")
+    sizes = (_rows_of(long, cuts, ", a double, b double").groupBy("id", "a", "b")
+             .agg(F.count_if(v < a).alias("under"), F.count_if(v == a).alias("first"),
+                  F.count_if((v > a) & (v < b)).alias("between"),
+                  F.count_if((v == b) & (a < b)).alias("second"), F.count_if(v > b).alias("over"))
+             .collect())
+    for r in sizes:
+        (_, rank), c = items[r["id"]]
+        for lo, hi, n, value in ((c.lo, r["a"], r["under"], None), (None, None, r["first"], r["a"]),
+                                 (r["a"], r["b"], r["between"], None),
+                                 (None, None, r["second"], r["b"]), (r["b"], c.hi, r["over"], None)):
+            if rank < c.below + n:
+                c.lo, c.hi, c.n, c.value = lo, hi, n, value
+                break
+            c.below += n
+
+
+def _order_statistics(long: DataFrame, items: list) -> None:
+    """Exact values of ranks whose cells are small enough for one window."""
+    ids = _distinct_cells(items)
+    cand = (_rows_of(long, [(f, i, lo, hi) for (f, lo, hi), i in ids.items()])
+            .groupBy("id", "value").agg(F.count(F.lit(1)).alias("c")))
+    w = Window.partitionBy("id").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = long.sparkSession.createDataFrame(
+        [(ids[f, c.lo, c.hi], at, rank - c.below) for at, ((f, rank), c) in enumerate(items)],
+        "id int, at int, place long")
+    ranked = cand.withColumn("end", F.sum("c").over(w)).join(broadcast_if_small(wanted), "id")
+    found = ranked.filter((F.col("end") - F.col("c") <= F.col("place"))
+                          & (F.col("place") < F.col("end")))
+    for r in found.select("at", "value").collect():
+        items[r["at"]][1].value = r["value"]
 
 
 def exact_quantiles(long: DataFrame, probs: Sequence[float] = (0.25, 0.5, 0.75),
-                    accuracy: int = 10000, max_candidates: int = 1_000_000,
-                    max_rounds: int = 8, counts: DataFrame | None = None) -> DataFrame:
+                    accuracy: int = 10000, max_candidates: int = MAX_CANDIDATES,
+                    counts: dict[str, int] | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles ``(feature, q, quantile)`` over
-    ``long`` = ``(feature, value)``; ``q`` indexes ``probs``.
+    ``long`` = ``(feature, value)``; ``q`` indexes ``probs``. Nulls don't
+    count; a feature without values has no rows.
 
-    A feature with at most ``max_candidates`` values goes straight to the
-    exact step (its window then holds at most that many distinct values).
-    Larger features are bracketed with the sketch grid first. ``counts`` may
-    carry ``(feature, n)`` computed with the moments, saving one scan.
+    No window holds more than ``max_candidates`` distinct values. The driver
+    keeps two ranks per feature and quantile. ``counts`` may carry the values
+    per feature, saving one scan.
     """
     spark = long.sparkSession
-    probs = list(probs)
+    long = long.select("feature", "value").filter(F.col("value").isNotNull())
     if counts is None:
-        counts = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    targets = {}
-    for r in counts.collect():
-        n = int(r["n"])
-        if n == 0:
-            continue
-        for q, p in enumerate(probs):
-            h = (n - 1) * p
-            k0 = math.floor(h)
-            targets[(r["feature"], q)] = dict(n=n, k0=k0, k1=min(k0 + 1, n - 1), frac=h - k0,
-                                              lo=None, hi=None, below=0, m=n,
-                                              done=n <= max_candidates)
-    state_schema = T.StructType([
-        T.StructField("feature", T.StringType()), T.StructField("q", T.IntegerType()),
-        T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
-
-    def in_bracket():
-        return ((F.col("lo").isNull() | (F.col("value") >= F.col("lo")))
-                & (F.col("hi").isNull() | (F.col("value") <= F.col("hi"))))
-
-    def with_state(items):
-        rows = [(f, q, t["lo"], t["hi"]) for (f, q), t in items]
-        return long.join(broadcast_if_small(spark.createDataFrame(rows, state_schema)), "feature")
-
-    def refine(items):
-        """Sketch grid over each target's current bracket -> narrower bracket."""
-        grids = (with_state(items).filter(in_bracket()).groupBy("feature", "q")
-                 .agg(F.percentile_approx("value", _grid_probs(), accuracy).alias("grid"))
-                 .collect())
-        moved = False
-        for r in grids:
-            t = targets[(r["feature"], r["q"])]
-            lo, hi = _bracket(list(r["grid"] or []), t["k0"] - t["below"], t["k1"] - t["below"],
-                              t["m"], accuracy, t["lo"], t["hi"])
-            if lo is not None and t["lo"] is not None and lo < t["lo"]:
-                lo = t["lo"]
-            if hi is not None and t["hi"] is not None and hi > t["hi"]:
-                hi = t["hi"]
-            moved |= (lo, hi) != (t["lo"], t["hi"])
-            t["lo"], t["hi"] = lo, hi
-        return moved
-
-    for _ in range(max_rounds):
-        pending = [(key, t) for key, t in targets.items() if not t["done"]]
-        if not pending or not refine(pending):
-            break
-        # verify each bracket encloses both ranks and measure its size
-        stats = with_state(pending).groupBy("feature", "q").agg(
-            F.sum((F.col("lo").isNotNull() & (F.col("value") < F.col("lo"))).cast("long")).alias("below"),
-            F.sum(in_bracket().cast("long")).alias("m")).collect()
-        for r in stats:
-            t = targets[(r["feature"], r["q"])]
-            below, m = int(r["below"] or 0), int(r["m"] or 0)
-            if not (below <= t["k0"] and t["k1"] < below + m):
-                # rank check failed: full range (exact, costlier)
-                t.update(lo=None, hi=None, below=0, m=t["n"], done=True)
-                continue
-            t.update(below=below, m=m, done=m <= max_candidates or t["lo"] == t["hi"])
-    # exact order statistics over the (few) distinct values of each bracket;
-    # targets sharing a bracket (e.g. all quartiles of a small feature) are
-    # one row, so each value is ranked once per bracket, not once per target
-    nq = len(probs)
-    groups: dict = {}
-    for (f, q), t in targets.items():
-        groups.setdefault((f, t["lo"], t["hi"], t["below"]), {})[q] = t
-    fields = [T.StructField("feature", T.StringType()), T.StructField("bid", T.IntegerType()),
-              T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
-              T.StructField("below", T.LongType())]
-    for i in range(nq):
-        fields += [T.StructField(f"k0_{i}", T.LongType()), T.StructField(f"k1_{i}", T.LongType()),
-                   T.StructField(f"frac_{i}", T.DoubleType())]
+        counts = {r["feature"]: r["n"] for r in
+                  long.groupBy("feature").agg(F.count("value").alias("n")).collect()}
+    cells: dict[tuple, _Cell] = {}
+    wanted = []
+    for feature, n in counts.items():
+        for q, p in enumerate(probs if n else ()):
+            k = math.floor((n - 1) * p)
+            lower, upper = (feature, k), (feature, min(k + 1, n - 1))
+            cells.setdefault(lower, _Cell(n))
+            cells.setdefault(upper, _Cell(n))
+            wanted.append((feature, q, lower, upper, (n - 1) * p - k))
+    while large := [(key, c) for key, c in cells.items()
+                    if c.value is None and c.n > max_candidates]:
+        _narrow(long, large, accuracy)
+    if rest := [(key, c) for key, c in cells.items() if c.value is None]:
+        _order_statistics(long, rest)
     rows = []
-    for bid, ((f, lo, hi, below), qs) in enumerate(groups.items()):
-        row = [f, bid, lo, hi, below]
-        for i in range(nq):
-            t = qs.get(i)
-            row += [t["k0"], t["k1"], t["frac"]] if t else [None, None, None]
-        rows.append(tuple(row))
-    br = broadcast_if_small(spark.createDataFrame(rows, T.StructType(fields)))
-    cand = (long.join(br.select("feature", "bid", "lo", "hi"), "feature").filter(in_bracket())
-                .groupBy("feature", "bid", "value").agg(F.count(F.lit(1)).alias("c")))
-    w = (Window.partitionBy("feature", "bid").orderBy("value")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    ranked = (cand.withColumn("_end", F.sum("c").over(w))
-                  .join(br.drop("lo", "hi"), ["feature", "bid"])
-                  .withColumn("_start", F.col("below") + F.col("_end") - F.col("c"))
-                  .withColumn("_end", F.col("below") + F.col("_end")))
-
-    def at(k):
-        return F.max(F.when((F.col("_start") <= F.col(k)) & (F.col(k) < F.col("_end")),
-                            F.col("value")))
-
-    aggs = []
-    for i in range(nq):
-        aggs += [at(f"k0_{i}").alias(f"v0_{i}"), at(f"k1_{i}").alias(f"v1_{i}"),
-                 F.first(f"frac_{i}").alias(f"frac_{i}")]
-    per_bracket = ranked.groupBy("feature", "bid").agg(*aggs)
-    items = F.array(*[F.struct(F.lit(i).alias("q"), F.col(f"frac_{i}").alias("frac"),
-                               (F.col(f"v0_{i}") + F.col(f"frac_{i}")
-                                * (F.col(f"v1_{i}") - F.col(f"v0_{i}"))).alias("quantile"))
-                      for i in range(nq)])
-    return (per_bracket.select("feature", F.explode(items).alias("t"))
-                       .filter(F.col("t.frac").isNotNull())
-                       .select("feature", "t.q", "t.quantile"))
+    for feature, q, lower, upper, share in wanted:
+        a, b = cells[lower].value, cells[upper].value
+        rows.append((feature, q, a if a == b else a + share * (b - a)))
+    return spark.createDataFrame(rows, "feature string, q int, quantile double")
+
+
+def moments(long: DataFrame, *more) -> DataFrame:
+    """Per feature ``count, mean, std (n-1), min, max`` (and more aggregates), one pass."""
+    return long.groupBy("feature").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+        F.max("value").alias("max"), *more)
 
 
 def feature_profile(long: DataFrame, probs: Sequence[float] = (0.25, 0.5, 0.75),
-                    approx: bool = False, accuracy: int = 10000, rows_bound: int | None = None,
-                    max_candidates: int = 1_000_000) -> DataFrame:
+                    approx: bool = False, accuracy: int = 10000,
+                    max_candidates: int = MAX_CANDIDATES) -> DataFrame:
     """A3: per feature ``count, mean, std (n-1), min, p25, p50, p75, max``,
-    sorted by std ascending.
-
-    Exact quartiles by default. When the caller knows no feature has more
-    than ``max_candidates`` values (``rows_bound``, e.g. the row count of the
-    wide table from parquet metadata), Spark's exact ``percentile`` runs in
-    the same single pass - its per-group state is bounded by that count.
-    Otherwise the bracketed path of ``exact_quantiles`` is used.
-    ``approx=True`` returns the sketch quartiles (one pass) instead.
+    sorted by std ascending. A feature without values has count 0 and nulls.
+
+    Exact quartiles by default, by one method at every size
+    (``exact_quantiles``). ``approx=True`` returns the sketch quartiles (one
+    pass) instead. The driver holds one row per feature.
     """
     names = [f"p{int(round(p * 100))}" for p in probs]
-    moments = [F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
-               F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-               F.max("value").alias("max")]
-    one_pass = approx or (rows_bound is not None and rows_bound <= max_candidates)
-    if one_pass:
-        q = (F.percentile_approx("value", list(probs), accuracy) if approx
-             else F.percentile("value", F.array(*[F.lit(float(p)) for p in probs])))
-        first = long.groupBy("feature").agg(*moments, q.alias("grid"))
-        out = first.select("feature", "count", "mean", "std", "min",
-                           *[F.col("grid")[i].alias(nm) for i, nm in enumerate(names)], "max")
+    if approx:
+        grid = F.percentile_approx("value", list(probs), accuracy).alias("grid")
+        out = moments(long, grid).select(
+            "feature", "count", "mean", "std", "min",
+            *[F.col("grid")[i].alias(nm) for i, nm in enumerate(names)], "max")
     else:
-        first = long.groupBy("feature").agg(*moments).persist()
-        qs = exact_quantiles(long, probs, accuracy, max_candidates,
-                             counts=first.select("feature", F.col("count").alias("n")))
-        wide = (qs.groupBy("feature")
-                  .pivot("q", list(range(len(probs))))
-                  .agg(F.first("quantile")))
-        wide = wide.select("feature", *[F.col(str(i)).alias(nm) for i, nm in enumerate(names)])
-        out = (first.join(wide, "feature", "left")
-                    .select("feature", "count", "mean", "std", "min", *names, "max"))
+        rows = moments(long).collect()
+        found = exact_quantiles(long, probs, accuracy, max_candidates,
+                                {r["feature"]: r["count"] for r in rows}).collect()
+        at = {(r["feature"], r["q"]): r["quantile"] for r in found}
+        out = long.sparkSession.createDataFrame(
+            [(r["feature"], r["count"], r["mean"], r["std"], r["min"],
+              *[at.get((r["feature"], i)) for i in range(len(names))], r["max"]) for r in rows],
+            "feature string, count long, " + ", ".join(
+                f"{c} double" for c in ("mean", "std", "min", *names, "max")))
     return out.orderBy(F.col("std").asc_nulls_first(), "feature")
 
 

@@ -57,6 +57,24 @@ def random_split(df: DataFrame, weights: Sequence[float] = (0.7, 0.3), seed=None
     return df.randomSplit(list(weights), int(seed) if seed is not None else None)
 
 
+def numbered_copies(df: DataFrame, out: str = "_copy", chunk: int = 1 << 16) -> DataFrame:
+    """Number equal rows 0, 1, 2, ... so that a split by all columns and
+    ``out`` deals copies to both sides (K1 for tables without a key).
+
+    Equal rows are counted (map-side combined), then spread out again in
+    chunks of ``chunk`` copies that are dealt separately: a row with a third
+    of the table never meets in one task. The same whatever the layout.
+    """
+    cols = df.columns
+    last = F.floor((F.col("_n") - 1) / chunk).cast("long")
+    chunks = (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+              .repartition(*cols, "_chunk"))
+    first = F.col("_chunk") * chunk
+    return chunks.withColumn(out, F.explode(F.sequence(
+        first, F.least(first + chunk, F.col("_n")) - 1))).drop("_n", "_chunk")
+
+
 def _hex_digits(n_rows: int, rows_per_bucket: int) -> int:
     if n_rows <= rows_per_bucket:
         return 1

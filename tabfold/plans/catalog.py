@@ -234,8 +234,161 @@ def q_model_summary(spark, d):
     return out
 
 
+# ------------------------------------------------ noisy labels, whole jobs
+
+def _noisy(rule):
+    """The rule's label, turned over for one key in eight (SQL for both engines)."""
+    keys = ", ".join(f"CAST({k} AS STRING)" for k in LI_KEYS)
+    return (f"CAST(CASE WHEN substr(md5(concat_ws(':', {keys}, 'noise')), 1, 1) < '2' "
+            f"THEN 1 - {rule} ELSE {rule} END AS INTEGER)")
+
+
+def _sql_noisy(rule, seed=SEED):
+    """What a learner that sees through the noise predicts: the clean rule."""
+    return (f"SELECT split, label, prediction, count(*) AS n_rows FROM ("
+            f"SELECT {_sql_split(LI_KEYS, seed)} AS split, {_noisy(rule)} AS label, "
+            f"{rule} AS prediction FROM lineitem) t GROUP BY split, label, prediction")
+
+
+def _sql_noisy_report(model, rule):
+    return (f"SELECT '{model}' AS model, CAST({SEED} AS INTEGER) AS seed, "
+            f"CASE split WHEN 'train' THEN 'Train accuracy' ELSE 'Test accuracy' END AS ValueType, "
+            f"round(sum(CASE WHEN label = prediction THEN n_rows ELSE 0 END) / sum(n_rows), {DIGITS}) "
+            f"AS Value FROM ({_sql_noisy(rule)}) r GROUP BY split")
+
+
+def q_logistic_job(spark, d):
+    """E8 for the binary job: headerless CSV, class text 'normal' against the rest."""
+    cols = list(dict.fromkeys([*LI_KEYS, *LI_FEATURES]))
+    li = _t(spark, d, "lineitem").withColumn(
+        "class", F.expr(f"CASE WHEN {_noisy(RULE_LINEAR)} = 1 THEN 'normal' ELSE 'other' END"))
+    li = li.select(*cols, "class")
+    path, out = scratch_path(spark, "connections"), scratch_path(spark, "report")
+    li.write.csv(path)
+    jobs.run_job(spark, delimited.read_headerless(spark, path, li.columns, li.schema), out, "logistic",
+                 SEED, LI_FEATURES, "class", jobs.is_class("class", jobs.NORMAL), LI_KEYS)
+    back = spark.read.schema("ValueType string, Value double").csv(out)
+    return back.filter(F.col("ValueType") != "Run time").select(
+        "model", "seed", "ValueType", _r("Value").alias("Value"))
+
+
+GBM_VARIANTS = ("raw", "scaled", "scaled_pca")
+GENRE = (f"CASE WHEN l_quantity < 5 THEN 'Electronic' WHEN {RULE_TREE} = 1 THEN 'Rock' "
+         f"ELSE 'Experimental' END")
+
+
+def q_gbm_job(spark, d):
+    """E6 + E8: bzip2 CSV with dotted names -> safe names -> two genres -> 0/1
+    label -> boosted trees on three variants -> a report per variant, read
+    back. The rule is oblique after PCA, so that variant's accuracies count as
+    0.99 from 0.99 on; the others are exact."""
+    cols = list(dict.fromkeys([*LI_KEYS, *LI_FEATURES]))
+    li = _t(spark, d, "lineitem").withColumn("Genre", F.expr(GENRE)).select(*cols, "Genre")
+    path, out = scratch_path(spark, "wrangled") + ".bz2", scratch_path(spark, "report")
+    sinks.write_table(li.toDF(*[c.replace("_", ".", 1) for c in li.columns]), path)
+    table = delimited.safe_names(delimited.read_with_header(spark, path, infer=True))
+    jobs.run_job(spark, table, out, "gbt", SEED, LI_FEATURES, "Genre", jobs.is_class("Genre", "Rock"),
+                 LI_KEYS, classes=("Rock", "Experimental"), variants=GBM_VARIANTS)
+    back = spark.read.schema("ValueType string, Value double").csv(out)
+    value = F.when((F.col("variant") == "scaled_pca") & (F.col("Value") >= 0.99), 0.99).otherwise(
+        _r("Value"))
+    return back.filter(F.col("ValueType") != "Run time").select(
+        "model", "variant", "seed", "ValueType", value.alias("Value"))
+
+
+SQL_GBM_JOB = (f"SELECT 'gbt' AS model, v.variant, CAST({SEED} AS INTEGER) AS seed, "
+               f"CASE split WHEN 'train' THEN 'Train accuracy' ELSE 'Test accuracy' END AS ValueType, "
+               f"CASE WHEN v.variant = 'scaled_pca' THEN 0.99::DOUBLE ELSE 1.0::DOUBLE END AS Value "
+               f"FROM (SELECT DISTINCT {_sql_split(LI_KEYS, SEED)} AS split FROM lineitem "
+               f"WHERE {GENRE} <> 'Electronic') t, "
+               f"(VALUES {', '.join(f'({v!r})' for v in GBM_VARIANTS)}) v(variant)")
+
+SEGMENTS = ("BUILDING", "MACHINERY")
+
+
+def q_wrangle_job(spark, d):
+    """Both raw files -> join -> class filter -> bzip2 CSV, read back."""
+    feats = fixtures.write_multi_header_embeddings(spark, _t(spark, d, "embeddings"), EMB_D)
+    tracks = fixtures.write_repeated_header_customers(spark, _t(spark, d, "customer"))
+    return jobs.wrangle_job(spark, feats, tracks, scratch_path(spark, "wrangled") + ".bz2",
+                            classes=SEGMENTS, value_type="float")
+
+
+def _sql_wrangle_job():
+    return (f"SELECT e.*, c_mktsegment AS Genre FROM ({_sql_multiheader()}) e "
+            f"JOIN customer ON c_custkey = track_id WHERE c_mktsegment IN {SEGMENTS}")
+
+
+SWEEP_LEARNERS = ("tree", "logistic", "lasso")
+
+
+def _sweep_all(spark, d):
+    """E7 for the three published learners, written as collated results and read back."""
+    li = _t(spark, d, "lineitem", spread=True).withColumn("label", F.expr(_noisy(RULE_LINEAR)))
+    path = scratch_path(spark, "collated")
+    for name in SWEEP_LEARNERS:
+        runs = ex.seed_sweep(li, LI_FEATURES, "label", LI_KEYS, name, SWEEP, parallelism=4)
+        sinks.write_report(runs.select("metric", "value", "seed", "model"), path, ("model",),
+                           "overwrite_partitions", header=True)
+    return sinks.read_collated(spark, path)
+
+
+def q_seed_sweep_all(spark, d):
+    return _sweep_all(spark, d).withColumn("value", _r("value"))
+
+
+def q_seed_summary_all(spark, d):
+    s = evaluate.seed_summary(_sweep_all(spark, d))
+    return s.withColumns({c: _r(c) for c in ("min", "max", "mean", "std")})
+
+
+_SWEEP_ALL = (f"WITH s AS (SELECT v.seed, {_sql_split(LI_KEYS, 'v.seed')} AS split, "
+              f"{_noisy(RULE_LINEAR)} = {RULE_LINEAR} AS hit "
+              f"FROM lineitem, (VALUES {', '.join(f'({x})' for x in SWEEP)}) v(seed)), "
+              f"a AS (SELECT CAST(seed AS INTEGER) AS seed, split, count(*) AS n, "
+              f"sum(CASE WHEN hit THEN 1 ELSE 0 END) / count(*) AS acc FROM s GROUP BY seed, split), "
+              f"r AS (SELECT m.model, seed, split || '_rows' AS metric, CAST(n AS DOUBLE) AS value "
+              f"FROM a, (VALUES {', '.join(f'({m!r})' for m in SWEEP_LEARNERS)}) m(model) "
+              f"UNION ALL SELECT m.model, seed, split || '_accuracy', acc "
+              f"FROM a, (VALUES {', '.join(f'({m!r})' for m in SWEEP_LEARNERS)}) m(model)) ")
+SQL_SEED_SWEEP_ALL = _SWEEP_ALL + f"SELECT model, seed, metric, round(value, {DIGITS}) AS value FROM r"
+SQL_SEED_SUMMARY_ALL = (
+    _SWEEP_ALL + f"SELECT model, metric, round(min(value), {DIGITS}) AS min, "
+    f"round(max(value), {DIGITS}) AS max, round(avg(value), {DIGITS}) AS mean, "
+    f"round(stddev_samp(value), {DIGITS}) AS std, count(*) AS n_runs FROM r GROUP BY model, metric")
+
+
 # ------------------------------------------------------------ splits, folds
 
+
+def q_random_split_parts(spark, d):
+    """K1(a): the parts of ``randomSplit`` cover the table and share no row."""
+    train, test = sampling.random_split(_t(spark, d, "orders"), (0.7, 0.3), "23")
+    both = train.select("o_orderkey", F.lit(1).alias("t")).unionByName(
+        test.select("o_orderkey", F.lit(0).alias("t")))
+    keys = both.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
+    return keys.agg(F.sum("n").alias("n_rows"), F.count_if(F.col("n") > 1).alias("n_shared"),
+                    F.avg("t").between(0.6, 0.8).alias("share_ok"))
+
+
+SQL_RANDOM_SPLIT_PARTS = ("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_shared, "
+                          "true AS share_ok FROM orders")
+
+
+def q_copy_split(spark, d):
+    """K1 without a key: half the rows are copies of few; rows per side are near 70 %."""
+    o = _t(spark, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.lit("copy")).otherwise(
+        F.col("o_orderkey").cast("string")).alias("k"), "o_orderstatus")
+    rows = sampling.numbered_copies(o, chunk=64)
+    return sampling.hash_split(rows, ["k", "o_orderstatus", "_copy"], SEED)
+
+
+SQL_COPY_SPLIT = ("WITH o AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'copy' "
+                  "ELSE CAST(o_orderkey AS VARCHAR) END AS k, o_orderstatus FROM orders), "
+                  "n AS (SELECT *, row_number() OVER (PARTITION BY k, o_orderstatus) - 1 AS _copy FROM o) "
+                  f"SELECT *, {_sql_split(['k', 'o_orderstatus', '_copy'], SEED)} AS split FROM n")
+
+
 # split seeds of the jobs (1, 23, 42) and of the single-machine notebook (2342)
 SPLIT_SEEDS = (1, 23, 42, 2342)
 
@@ -366,6 +519,34 @@ def q_pca_variance(spark, d):
     return red.explained_variance(spark, pca, total)
 
 
+def q_pca_power_sums(spark, d):
+    """F7-F10 against SQL: the eigenvalues' power sums are the traces of the
+    matrix's powers (p = 1, 2, 3), and a full rotation keeps the rows' squared
+    norms (p = 0)."""
+    e = _emb_vectors(spark, d).filter(F.col("split") == "train")
+    scaled = features.fit_scaler(e, "features", "normFeatures", with_mean=True).transform(e)
+    pca = red.fit_pca(scaled, "normFeatures", "pca", EMB_D)
+    spectrum = red.explained_variance(spark, pca, red.total_variance(scaled, "normFeatures"))
+    powers = (spectrum.select(F.explode(F.array(*[F.lit(p) for p in (1, 2, 3)])).alias("p"), "eigenvalue")
+              .groupBy("p").agg(F.sum(F.pow("eigenvalue", "p")).alias("value")))
+    norms = pca.transform(scaled).select(F.explode(vector_to_array("pca")).alias("x")).agg(
+        F.lit(0).alias("p"), F.sum(F.col("x") * F.col("x")).alias("value"))
+    return powers.unionByName(norms).withColumn("value", _r("value"))
+
+
+SQL_PCA_POWER_SUMS = (
+    f"WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE {_sql_split(['vec_id'], SEED)} = 'train'), "
+    f"u AS (SELECT vec_id, unnest(generate_series(0, len(embedding) - 1)) AS i, "
+    f"unnest(embedding)::DOUBLE AS x FROM e), "
+    f"c AS (SELECT a.i, b.i AS j, corr(a.x, b.x) AS r FROM u a JOIN u b USING (vec_id) GROUP BY a.i, b.i), "
+    f"st AS (SELECT i, avg(x) AS m, stddev_samp(x) AS d FROM u GROUP BY i), "
+    f"p AS (SELECT 0 AS p, sum(power((x - m) / d, 2)) AS value FROM u JOIN st USING (i) "
+    f"UNION ALL SELECT 1, sum(r) FROM c WHERE i = j UNION ALL SELECT 2, sum(r * r) FROM c "
+    f"UNION ALL SELECT 3, sum(a.r * b.r * c2.r) FROM c a JOIN c b ON a.j = b.i "
+    f"JOIN c c2 ON b.j = c2.i AND c2.j = a.i) "
+    f"SELECT p, round(value, {DIGITS}) AS value FROM p")
+
+
 # ------------------------------------------------------------ sources, sinks
 
 def q_csv_headerless_scan(spark, d):
@@ -420,7 +601,7 @@ def q_family_profile(spark, d):
     wide = q_multiheader_scan(spark, d)
     long = profile.long_format(wide, [c for c in wide.columns if c != "track_id"])
     fam = importance.with_family(long)
-    return fam.groupBy("category").agg(F.count(F.lit(1)).alias("n_values"),
+    return fam.groupBy("category").agg(F.count("value").alias("n_values"),
                                        _r(F.avg("value")).alias("mean"),
                                        F.countDistinct("feature").alias("n_features"))
 
@@ -594,7 +775,19 @@ def _rounded_profile(p):
 def q_feature_profile(spark, d):
     li = _t(spark, d, "lineitem", spread=True)
     long = profile.long_format(li, PROFILE_COLS)
-    return _rounded_profile(profile.feature_profile(long, rows_bound=li.count()))
+    return _rounded_profile(profile.feature_profile(long))
+
+
+def q_feature_profile_bracketed(spark, d):
+    """The same with small cells, so that the rounds that large tables need run."""
+    long = profile.long_format(_t(spark, d, "lineitem", spread=True), PROFILE_COLS)
+    return _rounded_profile(profile.feature_profile(long, max_candidates=1000))
+
+
+def q_profile_sparse(spark, d):
+    """Features with nulls, one of them with nothing else."""
+    j = _docs_labels(spark, d, "left").withColumn("missing", F.expr("nullif(n_chars, n_chars)"))
+    return _rounded_profile(profile.feature_profile(profile.long_format(j, SPARSE_COLS)))
 
 
 def _sql_profile(long_sql, where=""):
@@ -602,7 +795,8 @@ def _sql_profile(long_sql, where=""):
             f"round(stddev_samp(value), {DIGITS}) AS std, round(min(value), {DIGITS}) AS min, "
             f"round(quantile_cont(value, 0.25), {DIGITS}) AS p25, round(quantile_cont(value, 0.5), {DIGITS}) AS p50, "
             f"round(quantile_cont(value, 0.75), {DIGITS}) AS p75, round(max(value), {DIGITS}) AS max "
-            f"FROM ({long_sql}) t WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY feature {where}")
+            f"FROM (SELECT feature, CASE WHEN isnan(value) THEN NULL ELSE value END AS value "
+            f"FROM ({long_sql}) x) t GROUP BY feature {where}")
 
 
 SQL_FEATURE_PROFILE = _sql_profile(" UNION ALL ".join(
@@ -612,7 +806,7 @@ SQL_FEATURE_PROFILE = _sql_profile(" UNION ALL ".join(
 def q_embedding_profile(spark, d):
     e = _t(spark, d, "embeddings")
     long = profile.array_long_format(e, "embedding")
-    return _rounded_profile(profile.feature_profile(long, rows_bound=e.count()))
+    return _rounded_profile(profile.feature_profile(long))
 
 
 SQL_EMBEDDING_PROFILE = _sql_profile(
@@ -620,6 +814,11 @@ SQL_EMBEDDING_PROFILE = _sql_profile(
     "unnest(embedding)::DOUBLE AS value FROM embeddings")
 
 LOW_SPREAD_COLS = ("quality", "toxic", "n_chars")
+SPARSE_COLS = (*LOW_SPREAD_COLS, "missing")
+SQL_PROFILE_SPARSE = _sql_profile(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({x} AS DOUBLE) AS value FROM documents d LEFT JOIN labels l "
+    f"ON d.doc_id = l.doc_id"
+    for c, x in zip(SPARSE_COLS, (*LOW_SPREAD_COLS, "nullif(n_chars, n_chars)"), strict=True)))
 
 
 def q_low_spread(spark, d):
@@ -659,6 +858,41 @@ def q_importance_family(spark, d):
     return top.unionByName(low)
 
 
+USED_FEATURES = ("l_linenumber", "l_discount")
+IDLE_FEATURES = ("l_tax", "l_quantity", "l_extendedprice")
+
+
+def q_importance_planted(spark, d):
+    """E4 and M8 on the planted rule, raw and scaled: the rule's features and no
+    others carry importance, named whatever the variant; sums and model sizes."""
+    li = _t(spark, d, "lineitem", spread=True).withColumn("label", F.expr(RULE_TREE))
+    prep = ex.prepare(li, USED_FEATURES + IDLE_FEATURES, "label", LI_KEYS, seed=SEED)
+    out = None
+    for variant in ("raw", "scaled"):
+        data, cat = ex.variant_data(prep, variant)
+        model, _ = ex.fit_and_score(prep, ex.learner_for("tree"), data, cat)
+        imp = importance.importances(spark, model, ex.variant_names(prep, variant))
+        total = imp.agg(_r(F.sum("importance")).alias("total"))
+        size = models.model_summary(spark, model, "tree").select(
+            "model", "num_trees", "total_nodes", "depth", "num_features", "num_classes")
+        part = (imp.select(F.lit(variant).alias("variant"), "feature",
+                           (F.col("importance") > 0).alias("used"))
+                .join(F.broadcast(total)).join(F.broadcast(size)))     # one row each
+        out = part if out is None else out.unionByName(part)
+    prep.data.unpersist()
+    return out
+
+
+SQL_IMPORTANCE_PLANTED = (
+    f"SELECT v.variant, f.feature, f.used, 1.0::DOUBLE AS total, 'tree' AS model, "
+    f"CAST(1 AS INTEGER) AS num_trees, CAST(5 AS INTEGER) AS total_nodes, CAST(2 AS INTEGER) AS depth, "
+    f"CAST({len(USED_FEATURES + IDLE_FEATURES)} AS INTEGER) AS num_features, "
+    f"CAST(count(DISTINCT {RULE_TREE}) AS INTEGER) AS num_classes FROM lineitem, "
+    f"(VALUES ('raw'), ('scaled')) v(variant), (VALUES "
+    + ", ".join(f"('{f}', {f in USED_FEATURES})" for f in USED_FEATURES + IDLE_FEATURES)
+    + ") f(feature, used) GROUP BY v.variant, f.feature, f.used")
+
+
 # ---------------------------------------- data-derived score tables
 
 def _emb_names():
@@ -737,6 +971,22 @@ QUERIES = {
     "cv_scores": q_cv_scores,
     "cv_summary": q_cv_summary,
     "model_summary": q_model_summary,
+    # noisy labels, whole jobs
+    "tree_noisy": _planted(_noisy(RULE_TREE), "tree"),
+    "logit_noisy": _planted(_noisy(RULE_LINEAR), "logistic"),
+    "lasso_noisy": _planted(_noisy(RULE_LINEAR), "lasso"),
+    "gbt_noisy": _planted(_noisy(RULE_TREE), "gbt"),
+    "logistic_job": q_logistic_job,
+    "gbm_job": q_gbm_job,
+    "wrangle_job": q_wrangle_job,
+    "seed_sweep_all": q_seed_sweep_all,
+    "seed_summary_all": q_seed_summary_all,
+    "random_split_parts": q_random_split_parts,
+    "copy_split": q_copy_split,
+    "pca_power_sums": q_pca_power_sums,
+    "feature_profile_bracketed": q_feature_profile_bracketed,
+    "profile_sparse": q_profile_sparse,
+    "importance_planted": q_importance_planted,
     # splits and folds
     "hash_split": q_hash_split,
     "random_split": q_random_split,
@@ -863,7 +1113,24 @@ ORACLES = {
     "top_variance": SQL_TOP_VARIANCE,
     "top_variance_family": SQL_TOP_VARIANCE_FAMILY,
     "variance_share": SQL_VARIANCE_SHARE,
+    "tree_noisy": _sql_noisy(RULE_TREE),
+    "logit_noisy": _sql_noisy(RULE_LINEAR),
+    "lasso_noisy": _sql_noisy(RULE_LINEAR),
+    "gbt_noisy": _sql_noisy(RULE_TREE),
+    "logistic_job": _sql_noisy_report("logistic", RULE_LINEAR),
+    "gbm_job": SQL_GBM_JOB,
+    "wrangle_job": _sql_wrangle_job(),
+    "seed_sweep_all": SQL_SEED_SWEEP_ALL,
+    "seed_summary_all": SQL_SEED_SUMMARY_ALL,
+    "random_split_parts": SQL_RANDOM_SPLIT_PARTS,
+    "copy_split": SQL_COPY_SPLIT,
+    "pca_power_sums": SQL_PCA_POWER_SUMS,
+    "feature_profile_bracketed": SQL_FEATURE_PROFILE,
+    "profile_sparse": SQL_PROFILE_SPARSE,
+    "importance_planted": SQL_IMPORTANCE_PLANTED,
 }
+
+
 def _sig_rounds(sql: str) -> str:
     """``round(x, 9)`` -> the same significant-digit rounding as ``_r``."""
     out, i, low, tag = [], 0, sql.lower(), "round("

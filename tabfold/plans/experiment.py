@@ -143,6 +143,13 @@ def variant_data(prep: Prepared, variant: str, k: int | None = None):
     raise ValueError(variant)
 
 
+def variant_names(prep: Prepared, variant: str) -> list[str]:
+    """Slot names of a variant's vector: scaling keeps the features, PCA makes components."""
+    if variant in ("pca", "scaled_pca"):
+        return [f"pc_{i + 1}" for i in range(len(prep.feature_cols))]
+    return list(prep.feature_cols)
+
+
 def variant_compare(prep: Prepared, variants: Sequence[str] = ("raw", "scaled", "standardised"),
                     learner: str = "gbt", **params) -> DataFrame:
     """The same learner and split over several preprocessing variants,
@@ -183,11 +190,11 @@ def seed_sweep(df: DataFrame, feature_cols: Sequence[str], label_col: str, keys:
             rows.append((learner, int(seed), "run_minutes", (time.time() - t0) / 60.0))
         return rows
 
-    if parallelism > 1:
-        with ThreadPoolExecutor(parallelism) as pool:
+    try:
+        with ThreadPoolExecutor(max(1, parallelism)) as pool:
             parts = list(pool.map(one, seeds))
-    else:
-        parts = [one(s) for s in seeds]
+    finally:
+        base.data.unpersist()
     schema = T.StructType([T.StructField("model", T.StringType()),
                            T.StructField("seed", T.IntegerType()),
                            T.StructField("metric", T.StringType()),

@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabfold.operators import sampling, wrangle
 from tabfold.plans import experiment as ex
 from tabfold.sources import delimited, sinks
 from tabfold.sources.tables import ensure_parallelism
@@ -43,39 +44,83 @@ CONNECTION_COLUMNS = CONNECTION_FEATURES + ("label",)
 NORMAL = "normal"
 
 
+def is_class(col: str, name: str) -> str:
+    """SQL: 1 for rows of the class, else 0."""
+    text = name.replace("\\", "\\\\").replace("'", "\\'")
+    return f"CAST(CASE WHEN `{col}` = '{text}' THEN 1 ELSE 0 END AS INTEGER)"
+
+
 def run_job(spark: SparkSession, source: DataFrame | str, output: str | None, model: str = "tree",
             seed=23, feature_cols: Sequence[str] | None = None, label_col: str = "label",
             label_expr: str | None = None, keys: Sequence[str] | None = None,
             max_categories: int = 4, mode: str = "overwrite_partitions", phases: bool = False,
-            fit_on: str = "all", **params) -> DataFrame:
+            fit_on: str = "all", classes: Sequence[str] | None = None,
+            variants: Sequence[str] | None = None, **params) -> DataFrame:
     """Report rows: train accuracy, test accuracy, total run time in minutes;
     with ``phases=True`` also ``Run time: prepare|fit|evaluate`` (SURVEY
-    2.11-6: phases timed separately, not one timer started anywhere)."""
-    timer = ex.Timer()
+    2.11-6: phases timed separately, not one timer started anywhere).
+
+    ``classes`` keeps rows of those labels only (before ``label_expr``).
+    ``variants`` runs the model on each preprocessing variant of one prepared
+    table, one report each, in a column and sink partition ``variant``; the
+    time to prepare counts in each. Without ``keys`` rows are split by their
+    content and copy number, so copies of a row go to both sides.
+    """
     t0 = time.time()
     df = spark.read.parquet(source) if isinstance(source, str) else source
     df = ensure_parallelism(df)
+    if classes is not None:
+        df = wrangle.keep_classes(df, label_col, classes)
     if label_expr is not None:
         df = df.withColumn(label_col, F.expr(label_expr))
     if feature_cols is None:
-        from tabfold.operators.wrangle import feature_cols as numeric
-        feature_cols = numeric(df, exclude=[label_col, *(keys or [])])
-    keys = list(keys or feature_cols)
-    prep = timer.run("prepare", ex.prepare, df, feature_cols, label_col, keys, seed=seed,
+        feature_cols = wrangle.feature_cols(df, exclude=[label_col, *(keys or [])])
+    if not keys:
+        df = sampling.numbered_copies(df.select(*feature_cols, label_col))
+        keys = [*feature_cols, label_col, "_copy"]
+    ready = ex.Timer()
+    prep = ready.run("prepare", ex.prepare, df, feature_cols, label_col, list(keys), seed=seed,
                      max_categories=max_categories, fit_on=fit_on)
-    _, scored = timer.run("fit", ex.fit_and_score, prep, ex.learner_for(model, **params))
-    rows = timer.run("evaluate", lambda: ex.report(scored, spark, run_minutes=None).collect())
-    minutes = (time.time() - t0) / 60.0
-    extra = [(f"Run time: {k}", v) for k, v in timer.phases.items()] if phases else []
-    out = spark.createDataFrame([(r[0], r[1]) for r in rows] + [("Run time", minutes)] + extra,
-                                "ValueType string, Value double")
+    prepared = time.time() - t0
+    reports = []
+    for variant in variants or ("raw",):
+        timer, t1 = ex.Timer(dict(ready.phases)), time.time()
+        data, cat = timer.run("prepare", ex.variant_data, prep, variant)
+        used = params if variant == "raw" else {"features_col": "indexedFeatures", **params}
+        _, scored = timer.run("fit", ex.fit_and_score, prep, ex.learner_for(model, **used), data, cat)
+        rows = timer.run("evaluate", lambda: ex.report(scored, spark, run_minutes=None).collect())
+        rows = [(r[0], r[1]) for r in rows] + [("Run time", (prepared + time.time() - t1) / 60.0)]
+        if phases:
+            rows += [(f"Run time: {k}", v) for k, v in timer.phases.items()]
+        reports += [(variant, *r) for r in rows]
+    out = spark.createDataFrame(reports, "variant string, ValueType string, Value double")
     out = out.withColumn("model", F.lit(model)).withColumn("seed", F.lit(int(seed)))
     prep.data.unpersist()
+    parts = ["model", "variant", "seed"]
+    if variants is None:
+        parts.remove("variant")
+        out = out.drop("variant")
     if output is not None:
-        sinks.write_report(out, output, partition_by=("model", "seed"), mode=mode)
+        sinks.write_report(out, output, partition_by=parts, mode=mode)
     return out
 
 
+def wrangle_job(spark: SparkSession, features_path: str, tracks_path: str, output: str,
+                genre=("track", 8), classes: Sequence[str] | None = None,
+                value_type="double") -> DataFrame:
+    """Raw feature table (three header rows) and track table (repeated header)
+    -> one bzip2 CSV with a header: features by ``track_id``, known ``Genre``
+    (of ``classes``, if given). Returns the written table, read back."""
+    feats = delimited.read_multi_header(spark, features_path, 3, value_type=value_type)
+    tracks = delimited.read_positional(spark, tracks_path, {"track_id": 0, "Genre": genre},
+                                       types={"track_id": "bigint"}, key="track_id")
+    table = wrangle.join_labels(feats, wrangle.drop_null(tracks, "Genre"), "track_id")
+    if classes is not None:
+        table = wrangle.keep_classes(table, "Genre", classes)
+    sinks.write_table(table, output, "csv", compression="bzip2", header=True)
+    return delimited.read_with_header(spark, output, schema=table.schema)
+
+
 def main(argv=None):
     ap = argparse.ArgumentParser(description="train, score and report one model")
     ap.add_argument("input")
@@ -91,6 +136,12 @@ def main(argv=None):
     ap.add_argument("--names", default=None, help="comma-separated CSV column names")
     ap.add_argument("--binary", action="store_true",
                     help=f"label = 1 when the label text is '{NORMAL}', else 0")
+    ap.add_argument("--header", action="store_true",
+                    help="CSV input with a header row (any compression; dots in names become _)")
+    ap.add_argument("--classes", default=None, help="comma-separated labels to keep")
+    ap.add_argument("--positive", default=None, help="label = 1 for this class, else 0")
+    ap.add_argument("--variants", default=None,
+                    help="comma-separated: raw, scaled, standardised, pca, scaled_pca")
     a = ap.parse_args(argv)
     owned = SparkSession.getActiveSession() is None
     spark = SparkSession.builder.appName(f"tabfold-{a.model}").getOrCreate()
@@ -101,12 +152,17 @@ def main(argv=None):
         types = ["string" if n == a.label else "double" for n in names]
         src = delimited.read_headerless(spark, a.input, names, types)
         feats = feats or [n for n in names if n != a.label]
+    elif a.header:
+        src = delimited.safe_names(delimited.read_with_header(spark, a.input, infer=True))
     else:
         src = a.input
-    if a.binary:
-        label_expr = f"CAST(CASE WHEN `{a.label}` = '{NORMAL}' THEN 1 ELSE 0 END AS INTEGER)"
+    positive = NORMAL if a.binary else a.positive
+    if positive is not None:
+        label_expr = is_class(a.label, positive)
     run_job(spark, src, a.output, a.model, a.seed, feats, a.label, label_expr,
-            a.keys.split(",") if a.keys else None)
+            a.keys.split(",") if a.keys else None,
+            classes=a.classes.split(",") if a.classes else None,
+            variants=a.variants.split(",") if a.variants else None)
     if owned:
         spark.stop()
 

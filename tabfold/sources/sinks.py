@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,17 @@ def write_lines_with_header(lines: DataFrame, header: Sequence[str], path: str,
     w.text(path)
 
 
+def read_collated(spark: SparkSession, path: str) -> DataFrame:
+    """Collated result files ``metric, value, seed`` (plus partition columns).
+    Columns go by position and lines without a numeric value and seed are
+    headers, however those are spelt."""
+    raw = spark.read.schema("metric string, _value string, _seed string").csv(path)
+    value, seed = F.trim("_value").try_cast("double"), F.trim("_seed").try_cast("int")
+    return (raw.withColumns({"metric": F.trim("metric"), "value": value, "seed": seed})
+            .filter(F.col("value").isNotNull() & F.col("seed").isNotNull())
+            .drop("_value", "_seed"))
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """Persist a fitted pipeline (overwrites)."""
     model.write().overwrite().save(path)

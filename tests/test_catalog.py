@@ -11,7 +11,10 @@ from conftest import SF0001
 
 SLOW = {"tree_planted", "logit_planted", "lasso_planted", "gbt_planted", "ovr_gbt_planted",
         "variant_compare", "seed_sweep", "seed_summary", "cv_scores", "cv_summary",
-        "model_reload_predict", "tree_job"}
+        "model_reload_predict", "tree_job",
+        # whole jobs and noisy labels: as above, the driver and scripts/check_oracles.py run them
+        "tree_noisy", "logit_noisy", "lasso_noisy", "gbt_noisy", "logistic_job", "gbm_job",
+        "seed_sweep_all", "seed_summary_all"}
 TABLES = ("customer part orders lineitem events documents embeddings labels").split()
 
 

@@ -17,6 +17,22 @@ def _write_connections(path, n=600, seed=3):
     return path
 
 
+def test_cli_boosted_variants_on_bzip2(spark, tmp_dir):
+    import bz2
+    rnd = random.Random(5)
+    rows = [(rnd.randint(0, 9), rnd.randint(0, 9), rnd.randint(0, 2)) for _ in range(400)]
+    with bz2.open(f"{tmp_dir}/in.csv.bz2", "wt") as f:
+        f.write("a.x,b.y,Genre\n")
+        for a, b, g in rows:
+            f.write(f"{a},{b},{'Electronic' if g == 0 else 'Rock' if a > 4 else 'Experimental'}\n")
+    jobs.main([f"{tmp_dir}/in.csv.bz2", f"{tmp_dir}/out", "7", "--model", "gbt", "--header",
+               "--label", "Genre", "--classes", "Rock,Experimental", "--positive", "Rock",
+               "--variants", "raw,scaled"])
+    back = spark.read.schema("ValueType string, Value double").csv(f"{tmp_dir}/out").collect()
+    vals = {(r.variant, r.ValueType): r.Value for r in back}
+    assert len(vals) == 6 and all(vals[v, "Test accuracy"] == 1.0 for v in ("raw", "scaled"))
+
+
 def test_cli_tree_and_binary_logistic(spark, tmp_dir):
     data = _write_connections(f"{tmp_dir}/in/connections.csv")
     jobs.main([data, f"{tmp_dir}/out", "23", "--model", "tree", "--csv"])

@@ -42,13 +42,31 @@ def test_skewed_feature_quantiles(spark):
 
 def test_profile_paths_agree(spark):
     li = spark.read.parquet(f"{SF0001}/lineitem.parquet")
-    long = profile.long_format(li, ["l_quantity", "l_discount", "l_tax"])
+    cols = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+    long = profile.long_format(li, cols)
     a = {r.feature: tuple(round(x, 9) for x in r[1:]) for r in profile.feature_profile(long).collect()}
     b = {r.feature: tuple(round(x, 9) for x in r[1:])
-         for r in profile.feature_profile(long, rows_bound=li.count()).collect()}
+         for r in profile.feature_profile(long, max_candidates=20).collect()}
     assert a == b
+    con = duckdb.connect()
+    for c in cols:
+        want = con.execute(f"SELECT quantile_cont({c}, [0.25, 0.5, 0.75]) "
+                           f"FROM read_parquet('{SF0001}/lineitem.parquet')").fetchone()[0]
+        assert a[c][4:7] == tuple(round(x, 9) for x in want)
     approx = profile.feature_profile(long, approx=True).collect()
-    assert len(approx) == 3
+    assert len(approx) == 4
+
+
+def test_feature_without_values_keeps_its_row(spark):
+    df = spark.createDataFrame([(1.0, None, float("nan")), (3.0, None, None)],
+                               "x double, y double, z double")
+    got = {r.feature: r for r in profile.feature_profile(
+        profile.long_format(df, ["x", "y", "z"])).collect()}
+    assert (got["x"]["count"], got["x"].p50) == (2, 2.0)
+    for c in "yz":
+        assert got[c]["count"] == 0 and got[c].p50 is None and got[c]["mean"] is None
+    empty = profile.long_format(df.limit(0), ["x"])
+    assert profile.feature_profile(empty).collect() == []
 
 
 def test_low_spread_and_histograms(spark):

@@ -29,6 +29,36 @@ def test_equal_rows_are_cut_and_stay_balanced(spark):
     assert [r["count"] for r in out.groupBy("fold").count().collect()] == [300] * 10
 
 
+def test_copies_go_to_both_sides_whatever_the_layout(spark):
+    """Half the rows are equal; the split is near 70 % and independent of layout and chunk."""
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("x"),
+        F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise("a").alias("c"))
+
+    def split(data, chunk):
+        rows = sampling.numbered_copies(data, chunk=chunk)
+        return sorted(map(str, sampling.hash_split(rows, ["x", "_copy"], 1).collect()))
+
+    want = split(df, 1 << 16)
+    assert len(want) == 4000 and split(df.repartition(7), 100) == want
+    assert abs(sum("train" in r for r in want) / 4000 - 0.7) < 0.03
+    copies = [r for r in want if "x=-1," in r]
+    assert abs(sum("train" in r for r in copies) / len(copies) - 0.7) < 0.04
+
+
+def test_collated_results_whatever_their_header(spark, tmp_dir):
+    import os
+
+    from tabfold.sources import sinks
+    for name, head in (("a", "metric,value,seed"), ("b", "Metric, Value, SEED")):
+        os.makedirs(f"{tmp_dir}/runs/model={name}")
+        with open(f"{tmp_dir}/runs/model={name}/x.csv", "w") as f:
+            f.write(f"{head}\nTest accuracy, 0.5,1\nTest accuracy,1.0, 2\n")
+    got = sinks.read_collated(spark, f"{tmp_dir}/runs")
+    summary = {r["model"]: r for r in evaluate.seed_summary(got).collect()}
+    assert {m: (r["mean"], r["n_runs"]) for m, r in summary.items()} == {"a": (0.75, 2), "b": (0.75, 2)}
+
+
 def test_null_class_counts(spark):
     df = spark.createDataFrame([("a", "a"), (None, "a"), (None, None), ("a", None)],
                                "label string, prediction string")
