@@ -57,7 +57,8 @@ def prepare(df: DataFrame, feature_cols: Sequence[str], label_col: str, keys: Se
     cols = list(dict.fromkeys([*[k for k in keys if isinstance(k, str)], *feature_cols, label_col]))
     data = features.assemble(df.select(*cols), feature_cols, handle_invalid=handle_invalid)
     data = sampling.hash_split(data, keys, seed, train_fraction)
-    data = data.select(*[k for k in keys if isinstance(k, str)], label_col, "features", "split")
+    named = [k for k in keys if isinstance(k, str) and k != label_col]
+    data = data.select(*named, label_col, "features", "split")
     if persist:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
     fit_df = data if fit_on == "all" else data.filter(F.col("split") == "train")
