@@ -15,7 +15,7 @@ SLOW = {"tree_planted", "logit_planted", "lasso_planted", "gbt_planted", "ovr_gb
         # whole jobs and noisy labels: as above, the driver and scripts/check_oracles.py run them
         "tree_noisy", "logit_noisy", "lasso_noisy", "gbt_noisy", "logistic_job", "gbm_job",
         "seed_sweep_all", "seed_summary_all"}
-TABLES = ("customer part orders lineitem events documents embeddings labels").split()
+TABLES = ("customer part orders lineitem events documents embeddings labels benchmark conversations").split()
 
 
 def _norm(v):
