@@ -223,6 +223,58 @@ SQL_CV_SUMMARY = (_CV_BASE + f"SELECT 'balanced_accuracy' AS metric, round(avg(b
                   f"round(stddev_pop(n_rows), {DIGITS}), count(*) FROM c")
 
 
+# bands with the next band's label for one key in eight
+_FLIPPED = (f"substr(md5(concat_ws(':', {', '.join(f'CAST({k} AS STRING)' for k in LI_KEYS)}, "
+            f"'noise')), 1, 1) < '2'")
+NOISY_BANDS = f"CAST(CASE WHEN {_FLIPPED} THEN ({RULE_BANDS} + 1) % 3 ELSE {RULE_BANDS} END AS INTEGER)"
+# variant, and whether its scaler is fitted without the held-out fold
+CV_VARIANTS = (("scaled", False), ("standardised", True))
+
+
+def _cv_bands(spark, d, **params):
+    prep = _planted_prep(spark, d, NOISY_BANDS)
+    try:
+        cv = ex.cross_validate(prep, n_folds=10, n_repeats=3, seed=1, keys=LI_KEYS, parallelism=8,
+                               **params)
+    finally:
+        prep.data.unpersist()
+    return cv.withColumn("balanced_accuracy", _r("balanced_accuracy"))
+
+
+def q_cv_ovr_gbt(spark, d):
+    """E3 with the 3-class booster: 3 x 10 folds, 20 rounds, noisy bands."""
+    return _cv_bands(spark, d, learner="ovr_gbt")
+
+
+def q_cv_variants(spark, d):
+    """E3 on preprocessing variants: scaler fitted once, and without the held-out fold."""
+    out = None
+    for v, alone in CV_VARIANTS:
+        part = _cv_bands(spark, d, learner="tree", variant=v, fit_per_fold=alone).select(
+            F.lit(v).alias("variant"), F.lit(alone).alias("fit_per_fold"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _sql_cv_bands():
+    """What a learner that sees through the noise scores: the clean rule, per held-out fold."""
+    return (f"WITH t AS (SELECT {', '.join(LI_KEYS)}, {NOISY_BANDS} AS label, {RULE_BANDS} AS rule "
+            f"FROM lineitem WHERE {_sql_split(LI_KEYS, SEED)} = 'train'), "
+            f"f AS (SELECT rule, label, CAST(r.rep AS INTEGER) AS repeat, CAST((row_number() OVER ("
+            f"PARTITION BY label, r.rep ORDER BY md5(concat_ws(':', {', '.join(LI_KEYS)}, '1', r.rep)), "
+            f"{', '.join(LI_KEYS)}) - 1) % 10 AS INTEGER) AS fold FROM t, range(3) r(rep)), "
+            f"c AS (SELECT repeat, fold, label, count(*) AS n, "
+            f"sum(CASE WHEN label = rule THEN 1 ELSE 0 END) / count(*) AS recall "
+            f"FROM f GROUP BY repeat, fold, label) "
+            f"SELECT repeat, fold, CAST(sum(n) AS BIGINT) AS n_rows, "
+            f"{_sql_sig('avg(recall)')} AS balanced_accuracy FROM c GROUP BY repeat, fold")
+
+
+SQL_CV_VARIANTS = " UNION ALL ".join(
+    f"SELECT '{v}' AS variant, {str(alone).lower()} AS fit_per_fold, * FROM ({_sql_cv_bands()})"
+    for v, alone in CV_VARIANTS)
+
+
 def q_model_summary(spark, d):
     """M8: what printing the fitted tree and boosted models shows, as rows."""
     prep = _planted_prep(spark, d, RULE_TREE)
@@ -970,6 +1022,8 @@ QUERIES = {
     "seed_summary": q_seed_summary,
     "cv_scores": q_cv_scores,
     "cv_summary": q_cv_summary,
+    "cv_ovr_gbt": q_cv_ovr_gbt,
+    "cv_variants": q_cv_variants,
     "model_summary": q_model_summary,
     # noisy labels, whole jobs
     "tree_noisy": _planted(_noisy(RULE_TREE), "tree"),
@@ -1079,6 +1133,8 @@ ORACLES = {
     "seed_summary": SQL_SEED_SUMMARY,
     "cv_scores": SQL_CV_SCORES,
     "cv_summary": SQL_CV_SUMMARY,
+    "cv_ovr_gbt": _sql_cv_bands(),
+    "cv_variants": SQL_CV_VARIANTS,
     "hash_split": SQL_HASH_SPLIT,
     "stratified_folds": SQL_STRATIFIED_FOLDS,
     "assemble": SQL_ASSEMBLE,
