@@ -3,7 +3,9 @@
 A notice that occurs with at most k edits contains at least one of any k + 1
 pieces of it unchanged (pigeonhole). The pieces of all notices are found at
 once by an Aho-Corasick automaton; around each hit the ``regex`` library
-matches the notice with a bounded number of edits and reports its span.
+matches the notice with a bounded number of edits and reports its span. Spans
+of a notice don't overlap: those with the fewest edits are taken first, then
+what is left between them is searched with one edit more.
 """
 
 from __future__ import annotations
@@ -52,8 +54,10 @@ class Scanner:
     def __init__(self, notices=NOTICES):
         self.phrases = _phrase_pattern()
         self.labels = list(PHRASES.values())
-        self.notices = [(text, label, k, regex.compile(
-            f"(?b)(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}")) for text, label, k in notices]
+        # one pattern per number of edits
+        self.notices = [(text, label, k, [regex.compile(
+            f"(?:{regex.escape(text, literal_spaces=True)}){{e<={e}}}") for e in range(k + 1)])
+            for text, label, k in notices]
         self.seeds = ahocorasick.Automaton()
         pieces: dict[str, list] = {}
         for i, (text, _, k, _) in enumerate(self.notices):
@@ -66,23 +70,31 @@ class Scanner:
 
     def fuzzy(self, text: str) -> list[tuple[int, int, str, int]]:
         """(start, end, label, edits) of the notices in lower-cased text, code points."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, list[tuple[int, int]]] = {}
         for end, (size, places) in self.seeds.iter(text):
             for i, at in places:
                 notice, _, k, _ = self.notices[i]
                 start = end + 1 - size - at
-                a, b = max(0, start - k), start + len(notice) + k
-                spans = windows.setdefault(i, [])
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(b, spans[-1][1])
-                else:
-                    spans.append([a, b])
+                windows.setdefault(i, []).append(
+                    (max(0, start - k), min(start + len(notice) + k, len(text))))
         out = []
         for i, spans in windows.items():
-            _, label, _, pattern = self.notices[i]
-            for a, b in spans:
-                for m in pattern.finditer(text, a, min(b, len(text))):
-                    out.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+            merged: list[list[int]] = []
+            for a, b in sorted(spans):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(b, merged[-1][1])
+                else:
+                    merged.append([a, b])
+            label, patterns = self.notices[i][1], self.notices[i][3]
+            left = [(a, b) for a, b in merged if patterns[-1].search(text, a, b)]
+            for pattern in patterns:
+                stretches, left = left, []
+                for a, b in stretches:
+                    for m in pattern.finditer(text, a, b):
+                        out.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                        left.append((a, m.start()))
+                        a = m.end()
+                    left.append((a, b))
         return sorted(out)
 
     def scan(self, raw: bytes | None):

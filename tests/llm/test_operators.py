@@ -267,6 +267,44 @@ def test_fuzzy_search_finds_all_within_bound():
             assert label in {s[2] for s in scanner.fuzzy("zzz " + "".join(chars) + " zzz")}
 
 
+def _edits(pattern, text):
+    """Fewest edits between ``pattern`` and any substring of ``text`` (Sellers)."""
+    row = list(range(len(pattern) + 1))
+    best = row[-1]
+    for c in text:
+        new = [0]
+        for j, p in enumerate(pattern):
+            new.append(min(row[j] + (p != c), row[j + 1] + 1, new[j] + 1))
+        row, best = new, min(best, new[-1])
+    return best
+
+
+def test_fuzzy_search_finds_repeated_notices():
+    """Runs of one notice with different edits: none is lost before a better one."""
+    rng = np.random.default_rng(6)
+    scanner = licenses.Scanner()
+    lines = ["all rights reservd\n"] * 3 + ["all rights reserved\n", "all right reserved\n"]
+    assert [s[3] for s in scanner.fuzzy("".join(lines)) if s[2] == "reserved"] == [1, 1, 1, 0, 1]
+    for text, label, k, _ in scanner.notices:
+        for gap in ("\n", " ", "q" * (k + 1), ""):
+            run, planted = "", []
+            for _ in range(12):
+                chars = list(text)
+                for _ in range(int(rng.integers(k + 1))):
+                    i = int(rng.integers(len(chars)))
+                    chars[i:i + 1] = [["q"], [], [chars[i], "q"]][int(rng.integers(3))]
+                planted.append((len(run), len(run) + len(chars)))
+                run += "".join(chars) + gap
+            found = [s for s in scanner.fuzzy(run) if s[2] == label
+                     and abs(s[1] - s[0] - len(text)) <= k and _edits(text, run[s[0]:s[1]]) <= k]
+            assert all(any(s < b and a < e for s, e, _, _ in found) for a, b in planted)
+            at = 0          # nothing within the bound is left between the spans
+            for s, e, _, n in found + [(len(run), len(run), label, 0)]:
+                assert at <= s and _edits(text, run[at:s]) > k
+                assert s == e or _edits(text, run[s:e]) == n
+                at = e
+
+
 def test_quality(spark, docs, empty):
     good = [(i, EN * (1 + i % 3), 50) for i in range(0, 120, 2)]
     bad = [(i, "".join(w + "### " for w in EN.split()), 70) for i in range(1, 120, 2)]
