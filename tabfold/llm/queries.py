@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabfold.session import scratch_path
+
 from . import (chat, decontaminate, exact_dedup, language, licenses, packing, quality, reshard,
                secrets, simhash)
-from .common import table
+from .common import table, written
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +44,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshard.reshard(table(spark, sf_dir, "documents")).drop("old_shard")
+    docs = table(spark, sf_dir, "documents")
+    placed = written(reshard.reshard(docs), "resharded")
+    reshard.rewrite(docs, placed, scratch_path(spark, "shards"))
+    return placed.drop("old_shard")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_rank, written
+from .common import unused, with_rank, written
 
 SHARDS = 40
 OLD_SHARDS = 32
@@ -104,6 +104,10 @@ def solve(blocks: list[tuple[int, int, int, int]], shards: int) -> tuple[dict, l
             [(j, flow.sent(e)) for j, e in enumerate(take) if flow.sent(e)])
 
 
+def _size():
+    return F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES
+
+
 def old_layout(doc_id, shards: int = OLD_SHARDS):
     """The layout that a table without one is taken to have: by hash of the id."""
     return F.pmod(F.xxhash64(doc_id), F.lit(shards)).cast("int")
@@ -117,7 +121,7 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old_shard=None) -> DataFrame:
     Repeated rows are placed one by one; an empty table gives no rows.
     """
     old = old_layout(F.col("doc_id")) if old_shard is None else old_shard
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES
+    size = _size()
     narrow = written(docs.select(
         F.monotonically_increasing_id().alias("uid"), "doc_id", size.cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
@@ -157,13 +161,63 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old_shard=None) -> DataFrame:
 def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     """Rewrite, under ``path`` (partitioned by shard), the shards that gain or lose rows.
 
-    ``placed``: rows (doc_id, old_shard, shard) with unique ids. Shards that
-    keep their rows are left as they are; returns the rewritten ones.
+    ``placed``: what ``reshard`` gives for ``docs``; ids may be null or repeated. Shards that keep
+    their rows are left as they are, but one without a folder is written, and a folder that
+    ends without rows is deleted. Returns the rewritten shards.
+
+    A row is found by id, size and crc32 of its text. Rows that share these are
+    interchangeable inside one old shard; if they lie in several, these are
+    rewritten together. Only those with several targets are ranked.
     """
-    moved = placed.filter(~F.col("old_shard").eqNullSafe(F.col("shard")))
-    touched = sorted({r[0] for r in moved.select(F.explode(F.array("old_shard", "shard"))).distinct()
-                      .collect() if r[0] is not None})
-    rows = docs.join(placed.select("doc_id", "shard").filter(F.col("shard").isin(touched)), "doc_id")
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    spark = docs.sparkSession
+    key = ["doc_id", "size", "text_crc32"]
+    placed = written(placed.select(F.monotonically_increasing_id().alias("uid"), *key,
+                                   "old_shard", "shard"), "moves")
+    total = placed.count()
+    pairs = placed.groupBy("old_shard", "shard").count().collect()
+    targets = {r["shard"] for r in pairs}
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def folder(name):
+        return spark._jvm.org.apache.hadoop.fs.Path(at, f"shard={name}")
+
+    touched = {s for r in pairs if r["old_shard"] != r["shard"] for s in (r["old_shard"], r["shard"])}
+    touched |= {s for s in targets if not fs.exists(folder(s))}
+    both = F.array_union(F.collect_set("old_shard"), F.collect_set("shard"))
+    tied = placed.groupBy(*key).agg(both.alias("s"), F.min("old_shard").alias("a"),
+                                    F.max("old_shard").alias("b")).filter("a <> b")
+    links = [tuple(r) for r in tied.select(F.col("s")[0], F.explode("s")).distinct().collect()]
+    while more := {s for e in links if touched & set(e) for s in e} - touched:
+        touched |= more
+
+    names = {c: unused(docs, f"_{c}") for c in (*key, "uid", "rank")}
+    keyed = docs.drop("shard").withColumns({
+        names["doc_id"]: F.col("doc_id"), names["size"]: _size().cast("long"),
+        names["text_crc32"]: F.crc32(F.coalesce("text", F.lit("")))})
+
+    def same(left, right, columns):
+        on = [left[names[c]].eqNullSafe(right[c]) for c in columns]
+        return left.join(right, on).drop(*[right[c] for c in columns])
+
+    goal = placed.groupBy(*key).agg(F.min("shard").alias("shard"), F.max("shard").alias("last"))
+    rows = same(keyed, goal.filter((F.col("shard") == F.col("last"))
+                                   & F.col("shard").isin(list(touched))).drop("last"), key)
+    several = written(goal.filter("shard <> last").select(*key), "several")
+    if not several.isEmpty():
+        twins = written(same(keyed, several, key).withColumn(
+            names["uid"], F.monotonically_increasing_id()), "twins")
+        there = [placed[c].eqNullSafe(several[c]) for c in key]
+        ranked = with_rank(placed.join(several, there, "left_semi"), key, [], "uid", total)
+        own = with_rank(twins.select(names["uid"], *[names[c] for c in key]), [names[c] for c in key],
+                        [], names["uid"], total, names["rank"])
+        target = same(own, ranked.select(*key, "rank", "shard"), [*key, "rank"]).select(
+            names["uid"], "shard").filter(F.col("shard").isin(list(touched)))
+        rows = rows.unionByName(twins.join(target, names["uid"]).drop(names["uid"]))
+    (rows.drop(*names.values()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("shard").parquet(path))
-    return touched
+    for s in touched - targets:
+        fs.delete(folder(s), True)
+        if s == -1:
+            fs.delete(folder("__HIVE_DEFAULT_PARTITION__"), True)
+    return sorted(touched)

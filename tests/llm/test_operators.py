@@ -372,6 +372,33 @@ def test_rewrite_touches_affected_shards_only(spark, tmp_dir):
     assert sorted(map(tuple, after)) == [(i, 4) for i in range(5)]
 
 
+def test_rewrite_keeps_every_row(spark, tmp_dir):
+    """Null and repeated ids, tied rows in several shards, fewer shards, rows in no shard."""
+    rows = [(None if i % 4 == 0 else i % 7, "same" if i % 3 else "x" * i, i % 5 if i % 11 else None, i % 2)
+            for i in range(60)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, old int, size int")
+    for shards in (3, 5, 8):
+        path = f"{tmp_dir}/{shards}"
+        data.withColumn("shard", F.col("old")).write.partitionBy("shard").parquet(path)
+        placed = reshard.reshard(data, shards, F.col("old"))
+        done = reshard.rewrite(data, placed, path)
+        after = spark.read.parquet(path).collect()
+        assert Counter((r["doc_id"], r["text"], r["old"], r["size"]) for r in after) == Counter(rows)
+        want = Counter(r["shard"] for r in placed.collect())
+        assert Counter(r["shard"] for r in after) == want and set(want) <= set(range(shards))
+        assert {-1, *range(5, shards)} <= set(done)
+
+
+def test_registered_reshard_writes_the_shards(spark, docs, tmp_dir, monkeypatch):
+    from tabfold.llm import queries
+    docs.coalesce(1).write.parquet(f"{tmp_dir}/documents.parquet")
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: f"{tmp_dir}/{name}")
+    out = queries.op8_reshard(spark, tmp_dir).collect()
+    after = spark.read.parquet(f"{tmp_dir}/shards").select("doc_id", "text", "shard").collect()
+    assert Counter((r[0], zlib.crc32((r[1] or "").encode()), r[2]) for r in after) == Counter(
+        (r["doc_id"], r["text_crc32"], r["shard"]) for r in out)
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
