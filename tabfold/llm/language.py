@@ -1,14 +1,16 @@
 """Language identification by language-bitmask n-gram filters.
 
-One Bloom filter per language, stored bit-sliced: slot ``i`` of a single
-array holds bit ``l`` when language ``l`` has set its slot ``i``. And-ing the
-slots of an n-gram's hashes returns every language that (probably) contains
+One Bloom filter per language, stored bit-sliced: slot ``i`` of an array
+holds bit ``l`` when language ``l`` has set its slot ``i``, with one array for
+each ``WORD_BITS`` languages. And-ing the slots of an n-gram's hashes returns every language that (probably) contains
 the n-gram, all at once. A text is decided by counting, per language, the
 n-grams that carry its bit, corrected for the filter's false-positive rate.
 
 Training fits on a sample of at most about ``train_rows`` labelled documents
-(``Model.train_rows``); its n-gram counts are summed by Spark and the filter
-(``slots`` words) is broadcast. Prediction runs over whole texts.
+(``Model.train_rows``), drawn per language so that none is lost: the larger
+languages give up rows first, and none falls below ``lang_rows`` for it. Its
+n-gram counts are summed by Spark and the filter (``slots`` words) is
+broadcast. Prediction runs over whole texts.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from pyspark.sql import functions as F
 from .common import remainder, unused
 
 TRAIN_ROWS = 20_000
+LANG_ROWS = 200    # documents of a language that its sample keeps at any table size
 SLOTS = 1 << 18
 HASHES = 3
 GRAM = 3
 RATIO = 0.3        # a language holds an n-gram at this share of its highest rate, or more
 MIN_COUNT = 3
+WORD_BITS = 64
 CHUNK = 1 << 20    # characters that are taken at once
 UNDECIDED = "und"
 RESULT = "lang_pred string, score double"
@@ -39,7 +43,7 @@ _MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 @dataclass
 class Model:
     languages: list[str]
-    slots: np.ndarray          # uint64 bit masks
+    slots: np.ndarray          # uint64 bit masks, a row for each WORD_BITS languages
     false_rate: np.ndarray     # per language
     train_rows: int
 
@@ -93,46 +97,70 @@ def _chunks(texts):
         yield held
 
 
-def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, n_slots: int = SLOTS) -> Model:
-    """Fit on labelled, not held-out rows: all of them, or a hash sample of about ``train_rows``."""
+def _quota(sizes: list[int], train_rows: int, lang_rows: int) -> float:
+    """Documents per language so that all languages together give about ``train_rows``."""
+    left = train_rows
+    for i, n in enumerate(sorted(sizes)):
+        level = left / (len(sizes) - i)
+        if n > level:
+            return max(level, lang_rows)
+        left -= n
+    return float("inf")
+
+
+def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, n_slots: int = SLOTS,
+          lang_rows: int = LANG_ROWS) -> Model:
+    """Fit on labelled, not held-out rows: all of them, or a hash sample of each language."""
     usable = docs.select("doc_id", "lang", "text").filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 1))
-    n = usable.select("lang").count()
-    if n > train_rows:
-        share = int(train_rows / n * (1 << 32))
-        usable = usable.filter(
-            F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1 << 32)) < share)
+    ids = F.approx_count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    sizes = sorted(tuple(r) for r in usable.groupBy("lang").agg(ids).collect())
+    names = [lang for lang, _ in sizes]
+    quota = _quota([n for _, n in sizes], train_rows, lang_rows)
+    parts = docs.sparkSession.createDataFrame(
+        [(lang, code, int(min(quota / max(n, 1), 1) * (1 << 32))) for code, (lang, n) in enumerate(sizes)],
+        "lang string, code int, share long")
+    usable = usable.join(F.broadcast(parts), "lang").filter(
+        F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1 << 32)) < F.col("share"))
     # an id that comes in many rows counts once per language
-    usable = usable.groupBy("doc_id", "lang").agg(F.max("text").alias("text"))
+    usable = usable.groupBy("doc_id", "code").agg(F.max("text").alias("text"))
 
     def count(batches):
-        sums: dict[str, pd.Series] = {}
+        sums: dict[int, pd.Series] = {}
         for b in batches:
-            for lang, rows in b.groupby("lang")["text"]:
+            for code, rows in b.groupby("code")["text"]:
                 for chunk in _chunks(rows):
                     g, c = np.unique(_grams(chunk)[1], return_counts=True)
                     new = pd.Series(c, index=g.view(np.int64))
-                    sums[lang] = sums[lang].add(new, fill_value=0) if lang in sums else new
-        for lang, s in sums.items():
-            yield pd.DataFrame({"lang": lang, "gram": s.index.astype("int64"),
-                                "n": s.to_numpy().astype("int64")})
-
-    counts = (usable.select("lang", "text").mapInPandas(count, "lang string, gram long, n long")
-              .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-              .filter(F.col("n") >= MIN_COUNT).toPandas())
-    languages = sorted(counts["lang"].unique())[:64]
-    if len(languages) == 64:
-        raise ValueError("the bit mask holds up to 63 languages")
-    rate = counts["n"] / counts.groupby("lang")["n"].transform("sum")
+                    sums[code] = sums[code].add(new, fill_value=0) if code in sums else new
+        for code, s in sums.items():
+            yield pd.DataFrame({"code": code, "gram": s.index.astype("int64"),
+                                "n": s.to_numpy().astype("int64")}).astype({"code": "int32"})
+
+    def counted(rows, least):
+        return (rows.select("code", "text").mapInPandas(count, "code int, gram long, n long")
+                .groupBy("code", "gram").agg(F.sum("n").alias("n"))
+                .filter(F.col("n") >= least).toPandas())
+
+    counts = counted(usable, MIN_COUNT)
+    # languages with so little text that no n-gram comes often keep all they have
+    rare = sorted(set(range(len(names))) - set(counts["code"]))
+    if rare:
+        counts = pd.concat([counts, counted(usable.filter(F.col("code").isin(rare)), 1)],
+                           ignore_index=True)
+    codes = sorted(counts["code"].unique())
+    rate = counts["n"] / counts.groupby("code")["n"].transform("sum")
     top = rate.groupby(counts["gram"]).transform("max")
-    held = counts[rate >= RATIO * top]
-    slots = np.zeros(n_slots, np.uint64)
-    for bit, lang in enumerate(languages):
-        grams = held.loc[held["lang"] == lang, "gram"].to_numpy(np.int64).view(np.uint64)
+    held = dict(list(counts[rate >= RATIO * top].groupby("code")["gram"]))
+    slots = np.zeros((-(-len(codes) // WORD_BITS), n_slots), np.uint64)
+    fill = np.zeros(len(codes))
+    for i, code in enumerate(codes):
+        word, bit = divmod(i, WORD_BITS)
+        grams = held[code].to_numpy(np.int64).view(np.uint64) if code in held else np.zeros(0, np.uint64)
         for s in _slots(grams, n_slots):
-            np.bitwise_or.at(slots, s.astype(np.int64), np.uint64(1 << bit))
-    fill = np.array([np.mean(slots >> np.uint64(i) & np.uint64(1)) for i in range(len(languages))])
-    return Model(languages, slots, fill ** HASHES, train_rows)
+            np.bitwise_or.at(slots[word], s.astype(np.int64), np.uint64(1 << bit))
+        fill[i] = np.mean(slots[word] >> np.uint64(bit) & np.uint64(1))
+    return Model([names[c] for c in codes], slots, fill ** HASHES, train_rows)
 
 
 def predict_texts(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
@@ -145,16 +173,17 @@ def predict_texts(texts: list[str], model: Model) -> tuple[list[str], list[float
             langs += [UNDECIDED] * k
             scores += [0.0] * k
             continue
-        mask = np.full(len(gram), np.uint64((1 << len(model.languages)) - 1))
-        for s in _slots(gram, len(model.slots)):
-            mask &= model.slots[s.astype(np.int64)]
+        masks = np.full((len(model.slots), len(gram)), np.uint64((1 << WORD_BITS) - 1))
+        for s in _slots(gram, model.slots.shape[1]):
+            masks &= model.slots[:, s.astype(np.int64)]
         total = np.maximum(np.bincount(owner, minlength=k), 1)
         corrected = np.empty((k, len(model.languages)))
-        for bit in range(len(model.languages)):
-            hits = np.bincount(owner, (mask >> np.uint64(bit) & np.uint64(1)).astype(np.float64),
+        for i in range(len(model.languages)):
+            word, bit = divmod(i, WORD_BITS)
+            hits = np.bincount(owner, (masks[word] >> np.uint64(bit) & np.uint64(1)).astype(np.float64),
                                minlength=k)
-            f = model.false_rate[bit]
-            corrected[:, bit] = np.clip((hits / total - f) / max(1 - f, 1e-9), 0, 1)
+            f = model.false_rate[i]
+            corrected[:, i] = np.clip((hits / total - f) / max(1 - f, 1e-9), 0, 1)
         best = corrected.argmax(axis=1)
         langs += [model.languages[b] if h else UNDECIDED for b, h in zip(best, has, strict=True)]
         scores += [float(corrected[i, b]) if h else 0.0

@@ -235,6 +235,25 @@ def test_language_filter_has_no_misses():
     assert (mask == 2).all()
 
 
+def test_language_sample_keeps_every_language(spark):
+    """70 languages, one of which has nearly all rows, and one with a single short text."""
+    def text(n, i):
+        start = 0x4E00 + 40 * n
+        return " ".join("".join(chr(start + (i + j + k) % 40) for k in range(4)) for j in range(20))
+    rows = [(100 * n + i, f"l{n:02}", text(n, i)) for n in range(1, 70) for i in range(8)]
+    rows += [(10_000 + i, "l00", text(0, i)) for i in range(3000)]
+    alone = next(i for i in range(90_000, 90_100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows += [(alone, "l70", "\u0167\u0127\u0167\u0127")]
+    data = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.train(data, train_rows=100)
+    assert model.languages == [f"l{n:02}" for n in range(71)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(data, model).collect()}
+    assert all(got[i] == lang for i, lang, _ in rows)
+    assert language.accepted(data, model).count() == len(rows)
+    assert language._quota([1, 5, 1000], 100, 10) == 94 and language._quota([1, 5], 6, 1) > 5
+    assert language._quota([9, 500, 1000], 30, 200) == 200
+
+
 def test_licenses(docs, empty):
     phrases = {tuple(p.split()): v for p, v in licenses.PHRASES.items()}
     want = Counter()
