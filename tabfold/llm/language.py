@@ -49,8 +49,8 @@ class Model:
 
 
 def _letters() -> np.ndarray:
-    """Of the first 2^16 code points, which are letters; others count as letters above that."""
-    return np.array([chr(i).isalpha() for i in range(1 << 16)])
+    """Which code points are letters."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 _LETTER = _letters()
@@ -61,10 +61,12 @@ def _grams(texts: list[str]):
 
     Also which texts have a letter.
     """
-    joined = " \x00 ".join(t.lower() if t else "" for t in texts)
+    lower = [t.lower() if t else "" for t in texts]
+    joined = " " + "".join(t + " " for t in lower)
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.cumsum(code == 0)
-    letter = _LETTER[np.minimum(code, 0xFFFF)] | (code > 0xFFFF)
+    # a text owns its characters and the blank after them; the first also the blank before
+    owner = np.repeat(np.arange(len(lower)), [len(t) + 1 + (i == 0) for i, t in enumerate(lower)])
+    letter = _LETTER[code]
     has = np.bincount(owner[letter], minlength=len(texts)) > 0
     clean = np.where(letter, code, 32).astype(np.uint64)
     if len(clean) < GRAM:

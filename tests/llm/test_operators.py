@@ -235,6 +235,20 @@ def test_language_filter_has_no_misses():
     assert (mask == 2).all()
 
 
+def test_language_letters_and_owners(docs):
+    """Non-letters above U+FFFF are none, U+0000 is a character, neighbours don't matter."""
+    model = language.train(docs)
+    emoji, digits = "\U0001F600\U0001F600", "\U0001D7D8\U0001D7D9\U0001D7DA"
+    texts = [emoji, EN, "a\x00b\x00c " + DE, DE, None, digits, EN + emoji, "\x00", "\U00010400 x", EN]
+    langs, scores = language.predict_texts(texts, model)
+    assert [langs[i] for i in (0, 1, 2, 3, 4, 5, 6, 7, 9)] == [
+        "und", "en", "de", "de", "und", "und", "en", "und", "en"]
+    assert langs[8] != "und"            # Deseret letters are letters
+    assert abs(scores[6] - scores[1]) < 1e-12 and scores[0] == scores[5] == 0
+    assert [language.predict_texts([t], model) for t in texts] == [
+        ([a], [b]) for a, b in zip(langs, scores, strict=True)]
+
+
 def test_language_sample_keeps_every_language(spark):
     """70 languages, one of which has nearly all rows, and one with a single short text."""
     def text(n, i):
