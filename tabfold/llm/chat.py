@@ -5,23 +5,70 @@ that speaker as ``assistant`` and all others as named users; the loss mask
 covers what the assistant says, its end mark included. ``system`` turns keep
 their role and are nobody's perspective.
 
-A dialogue is rendered in segments of ``segment_turns`` turn numbers, so that
-a conversation of any length never meets in one task; a usual conversation is
-one segment (0). Mask positions are code points of the segment's text.
+A dialogue is rendered in segments of ``segment_turns`` turn numbers; a usual
+conversation is one segment (0). A segment may hold any number of rows (null
+or repeated turn numbers): over ``part_bytes`` it is cut into several rows, its
+parts, so that neither a conversation nor a segment of any length meets in one
+task. Mask positions are code points of the row's text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import MIN_BUCKETS, written
+
 SEGMENT_TURNS = 256
+PART_BYTES = 64 << 20
+TURN_BYTES = 64    # what a turn counts besides its role and text
+PREFIX = 1024      # characters of a text that rule the cuts between parts
 UNKNOWN = "unknown"
 END = "<|im_end|>\n"
 
 
-def rotated(conversations: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataFrame:
-    """Rows (conv_id, perspective, segment, n_turns, n_trained, text, masks).
+def _weight() -> Column:
+    return (F.octet_length("role") + F.octet_length("text") + F.lit(TURN_BYTES)).cast("long")
+
+
+def _with_part(turns: DataFrame, part_bytes: int) -> DataFrame:
+    """``turns`` with the part of its segment: 0, unless the segment is over ``part_bytes``.
+
+    Turns of a cut segment are dealt to ranges in order, equal ones too, and
+    the bytes before each are summed inside its range and over the ranges
+    before. Texts that agree in ``PREFIX`` characters go by hash between parts.
+    """
+    key = ["conv_id", "segment"]
+    large = written(turns.groupBy(*key).agg(F.sum(_weight()).alias("bytes"))
+                    .filter(F.col("bytes") > part_bytes), "segments")
+    total = large.agg(F.sum("bytes")).first()[0]
+    if total is None:
+        return turns.withColumn("part", F.lit(0).cast("long"))
+
+    def among(how):
+        return turns.join(large, [turns[c].eqNullSafe(large[c]) for c in key], how)
+
+    cut = written(among("left_semi").withColumn("uid", F.monotonically_increasing_id()), "cut")
+    order = ["turn", "role", F.left("text", F.lit(PREFIX)), F.xxhash64("text"), "uid"]
+    cut = written(cut.repartitionByRange(max(MIN_BUCKETS, math.ceil(total / part_bytes)), *key, *order)
+                  .withColumn("range", F.spark_partition_id()), "ranges")
+    cell = [*key, "range"]
+    before = Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (cut.groupBy(*cell).agg(F.sum(_weight()).alias("n"))
+               .select(*cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    inside = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = cut.withColumn("inside", F.coalesce(F.sum(_weight()).over(inside), F.lit(0)))
+    placed = summed.join(offsets, [summed[c].eqNullSafe(offsets[c]) for c in cell]).select(
+        *[summed[c] for c in turns.columns],
+        F.floor((F.col("inside") + F.col("offset")) / part_bytes).cast("long").alias("part"))
+    return among("left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(placed)
+
+
+def rotated(conversations: DataFrame, segment_turns: int = SEGMENT_TURNS,
+            part_bytes: int = PART_BYTES) -> DataFrame:
+    """Rows (conv_id, perspective, segment, part, n_turns, n_trained, text, masks).
 
     Turns go by turn number, then role and text; a null turn comes first, in
     segment -1. A null role is the speaker 'unknown', a null text is empty.
@@ -34,7 +81,7 @@ def rotated(conversations: DataFrame, segment_turns: int = SEGMENT_TURNS) -> Dat
         F.coalesce(F.floor(F.col("turn") / segment_turns), F.lit(-1)).cast("long").alias("segment"))
     people = (turns.filter(F.col("role") != "system")
               .select("conv_id", F.col("role").alias("perspective")).distinct())
-    segments = turns.groupBy("conv_id", "segment").agg(
+    segments = _with_part(turns, part_bytes).groupBy("conv_id", "segment", "part").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     pairs = segments.join(people, segments["conv_id"].eqNullSafe(people["conv_id"])).drop(
         people["conv_id"])
@@ -51,7 +98,7 @@ def rotated(conversations: DataFrame, segment_turns: int = SEGMENT_TURNS) -> Dat
                 a.at + char_length(p.head) + char_length(p.body)))), a.out)),
         a -> array_join(a.out, ','))""")
     return parts.select(
-        "conv_id", "perspective", "segment", F.size("turns").cast("long").alias("n_turns"),
+        "conv_id", "perspective", "segment", "part", F.size("turns").cast("long").alias("n_turns"),
         F.expr("size(filter(parts, p -> p.mine))").cast("long").alias("n_trained"),
         F.expr("array_join(transform(parts, p -> concat(p.head, p.body)), '')").alias("text"),
         spans.alias("masks"))

@@ -22,7 +22,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotated(table(spark, sf_dir, "conversations"))
+    return chat.rotated(table(spark, sf_dir, "conversations")).drop("part")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

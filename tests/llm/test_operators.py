@@ -492,6 +492,31 @@ def test_chat(spark):
     assert chat.rotated(data.limit(0)).count() == 0
 
 
+def test_chat_cuts_large_segments(spark):
+    """Many null and equal turns: bounded rows that make up the whole dialogue, in order."""
+    rows = [(None, None, "ann" if i % 3 else "bob", f"text {i % 50}") for i in range(900)]
+    rows += [(1, 7, "ann", "same")] * 900 + [(2, i, "ann", f"é{i}") for i in range(5)]
+    data = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    whole = {tuple(r)[:3]: r for r in chat.rotated(data).collect()}
+    assert {r["part"] for r in whole.values()} == {0}
+    bound = 5000
+    out = chat.rotated(data, part_bytes=bound).collect()
+    assert max(r["n_turns"] for r in out) <= bound // chat.TURN_BYTES + 1
+    groups = defaultdict(list)
+    for r in sorted(out, key=lambda r: r["part"]):
+        groups[tuple(r)[:3]].append(r)
+    assert set(groups) == set(whole) and len(groups[2, "ann", 0]) == 1
+    for k, parts in groups.items():
+        assert [r["part"] for r in parts] == list(range(len(parts)))
+        assert "".join(r["text"] for r in parts) == whole[k]["text"]
+        assert sum(r["n_trained"] for r in parts) == whole[k]["n_trained"]
+        for r in parts:
+            spans = [tuple(map(int, m.split(":"))) for m in r["masks"].split(",") if m]
+            assert len(spans) == r["n_trained"]
+            assert all(r["text"][a:b].endswith(chat.END) and r["text"][:a].endswith("assistant\n")
+                       for a, b in spans)
+
+
 def test_pipeline_stages(spark, docs, tmp_dir):
     base = docs.select("doc_id", "text", "lang", "source", "n_chars")
     base.coalesce(1).write.parquet(f"{tmp_dir}/documents.parquet")
