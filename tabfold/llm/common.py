@@ -65,6 +65,27 @@ def with_rank(df: DataFrame, part: list[str], order: list[str], uid: str, n_rows
             .drop("_inside", "_offset", "_bucket"))
 
 
+def numbered(df: DataFrame, part: list[str], cell: str, order: list[str],
+             name: str = "pos") -> DataFrame:
+    """1-based place of each row inside its ``part`` group, groups cut over cells.
+
+    ``cell`` (frozen in a written table) numbers bounded runs of rows that
+    follow ``order``, as ranges do: rows are numbered inside (part, cell), and
+    moved up by the rows of the group's cells before. Nulls are values.
+    """
+    cells = [*part, cell]
+    before = Window.partitionBy(*part).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (df.groupBy(*cells).agg(F.count("*").alias("_n"))
+               .select(*cells, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    ranked = df.withColumn("_inside", F.row_number().over(
+        Window.partitionBy(*cells).orderBy(*order)))
+    joined = ranked.join(offsets, [ranked[c].eqNullSafe(offsets[c]) for c in cells], "left")
+    for c in cells:
+        joined = joined.drop(offsets[c])
+    return (joined.withColumn(name, (F.col("_inside") + F.col("_offset")).cast("long"))
+            .drop("_inside", "_offset"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tabfold.session import scratch_path
 
 from . import (chat, decontaminate, exact_dedup, language, licenses, packing, quality, reshard,
-               secrets, simhash)
+               secrets, simhash, token_index)
 from .common import table, written
 
 
@@ -58,9 +58,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    root = token_index.write(docs)
+    return token_index.digest(spark, root, token_index.keys(docs))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_quality, op3_chat, op4_secrets, op5_exact_dedup, op6_language,
-    op7_licenses, op8_reshard, op9_simhash, op10_packing)}
+    op7_licenses, op8_reshard, op9_simhash, op10_packing, op13_token_index)}
 
 _NORM = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
          "'abcdefghijklmnopqrstuvwxyz')")
