@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,41 +39,73 @@ from .common import numbered, written
 
 SHARD_BYTES = 16 << 20      # text bytes (and 16 a row) that a shard has, about
 BUCKET_KEYS = 1 << 14       # keys that an index bucket has, about
-MEMO_WORDS = 400_000        # pieces of text whose ids a worker remembers
+MEMO_PIECES = 400_000       # pieces of text whose ids a worker remembers
 CHUNK = 1 << 18             # characters of a text that are encoded at once, about
 GAMMA = 2.0                 # bits of a level for each key that is left
 MAX_LEVELS = 64
 MAGIC = b"IDSHARD1"
 DOC = "doc_id long, shard long, offset long, n_tokens long"
 
-# the tokenizer's splitting pattern (fixed by its vocabulary file)
-_SPLIT = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-# characters whose classes all versions of Unicode agree on; else the library splits
+# the tokenizer's splitting pattern (fixed by its vocabulary file), for white space and the
+# characters up to U+024F, whose classes all versions of Unicode agree on
+_LETTER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_SPLIT = re.compile(
+    rf" ?[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_NUMBER}]+| ?[^ \t\n\r{_LETTER}{_NUMBER}]+"
+    r"|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 _ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
+_WORD = re.compile(f" [{_LETTER}]+")
 # between these two a text can be cut without a change of its ids
 _CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
 
-class Pieces(dict):
-    """Piece of text -> its ids as bytes; starts afresh when full."""
+class Encoder:
+    """The library's ids of texts, remembered by piece.
+
+    The tokenizer works piece by piece (``_SPLIT``), so pieces are looked up;
+    those that a text has and the memo hasn't go to the library together. Text
+    with other characters goes through the library as it is.
+    """
 
     def __init__(self, tokenizer):
-        super().__init__()
         self.tokenizer = tokenizer
         self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.marks = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.memo: dict[str, bytes] = {}
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids,
                         f"<u{self.width}").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        out = self[piece] = self.encoded(piece)
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of new pieces; words with a space before go through the library in one text."""
+        words = [p for p in pieces if _WORD.fullmatch(p)]
+        out = {p: self.encoded(p) for p in pieces if not _WORD.fullmatch(p)}
+        if words:
+            got = self.tokenizer.encode("".join(words), add_special_tokens=False)
+            raw = np.array(got.ids, f"<u{self.width}").tobytes()
+            ends = np.cumsum(np.bincount(got.word_ids, minlength=len(words))) * self.width
+            starts = [0, *ends[:-1].tolist()]
+            out |= {w: raw[a:b] for w, a, b in zip(words, starts, ends.tolist(), strict=True)}
+        if len(self.memo) + len(out) > MEMO_PIECES:
+            self.memo.clear()
+        self.memo |= out
         return out
 
+    def part(self, text: str) -> bytes:
+        if _ODD.search(text) or any(m in text for m in self.marks):
+            return self.encoded(text)
+        pieces = _SPLIT.findall(text)
+        found = list(map(self.memo.get, pieces))
+        if None in found:
+            new = self.learn(list({p for p, f in zip(pieces, found, strict=True) if f is None}))
+            found = [new[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
+        return b"".join(found)
+
+    def __call__(self, text: str | None) -> bytes:
+        """The ids of the whole text, without the end id."""
+        return b"".join([self.part(t) for t in chunks(text)]) if text else b""
+
 
 def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
     """The text cut before single spaces between ASCII signs, about every ``size`` characters."""
@@ -88,23 +119,10 @@ def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def encode(text: str | None, pieces: Pieces) -> bytes:
-    """The ids of the whole text as the library gives them, without the end id."""
-    if not text:
-        return b""
-    out = []
-    for part in chunks(text):
-        if _ODD.search(part) or any(m in part for m in pieces.marks):
-            out.append(pieces.encoded(part))
-        else:
-            out.append(b"".join([pieces[p] for p in _SPLIT.findall(part)]))
-    return out[0] if len(out) == 1 else b"".join(out)
-
-
 _LOADED: dict = {}
 
 
-def _pieces(path: str | None) -> Pieces:
+def _encoder(path: str | None) -> Encoder:
     """Loaded once a worker; None: the public byte_bpe_50k.json, found on each worker."""
     if path not in _LOADED:
         import os
@@ -116,7 +134,7 @@ def _pieces(path: str | None) -> Pieces:
             name = public_tokenizers.path("byte_bpe_50k.json")
         else:
             name = path
-        _LOADED[path] = Pieces(Tokenizer.from_file(name))
+        _LOADED[path] = Encoder(Tokenizer.from_file(name))
     return _LOADED[path]
 
 
@@ -148,17 +166,17 @@ def write(docs: DataFrame, root: str | None = None, tokenizer_path: str | None =
     """
     spark = docs.sparkSession
     root = root or scratch_path(spark, "tokens")
-    width = _pieces(tokenizer_path).width
+    width = _encoder(tokenizer_path).width
     # the size of an unnamed type is not known before: rows and bytes in one count
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)).first()[0]
     n_shards = max(1, math.ceil((total or 0) / shard_bytes))
 
     def shard_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, ids, lengths = _pieces(tokenizer_path), [], []
+        encoder, ids, lengths = _encoder(tokenizer_path), [], []
         for batch in batches:
-            rows = [encode(t, pieces) for t in batch["text"]]
+            rows = [encoder(t) for t in batch["text"]]
             ids += [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
-            lengths += [len(r) // pieces.width + 1 for r in rows]
+            lengths += [len(r) // encoder.width + 1 for r in rows]
             yield pd.DataFrame({"value": rows})
         if ids:
             yield pd.DataFrame({"value": [_footer(ids, lengths, TaskContext.get().partitionId())]})
