@@ -39,7 +39,7 @@ from .common import numbered, written
 
 SHARD_BYTES = 16 << 20      # text bytes (and 16 a row) that a shard has, about
 BUCKET_KEYS = 1 << 14       # keys that an index bucket has, about
-MEMO_PIECES = 400_000       # pieces of text whose ids a worker remembers
+MEMO_PIECES = 300_000       # pieces of text in each of a worker's two generations of memory
 CHUNK = 1 << 18             # characters of a text that are encoded at once, about
 GAMMA = 2.0                 # bits of a level for each key that is left
 MAX_LEVELS = 64
@@ -71,7 +71,8 @@ class Encoder:
         self.tokenizer = tokenizer
         self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.marks = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}    # a new generation when full; the last one is kept
+        self.last: dict[str, bytes] = {}
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids,
@@ -79,8 +80,9 @@ class Encoder:
 
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids of new pieces; words with a space before go through the library in one text."""
-        words = [p for p in pieces if _WORD.fullmatch(p)]
-        out = {p: self.encoded(p) for p in pieces if not _WORD.fullmatch(p)}
+        out = {p: self.last[p] for p in pieces if p in self.last}
+        words = [p for p in pieces if p not in out and _WORD.fullmatch(p)]
+        out |= {p: self.encoded(p) for p in pieces if p not in out and not _WORD.fullmatch(p)}
         if words:
             got = self.tokenizer.encode("".join(words), add_special_tokens=False)
             raw = np.array(got.ids, f"<u{self.width}").tobytes()
@@ -88,7 +90,7 @@ class Encoder:
             starts = [0, *ends[:-1].tolist()]
             out |= {w: raw[a:b] for w, a, b in zip(words, starts, ends.tolist(), strict=True)}
         if len(self.memo) + len(out) > MEMO_PIECES:
-            self.memo.clear()
+            self.last, self.memo = self.memo, {}
         self.memo |= out
         return out
 
