@@ -65,6 +65,13 @@ def with_rank(df: DataFrame, part: list[str], order: list[str], uid: str, n_rows
             .drop("_inside", "_offset", "_bucket"))
 
 
+def in_ranges(df: DataFrame, part: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` written in ranges of (part, order), equal rows dealt too; ``cell`` numbers the ranges."""
+    keyed = df.withColumn("uid", F.monotonically_increasing_id())
+    return written(keyed.repartitionByRange(*part, *order, "uid")
+                   .withColumn("cell", F.spark_partition_id()), name)
+
+
 def numbered(df: DataFrame, part: list[str], cell: str, order: list[str],
              name: str = "pos") -> DataFrame:
     """1-based place of each row inside its ``part`` group, groups cut over cells.
