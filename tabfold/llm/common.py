@@ -66,31 +66,37 @@ def with_rank(df: DataFrame, part: list[str], order: list[str], uid: str, n_rows
 
 
 def in_ranges(df: DataFrame, part: list[str], order: list[str], name: str) -> DataFrame:
-    """``df`` written in ranges of (part, order), equal rows dealt too; ``cell`` numbers the ranges."""
+    """``df`` written in sorted ranges of (part, order); equal rows are dealt too.
+
+    ``cell`` numbers the ranges and ``at`` the rows, in order and without gaps
+    inside a range.
+    """
     keyed = df.withColumn("uid", F.monotonically_increasing_id())
-    return written(keyed.repartitionByRange(*part, *order, "uid")
-                   .withColumn("cell", F.spark_partition_id()), name)
+    keys = [*part, *order, "uid"]
+    ranged = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("uid")
+    return written(ranged.withColumn("cell", F.spark_partition_id())
+                   .withColumn("at", F.monotonically_increasing_id()), name)
 
 
-def numbered(df: DataFrame, part: list[str], cell: str, order: list[str],
-             name: str = "pos") -> DataFrame:
-    """1-based place of each row inside its ``part`` group, groups cut over cells.
+def numbered(df: DataFrame, part: list[str], cell: str, at: str, name: str = "pos",
+             total: str = "n_part") -> DataFrame:
+    """``df`` with each row's 1-based place in its ``part`` group, and the group's size.
 
-    ``cell`` (frozen in a written table) numbers bounded runs of rows that
-    follow ``order``, as ranges do: rows are numbered inside (part, cell), and
-    moved up by the rows of the group's cells before. Nulls are values.
+    ``cell`` and ``at`` as ``in_ranges`` writes them: the rows of a group fill
+    consecutive cells, and have consecutive numbers ``at`` inside each. A cell's
+    place comes from the sizes of the group's cells before. Nulls are values.
     """
     cells = [*part, cell]
-    before = Window.partitionBy(*part).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (df.groupBy(*cells).agg(F.count("*").alias("_n"))
-               .select(*cells, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
-    ranked = df.withColumn("_inside", F.row_number().over(
-        Window.partitionBy(*cells).orderBy(*order)))
-    joined = ranked.join(offsets, [ranked[c].eqNullSafe(offsets[c]) for c in cells], "left")
+    group = Window.partitionBy(*part)
+    before = group.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(*cells).agg(F.count("*").alias("_n"), F.min(at).alias("_first")).select(
+        *cells, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_n").over(group).alias(total))
+    joined = df.join(starts, [df[c].eqNullSafe(starts[c]) for c in cells])
     for c in cells:
-        joined = joined.drop(offsets[c])
-    return (joined.withColumn(name, (F.col("_inside") + F.col("_offset")).cast("long"))
-            .drop("_inside", "_offset"))
+        joined = joined.drop(starts[c])
+    return (joined.withColumn(name, F.col(at) - F.col("_first") + F.col("_offset") + 1)
+            .drop("_first", "_offset"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -52,7 +52,7 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.left(text, F.lit(TEXT_ORDER)).alias("head"),
         F.sha2(F.concat_ws(":", F.char_length(role), role, text), 256).alias("digest"),
         F.char_length(text).cast("long").alias("chars"))
-    placed = numbered(in_ranges(turns, ["conv_id"], ORDER, "turns"), ["conv_id"], "cell", ORDER)
+    placed = numbered(in_ranges(turns, ["conv_id"], ORDER, "turns"), ["conv_id"], "cell", "at")
     placed = written(placed.select("conv_id", "pos", "digest", "chars"), "placed")
     lengths = placed.groupBy("conv_id").agg(F.count("*").alias("own"))
     first = lengths.select(F.col("conv_id").alias("first_id"), F.col("own").alias("n_first"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tabfold.session import scratch_path
 
 from . import (chat, decontaminate, exact_dedup, language, licenses, packing, prefix_trie, quality,
-               reshard, secrets, simhash, token_index)
+               repair, reshard, secrets, simhash, token_index)
 from .common import table, written
 
 
@@ -62,6 +62,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     root = token_index.write(docs)
@@ -70,7 +74,7 @@ def op13_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_quality, op3_chat, op4_secrets, op5_exact_dedup, op6_language,
-    op7_licenses, op8_reshard, op9_simhash, op10_packing, op11_prefix_trie,
+    op7_licenses, op8_reshard, op9_simhash, op10_packing, op11_prefix_trie, op12_repair,
     op13_token_index)}
 
 _NORM = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
@@ -100,6 +104,7 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN hitword USING (doc_id) LEFT JOIN item USING (doc_id)""",
     "op3_chat": chat.ORACLE,
     "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_repair": repair.ORACLE,
     "op5_exact_dedup": f"""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256

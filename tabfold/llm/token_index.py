@@ -199,7 +199,7 @@ def _payload(spark: SparkSession, root: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, root: str, width: int) -> DataFrame:
-    """Rows (doc_id, shard, offset, n_tokens, ids_crc32), read from the payload files alone."""
+    """Rows (doc_id, shard, offset, n_tokens, ids_crc32, nth), read from the payload files alone."""
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
@@ -213,8 +213,9 @@ def documents(spark: SparkSession, root: str, width: int) -> DataFrame:
                     "doc_id": pd.array(np.where(null, 0, keys), "Int64").copy()
                     if not null.any() else pd.arrays.IntegerArray(keys.copy(), null.astype(bool)),
                     "shard": np.int64(shard), "offset": starts,
-                    "n_tokens": lengths.astype(np.int64), "ids_crc32": crcs})
-    return _payload(spark, root).mapInPandas(parse, DOC + ", ids_crc32 long")
+                    "n_tokens": lengths.astype(np.int64), "ids_crc32": crcs,
+                    "nth": np.arange(len(lengths))})
+    return _payload(spark, root).mapInPandas(parse, DOC + ", ids_crc32 long, nth long")
 
 
 def _hashed(df: DataFrame, n_buckets: int) -> DataFrame:
@@ -287,7 +288,7 @@ def build_index(spark: SparkSession, root: str, width: int, bucket_keys: int = B
     """Write ``index`` and ``meta`` of a folder from its payload files."""
     docs = written(documents(spark, root, width), "token_docs")
     n_buckets = max(1, math.ceil(docs.count() / bucket_keys))
-    copies = numbered(docs, ["doc_id"], "shard", ["offset"], "copy")
+    copies = numbered(docs, ["doc_id"], "shard", "nth", "copy")
     keyed = _hashed(copies.withColumn("copy", F.col("copy") - 1), n_buckets)
 
     def one_bucket(rows: pd.DataFrame) -> pd.DataFrame:
@@ -347,7 +348,7 @@ def digest(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
     says where a key lies, the payload files what lies there.
     """
     meta = spark.read.parquet(f"{root}/meta").first()
-    stored = written(documents(spark, root, meta["width"]).drop("doc_id"), "stored")
+    stored = written(documents(spark, root, meta["width"]).drop("doc_id", "nth"), "stored")
     bases = _bases(stored)
     found = lookup(spark, root, wanted).join(stored, ["shard", "offset", "n_tokens"])
     return found.join(F.broadcast(bases), "shard").select(
