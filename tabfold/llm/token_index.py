@@ -382,8 +382,9 @@ def fetch(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
         content = files["content"].iloc[0] if len(files) else b""
         return pd.DataFrame({
             "doc_id": rows["doc_id"].astype("Int64"), "copy": rows["copy"],
-            "ids": [np.frombuffer(content, f"<u{width}", n, at * width).astype(np.int32)
-                    for at, n in zip(rows["offset"], rows["n_tokens"], strict=True)]})
+            "ids": pd.Series([np.frombuffer(content, f"<u{width}", n, at * width).astype(np.int32)
+                              for at, n in zip(rows["offset"], rows["n_tokens"], strict=True)],
+                             index=rows.index, dtype=object)})
 
     files = _payload(spark, root).mapInPandas(tagged, "shard long, content binary")
     return lookup(spark, root, wanted).groupBy("shard").cogroup(files.groupBy("shard")).applyInPandas(
