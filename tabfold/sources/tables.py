@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread an input of a single split (one small file, or one row group)
-    over the cluster's cores. One split holds at most
-    ``spark.sql.files.maxPartitionBytes``, which bounds what is moved; an
-    input of several splits is left as it is."""
-    if df.rdd.getNumPartitions() == 1:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
+    """Spread a scan of less than one full split per core evenly over the cores.
+
+    Splits are cut by bytes, but a row group is read by one of them, so a
+    small input often sits in one task however many splits it has. What moves
+    is bounded: at most cores x ``spark.sql.files.maxPartitionBytes``. A larger
+    scan has a full split or more for every core and is left as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
 
 
 def read_table(spark: SparkSession, data_dir: str, name: str,
