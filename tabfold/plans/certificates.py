@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabfold.operators import model_sql
+from tabfold.operators import model_sql, optimality
 from tabfold.plans import catalog as C
 from tabfold.plans import experiment as ex
 
@@ -193,11 +193,103 @@ FROM (VALUES {', '.join(f"({j}, '{c}')" for j, c in enumerate(C.LI_FEATURES))})
      LEFT JOIN kept k ON k.j = v.j GROUP BY v.c"""
 
 
+# ------------------------------------------------------------ M2, M3
+
+LASSO = 0.08
+# what the L1 penalty leaves of the features, with their signs (towards label 1)
+LASSO_SIGNS = {"l_linenumber": 1, "l_discount": 1}
+NEWTON_STEPS = 12
+
+
+def _certificate(spark, d, learner, **params):
+    prep = _prepared(spark, d)
+    model = _fitted(prep, learner, tol=1e-14, maxIter=500, **params)
+    train = prep.label_model.transform(prep.data.filter("split = 'train'"))
+    found = optimality.certificate(train, model, C.LI_FEATURES).select(
+        "feature", *[(F.round(c, 5) + F.lit(0.0)).alias(c)
+                     for c in ("coefficient", "std", "gradient", "slope")], "optimal")
+    prep.data.unpersist()
+    return found
+
+
+def q_logit_certificate(spark, d):
+    """M2: coefficients on labels that no plane separates, with their gradients."""
+    return _certificate(spark, d, "logistic")
+
+
+def q_lasso_certificate(spark, d):
+    """M3: the coefficients that the L1 penalty leaves, and the bounds that hold for the others."""
+    return _certificate(spark, d, "lasso", reg_param=LASSO)
+
+
+def _sql_solved(n: int, source: str) -> str:
+    """Gaussian elimination of the n x n system a{i}{j} x{j} = g{i}, as nested SELECTs."""
+    sql = source
+    for k in range(n):
+        rows = [f"a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j} AS a{i}{j}" for i in range(n) if i != k
+                for j in range(k + 1, n)]
+        rows += [f"g{i} - a{i}{k} / a{k}{k} * g{k} AS g{i}" for i in range(n) if i != k]
+        gone = {r.rsplit(" AS ", 1)[1] for r in rows}
+        sql = f"SELECT * EXCLUDE ({', '.join(sorted(gone))}), {', '.join(rows)} FROM ({sql})"
+    return f"SELECT {', '.join(f'g{i} / a{i}{i} AS x{i}' for i in range(n))} FROM ({sql})"
+
+
+def _sql_certificate(signs=None, penalty: float = 0.0) -> str:
+    """Newton's method on the cells of the three features; ``signs``: the nonzero coefficients'."""
+    names = C.LI_FEATURES
+    active = list(names) if signs is None else [c for c in names if c in signs]
+    n = len(active) + 1
+    x = ["1.0", *active]
+    margin = " + ".join(f"b{i} * {c}" for i, c in enumerate(x))
+    p = f"(1 / (1 + exp(-({margin}))))"
+    # the penalty of the scaled coefficient is steady while its sign is
+    steady = ["0.0" if signs is None or i == 0 else f"{signs[c] * penalty} * o * s_{c}"
+              for i, c in enumerate(x)]
+    sums = [f"sum(n * ({p} - y) * {a}) / sum(n) + any_value({t}) AS g{i}"
+            for i, (a, t) in enumerate(zip(x, steady, strict=True))]
+    sums += [f"sum(n * {p} * (1 - {p}) * {a} * {b}) / sum(n) AS a{i}{j}"
+             for i, a in enumerate(x) for j, b in enumerate(x)]
+    ctes = [
+        f"t AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in names)}, {LABEL} AS label, "
+        f"{C._sql_split(C.LI_KEYS, C.SEED)} AS split FROM lineitem)",
+        # class index 0 is the label that has more rows
+        "one AS (SELECT CASE WHEN sum(label) * 2 > count(*) THEN 0 ELSE 1 END AS y1 FROM t)",
+        f"cells AS MATERIALIZED (SELECT {', '.join(names)}, CASE WHEN label = y1 THEN 1.0 ELSE 0.0 END AS y, "
+        f"count(*)::DOUBLE AS n FROM t, one WHERE split = 'train' GROUP BY ALL)",
+        "sd AS MATERIALIZED (SELECT " + ", ".join(
+            f"sqrt((sum(n * {c} * {c}) - sum(n * {c}) * sum(n * {c}) / sum(n)) / (sum(n) - 1)) AS s_{c}"
+            for c in names) + ", any_value(o) AS o FROM cells, (SELECT 2 * y1 - 1 AS o FROM one))",
+        "b0 AS MATERIALIZED (SELECT " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(n)) + ")"]
+    for k in range(NEWTON_STEPS):
+        step = _sql_solved(n, f"SELECT {', '.join(sums)} FROM cells, b{k}, sd")
+        ctes.append(f"b{k + 1} AS MATERIALIZED (SELECT "
+                    + ", ".join(f"b{i} - x{i} AS b{i}" for i in range(n)) + f" FROM b{k}, ({step}))")
+    grads = ", ".join(f"sum(n * ({p} - y) * {c}) / sum(n) / any_value({'1.0' if c == '1.0' else 's_' + c}) "
+                      f"AS d{i}" for i, c in enumerate(["1.0", *names]))
+    ctes.append(f"d AS (SELECT {grads} FROM cells, b{NEWTON_STEPS}, sd)")
+    rows = [f"SELECT '{optimality.INTERCEPT}' AS feature, b0 AS coefficient, NULL::DOUBLE AS std, d0 AS gradient, "
+            f"0.0 AS slope, abs(d0) AS violation FROM b{NEWTON_STEPS}, d"]
+    for i, c in enumerate(names):
+        if c in active:
+            slope = "0.0" if signs is None else f"o * {signs[c] * penalty}"
+            rows.append(f"SELECT '{c}', b{active.index(c) + 1}, s_{c}, d{i + 1}, {slope}, "
+                        f"abs(d{i + 1} + {slope}) FROM b{NEWTON_STEPS}, d, sd")
+        else:
+            rows.append(f"SELECT '{c}', 0.0, s_{c}, d{i + 1}, {penalty}, "
+                        f"greatest(abs(d{i + 1}) - {penalty}, 0) FROM d, sd")
+    return ("WITH " + ",\n ".join(ctes) + "\nSELECT feature, round(coefficient, 5) AS coefficient, "
+            "round(std, 5) AS std, round(gradient, 5) AS gradient, "
+            "round(CAST(slope AS DOUBLE), 5) AS slope, "
+            "violation <= 1e-5 AS optimal FROM (" + " UNION ALL ".join(rows) + ")")
+
+
 QUERIES = {
     "tree_nodes": q_tree_nodes,
     "tree_sql_scores": q_tree_sql_scores,
     "model_sql_agrees": q_model_sql_agrees,
     "tree_gain": q_tree_gain,
+    "logit_certificate": q_logit_certificate,
+    "lasso_certificate": q_lasso_certificate,
 }
 
 ORACLES = {
@@ -205,5 +297,7 @@ ORACLES = {
     "tree_sql_scores": SQL_TREE_SQL_SCORES,
     "model_sql_agrees": SQL_MODEL_SQL_AGREES,
     "tree_gain": SQL_TREE_GAIN,
+    "logit_certificate": _sql_certificate(),
+    "lasso_certificate": _sql_certificate(LASSO_SIGNS, LASSO),
 }
 ORACLES = {k: C._plus_zero_rounds(C._sig_rounds(v)) for k, v in ORACLES.items()}
