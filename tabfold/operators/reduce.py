@@ -96,3 +96,43 @@ def total_variance(df: DataFrame, col: str) -> float:
     d = len(arr.first()[0])
     row = arr.agg(*[F.var_samp(F.col("_x")[i]).alias(f"v{i}") for i in range(d)]).first()
     return float(sum(row[f"v{i}"] or 0.0 for i in range(d)))
+
+
+def loadings(spark: SparkSession, pca_model) -> DataFrame:
+    """``(component, slot, loading)`` of a fitted PCA, component 1-based; d x k rows."""
+    matrix = pca_model.pc.toArray()
+    rows = [(k + 1, i, float(matrix[i, k])) for k in range(matrix.shape[1])
+            for i in range(matrix.shape[0])]
+    return spark.createDataFrame(rows, "component int, slot int, loading double")
+
+
+def eigen_certificate(cov: DataFrame, pca_model, total: float) -> DataFrame:
+    """F7-F10 checked: ``(component, eigenvalue, residual, overlap)`` of a fitted PCA.
+
+    ``cov``: ``covariance`` of the rows that the PCA was fitted on, ``total``
+    their ``total_variance``. ``residual`` is |C v - l v|, ``overlap`` the
+    largest of |v.v - 1| and |v.w| over the other components w: both are zero,
+    up to rounding, for the eigenpairs of C and for nothing else.
+    """
+    spark = cov.sparkSession
+    v = loadings(spark, pca_model)
+    values = explained_variance(spark, pca_model, total).select("component", "eigenvalue")
+    image = cov.join(v, cov["j"] == v["slot"]).groupBy("component", "i").agg(
+        F.sum(F.col("cov") * F.col("loading")).alias("image"))
+    residual = (image.join(v.withColumnRenamed("slot", "i"), ["component", "i"])
+                .join(values, "component").groupBy("component", "eigenvalue").agg(
+        F.sqrt(F.sum(F.pow(F.col("image") - F.col("eigenvalue") * F.col("loading"), 2))).alias("residual")))
+    w = v.select(F.col("component").alias("other"), "slot", F.col("loading").alias("w"))
+    dots = v.join(w, "slot").groupBy("component", "other").agg(
+        F.sum(F.col("loading") * F.col("w")).alias("dot"))
+    own = (F.col("component") == F.col("other")).cast("double")
+    overlap = dots.groupBy("component").agg(F.max(F.abs(F.col("dot") - own)).alias("overlap"))
+    return residual.join(overlap, "component")
+
+
+def projector(spark: SparkSession, pca_model, k: int) -> DataFrame:
+    """``(i, j, value)`` of the projection onto the first k components: the subspace, free of signs."""
+    v = loadings(spark, pca_model).filter(F.col("component") <= k)
+    other = v.select("component", F.col("slot").alias("j"), F.col("loading").alias("w"))
+    return (v.join(other, "component").groupBy(F.col("slot").alias("i"), "j")
+            .agg(F.sum(F.col("loading") * F.col("w")).alias("value")))

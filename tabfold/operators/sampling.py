@@ -75,6 +75,42 @@ def numbered_copies(df: DataFrame, out: str = "_copy", chunk: int = 1 << 16) ->
         first, F.least(first + chunk, F.col("_n")) - 1))).drop("_n", "_chunk")
 
 
+def exact_split(df: DataFrame, seed, test_fraction: float = 0.3, keys: Sequence[str] | None = None,
+                out: str = "split", digits: int = 3) -> DataFrame:
+    """K2 to the row: exactly ceil(test_fraction x n) rows are 'test', the others 'train'.
+
+    The test rows are those with the smallest hashes of their key. The border
+    is found without a sort: a round counts the rows by the next ``digits`` hex
+    digits of the hash, inside the range that holds the border, until that
+    range holds one row; n rows take about log n / log 4096 rounds of one
+    map-side-combined aggregation, with at most 16^digits counts to the driver.
+    ``keys`` must be unique; without them equal rows are numbered (``_copy``)
+    and all columns are the key, so that copies are dealt to the row, too.
+    """
+    if keys is None:
+        df = numbered_copies(df)
+        keys = df.columns
+    hashed = hash_hex(list(keys), seed)
+    n_rows = df.count()
+    wanted = math.ceil(test_fraction * n_rows - 1e-9)
+    if wanted <= 0 or n_rows == 0:
+        return df.withColumn(out, F.lit("train"))
+    prefix, left, space = "", wanted, 32
+    while True:
+        inside = df.select(hashed.alias("h")).filter(F.col("h").startswith(prefix))
+        part = F.substring("h", len(prefix) + 1, digits)
+        counts = sorted(inside.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+        for p, n in counts:
+            if n >= left:
+                break
+            left -= n
+        prefix += p
+        if n == left or len(prefix) >= space:
+            break
+    side = F.when(F.substring(hashed, 1, len(prefix)) <= prefix, "test").otherwise("train")
+    return df.withColumn(out, side)
+
+
 def _hex_digits(n_rows: int, rows_per_bucket: int) -> int:
     if n_rows <= rows_per_bucket:
         return 1

@@ -360,7 +360,7 @@ SEGMENTS = ("BUILDING", "MACHINERY")
 
 def q_wrangle_job(spark, d):
     """Both raw files -> join -> class filter -> bzip2 CSV, read back."""
-    feats = fixtures.write_multi_header_embeddings(spark, _t(spark, d, "embeddings"), EMB_D)
+    feats = fixtures.write_multi_header_embeddings(spark, _t(spark, d, "embeddings"), _width(spark, d))
     tracks = fixtures.write_repeated_header_customers(spark, _t(spark, d, "customer"))
     return jobs.wrangle_job(spark, feats, tracks, scratch_path(spark, "wrangled") + ".bz2",
                             classes=SEGMENTS, value_type="float")
@@ -510,7 +510,12 @@ SQL_CATEGORY_INDEX = (f"SELECT {', '.join(LI_KEYS)}, "
                       "CAST(dense_rank() OVER (ORDER BY (l_tax <> 0), l_tax) - 1 AS DOUBLE) AS c1, "
                       "l_discount AS c2 FROM lineitem")
 
-EMB_D = 64
+EMB_D = 64      # the given tables' width: what the static SQL of the oracles names
+
+
+def _width(spark, d):
+    """Slots of the widest embedding; queries read it, they don't assume it."""
+    return _t(spark, d, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
 
 
 def _emb_vectors(spark, d):
@@ -566,9 +571,10 @@ def q_pca_variance(spark, d):
     train = e.filter(F.col("split") == "train")
     sc = features.fit_scaler(train, "features", "normFeatures", with_mean=True)
     scaled_train = sc.transform(train)
-    pca = red.fit_pca(scaled_train, "normFeatures", "pca", EMB_D)
+    pca = red.fit_pca(scaled_train, "normFeatures", "pca", _width(spark, d))
     total = red.total_variance(scaled_train, "normFeatures")
-    return red.explained_variance(spark, pca, total)
+    spectrum = red.explained_variance(spark, pca, total)
+    return spectrum.select("component", *[_r(c).alias(c) for c in ("ratio", "cumulative", "eigenvalue")])
 
 
 def q_pca_power_sums(spark, d):
@@ -577,7 +583,7 @@ def q_pca_power_sums(spark, d):
     norms (p = 0)."""
     e = _emb_vectors(spark, d).filter(F.col("split") == "train")
     scaled = features.fit_scaler(e, "features", "normFeatures", with_mean=True).transform(e)
-    pca = red.fit_pca(scaled, "normFeatures", "pca", EMB_D)
+    pca = red.fit_pca(scaled, "normFeatures", "pca", _width(spark, d))
     spectrum = red.explained_variance(spark, pca, red.total_variance(scaled, "normFeatures"))
     powers = (spectrum.select(F.explode(F.array(*[F.lit(p) for p in (1, 2, 3)])).alias("p"), "eigenvalue")
               .groupBy("p").agg(F.sum(F.pow("eigenvalue", "p")).alias("value")))
@@ -626,7 +632,7 @@ def q_safe_names(spark, d):
 
 def q_multiheader_scan(spark, d):
     e = _t(spark, d, "embeddings")
-    path = fixtures.write_multi_header_embeddings(spark, e, EMB_D)
+    path = fixtures.write_multi_header_embeddings(spark, e, _width(spark, d))
     return delimited.read_multi_header(spark, path, 3, ",", "_", "track_id", value_type="float")
 
 
@@ -634,7 +640,7 @@ def q_csv_lines_parse(spark, d):
     """Text lines of the multi-row-header fixture, metadata lines dropped
     by their key, parsed with the generated schema."""
     e = _t(spark, d, "embeddings")
-    path = fixtures.write_multi_header_embeddings(spark, e, EMB_D)
+    path = fixtures.write_multi_header_embeddings(spark, e, _width(spark, d))
     names = delimited.multi_header_names(delimited.header_lines(spark, path, 3), key_name="track_id")
     schema = T.StructType([T.StructField(names[0], T.LongType())] +
                           [T.StructField(n, T.FloatType()) for n in names[1:]])
@@ -947,15 +953,15 @@ SQL_IMPORTANCE_PLANTED = (
 
 # ---------------------------------------- data-derived score tables
 
-def _emb_names():
-    return ["_".join(n) for n in fixtures.embedding_names(EMB_D)]
+def _emb_names(d):
+    return ["_".join(n) for n in fixtures.embedding_names(d)]
 
 
 def _variance_scores(spark, d):
     """Per-slot sample variance of the embeddings as a score table
     ``(feature, importance)``, slots named like the wide audio table."""
     e = _t(spark, d, "embeddings")
-    long = profile.array_long_format(e, "embedding", names=_emb_names())
+    long = profile.array_long_format(e, "embedding", names=_emb_names(_width(spark, d)))
     return long.groupBy("feature").agg(F.var_samp("value").alias("importance"))
 
 

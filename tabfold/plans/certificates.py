@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabfold.operators import model_sql, optimality
+from tabfold.operators import features, model_sql, optimality, reduce as red, sampling
 from tabfold.plans import catalog as C
 from tabfold.plans import experiment as ex
 
@@ -85,7 +85,7 @@ def q_model_sql_agrees(spark, d):
 
 def _compare(prep, li, model, sql):
     """Counts per split; the SQL reads the raw columns, the model the assembled vector."""
-    from tabfold.operators import features, models, sampling
+    from tabfold.operators import models
     raw = features.assemble(sampling.hash_split(li, C.LI_KEYS, C.SEED), C.LI_FEATURES)
     scored = features.label_names(prep.label_model).transform(models.predict(
         model, raw.withColumn("label", F.lit(int(prep.label_model.labels[0])))))
@@ -283,6 +283,113 @@ def _sql_certificate(signs=None, penalty: float = 0.0) -> str:
             "violation <= 1e-5 AS optimal FROM (" + " UNION ALL ".join(rows) + ")")
 
 
+# ------------------------------------------------------------ F7-F10
+
+SUBSPACE = 8     # components of the compared subspace
+SWEEPS = 8       # rounds of all rotations; a few more than double precision needs
+
+
+def _fitted_pca(spark, d):
+    e = C._emb_vectors(spark, d).filter(F.col("split") == "train")
+    scaled = features.fit_scaler(e, "features", "normFeatures", with_mean=True).transform(e)
+    return scaled, red.fit_pca(scaled, "normFeatures", "pca", C._width(spark, d))
+
+
+def q_pca_certificate(spark, d):
+    """Every component is an eigenpair of the covariance, and orthogonal to the others."""
+    scaled, pca = _fitted_pca(spark, d)
+    found = red.eigen_certificate(red.covariance(scaled, "normFeatures"), pca,
+                                  red.total_variance(scaled, "normFeatures"))
+    return found.select("component", C._r("eigenvalue").alias("eigenvalue"),
+                        (F.col("residual") < 1e-9).alias("is_pair"),
+                        (F.col("overlap") < 1e-9).alias("is_orthogonal"))
+
+
+def q_pca_subspace(spark, d):
+    """the subspace of the leading components, as its projection matrix."""
+    _, pca = _fitted_pca(spark, d)
+    return red.projector(spark, pca, SUBSPACE).withColumn("value", F.round("value", 7) + F.lit(0.0))
+
+
+# the covariance rotated to a diagonal by Jacobi's method: a round turns all pairs of a
+# round-robin tournament at once; v is the matrix, w the rotations' product
+_JACOBI = f"""WITH RECURSIVE e AS (
+  SELECT vec_id, embedding FROM embeddings WHERE {C._sql_split(['vec_id'], C.SEED)} = 'train'),
+ u AS (SELECT vec_id, unnest(generate_series(0, len(embedding) - 1)) AS i,
+              unnest(embedding)::DOUBLE AS x FROM e),
+ z AS (SELECT vec_id, i, (x - avg(x) OVER (PARTITION BY i)) / stddev_samp(x) OVER (PARTITION BY i) AS x
+       FROM u),
+ dim AS MATERIALIZED (SELECT max(i) + 1 AS d FROM u),
+ cov AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) / (count(*) - 1) AS v
+                      FROM z a JOIN z b USING (vec_id) GROUP BY a.i, b.i),
+ m AS (
+  SELECT 0 AS it, i, j, v, (CASE WHEN i = j THEN 1.0 ELSE 0.0 END)::DOUBLE AS w FROM cov
+  UNION ALL
+  SELECT it + 1, i, j, sum(v), sum(w) FROM (
+   WITH cur AS (SELECT * FROM m),
+    pair AS (SELECT cur.i, cur.j AS b, cur.v AS ab FROM cur, dim
+             WHERE cur.j = CASE WHEN cur.i = d - 1 THEN it % (d - 1) WHEN cur.i = it % (d - 1) THEN d - 1
+                           ELSE (2 * (it % (d - 1)) - cur.i + 2 * (d - 1)) % (d - 1) END),
+    diag AS (SELECT i, v FROM cur WHERE i = j),
+    turn AS (SELECT pair.i, b, CASE WHEN ab = 0 THEN 0
+                    WHEN x.v = y.v THEN CASE WHEN pair.i < b THEN pi() / 4 ELSE -pi() / 4 END
+                    ELSE atan(2 * ab / (x.v - y.v)) / 2 END AS phi
+             FROM pair JOIN diag x ON x.i = pair.i JOIN diag y ON y.i = b),
+    k AS (SELECT i, i AS a, cos(phi) AS c FROM turn UNION ALL SELECT i, b, sin(phi) FROM turn)
+   SELECT cur.it, k1.i, k2.i AS j, k1.c * cur.v * k2.c AS v, 0.0::DOUBLE AS w
+   FROM cur JOIN k k1 ON k1.a = cur.i JOIN k k2 ON k2.a = cur.j
+   UNION ALL
+   SELECT cur.it, k1.i, cur.j, 0.0, k1.c * cur.w FROM cur JOIN k k1 ON k1.a = cur.i), dim
+  WHERE it < {SWEEPS} * (d - 1) GROUP BY it, i, j),
+ last AS MATERIALIZED (SELECT i, j, v, w FROM m, dim WHERE it = {SWEEPS} * (d - 1)),
+ pairs AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY v DESC) AS INTEGER) AS component, i, v AS eigenvalue
+                        FROM last WHERE i = j)
+"""
+
+SQL_PCA_VARIANCE = _JACOBI + """
+SELECT component, round(eigenvalue / sum(eigenvalue) OVER (), 9) AS ratio,
+       round(sum(eigenvalue) OVER (ORDER BY component ROWS UNBOUNDED PRECEDING)
+             / sum(eigenvalue) OVER (), 9) AS cumulative,
+       round(eigenvalue, 9) AS eigenvalue FROM pairs"""
+
+SQL_PCA_CERTIFICATE = _JACOBI + """
+, vec AS (SELECT component, eigenvalue, last.j AS slot, w FROM pairs JOIN last USING (i)),
+ image AS (SELECT component, eigenvalue, cov.i AS slot, sum(cov.v * w) AS y
+           FROM vec JOIN cov ON cov.j = vec.slot GROUP BY component, eigenvalue, cov.i),
+ res AS (SELECT component, image.eigenvalue, sqrt(sum(power(y - image.eigenvalue * w, 2))) AS r
+         FROM image JOIN vec USING (component, slot) GROUP BY component, image.eigenvalue),
+ dots AS (SELECT a.component, b.component AS other, sum(a.w * b.w) AS dot
+          FROM vec a JOIN vec b USING (slot) GROUP BY a.component, b.component)
+SELECT component, round(eigenvalue, 9) AS eigenvalue, r < 1e-9 AS is_pair, o < 1e-9 AS is_orthogonal
+FROM res JOIN (SELECT component, max(abs(dot - CASE WHEN component = other THEN 1 ELSE 0 END)) AS o
+               FROM dots GROUP BY component) USING (component)"""
+
+SQL_PCA_SUBSPACE = _JACOBI + f"""
+SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(sum(a.w * b.w), 7) AS value
+FROM pairs JOIN last a USING (i) JOIN last b ON b.i = a.i WHERE component <= {SUBSPACE} GROUP BY a.j, b.j"""
+
+
+# ------------------------------------------------------------ K2
+
+def _copied_orders(spark, d):
+    """Half the rows are copies of few."""
+    return C._t(spark, d, "orders").select(
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit("copy")).otherwise(F.col("o_orderkey").cast("string"))
+        .alias("k"), "o_orderstatus")
+
+
+def q_exact_split(spark, d):
+    """K2: exactly ceil(0.3 n) test rows, of a table whose rows repeat."""
+    return sampling.exact_split(_copied_orders(spark, d), 2342)
+
+
+SQL_EXACT_SPLIT = """WITH o AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'copy'
+  ELSE CAST(o_orderkey AS VARCHAR) END AS k, o_orderstatus FROM orders),
+ n AS (SELECT *, row_number() OVER (PARTITION BY k, o_orderstatus) - 1 AS _copy FROM o)
+SELECT *, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws(':', k, o_orderstatus, _copy, '2342')))
+          <= ceil(0.3 * count(*) OVER () - 1e-9) THEN 'test' ELSE 'train' END AS split FROM n"""
+
+
 QUERIES = {
     "tree_nodes": q_tree_nodes,
     "tree_sql_scores": q_tree_sql_scores,
@@ -290,6 +397,9 @@ QUERIES = {
     "tree_gain": q_tree_gain,
     "logit_certificate": q_logit_certificate,
     "lasso_certificate": q_lasso_certificate,
+    "pca_certificate": q_pca_certificate,
+    "pca_subspace": q_pca_subspace,
+    "exact_split": q_exact_split,
 }
 
 ORACLES = {
@@ -299,5 +409,9 @@ ORACLES = {
     "tree_gain": SQL_TREE_GAIN,
     "logit_certificate": _sql_certificate(),
     "lasso_certificate": _sql_certificate(LASSO_SIGNS, LASSO),
+    "pca_variance": SQL_PCA_VARIANCE,
+    "pca_certificate": SQL_PCA_CERTIFICATE,
+    "pca_subspace": SQL_PCA_SUBSPACE,
+    "exact_split": SQL_EXACT_SPLIT,
 }
 ORACLES = {k: C._plus_zero_rounds(C._sig_rounds(v)) for k, v in ORACLES.items()}
