@@ -31,12 +31,15 @@ def accuracy(scored: DataFrame, label_col: str = "indexedLabel", pred_col: str =
 
 
 def balanced_accuracy(scored: DataFrame, label_col: str = "indexedLabel",
-                      pred_col: str = "prediction", by: Sequence[str] = ("split",)) -> DataFrame:
-    """Unweighted mean of per-class recall (not Spark's weightedRecall)."""
-    hit = _hit(label_col, pred_col)
+                      pred_col: str = "prediction", by: Sequence[str] = ("split",),
+                      weight_col: str | None = None) -> DataFrame:
+    """Unweighted mean of per-class recall (not Spark's weightedRecall).
+    ``weight_col``: how many rows a row stands for."""
+    n = F.lit(1) if weight_col is None else F.col(weight_col).cast("long")
+    hit = _hit(label_col, pred_col) * n
     recall = (scored.groupBy(*by, label_col)
-                    .agg((F.sum(hit) / F.count(F.lit(1))).alias("_recall"),
-                         F.count(F.lit(1)).alias("_n")))
+                    .agg((F.sum(hit) / F.sum(n)).alias("_recall"),
+                         F.sum(n).cast("long").alias("_n")))
     return (recall.groupBy(*by)
                   .agg(F.avg("_recall").alias("balanced_accuracy"),
                        F.count(F.lit(1)).alias("n_classes"),

@@ -209,7 +209,7 @@ def seed_sweep(df: DataFrame, feature_cols: Sequence[str], label_col: str, keys:
 def cross_validate(prep: Prepared, learner: str = "tree", n_folds: int = 10, n_repeats: int = 3,
                    seed=1, keys: Sequence[str] = (), parallelism: int = 4,
                    variant: str = "raw", fit_per_fold: bool = False,
-                   partition_rows: int = 1 << 17, **params) -> DataFrame:
+                   partition_rows: int = 1 << 17, collapse: bool = False, **params) -> DataFrame:
     """Repeated stratified k-fold over the train rows, balanced accuracy
     per held-out fold -> ``(repeat, fold, n_rows, balanced_accuracy)``.
 
@@ -219,7 +219,13 @@ def cross_validate(prep: Prepared, learner: str = "tree", n_folds: int = 10, n_r
     the reference does; ``fit_per_fold`` fits them without the held-out fold.
     A boosted fit is many short passes, so the cached folds are merged to
     partitions of about ``partition_rows`` rows (only ever fewer partitions).
+    ``collapse`` counts equal rows (features, label) of a fold once and fits and
+    scores with the counts as weights: the same sums over fewer rows, worth a
+    shuffle where features take few values. Scalers and PCA don't take weights,
+    so it needs the raw variant.
     """
+    if collapse and variant != "raw":
+        raise ValueError("collapsed rows go with the raw variant")
     train = prep.data.filter(F.col("split") == "train")
     label_idx = prep.label_model.transform(train)
     n_partitions = -(-train.count() // partition_rows) or 1
@@ -230,6 +236,10 @@ def cross_validate(prep: Prepared, learner: str = "tree", n_folds: int = 10, n_r
         folds = sampling.stratified_folds(label_idx, list(keys), prep.label_col, n_folds,
                                           1, seed, keep=["features", "indexedLabel"],
                                           repeat_ids=[r])
+        if collapse:
+            folds = (folds.groupBy("fold", "features", "indexedLabel")
+                     .agg(F.count("*").cast("double").alias("weight")))
+            params["weightCol"] = "weight"
         folds = folds.coalesce(n_partitions).persist(StorageLevel.MEMORY_AND_DISK)
 
         def seen(is_train, folds=folds):
@@ -242,7 +252,8 @@ def cross_validate(prep: Prepared, learner: str = "tree", n_folds: int = 10, n_r
             held = data.filter(F.col("fold") == f)
             model = models.fit([category, learner_for(learner, **params)], fit_rows)
             scored = models.predict(model, held)
-            row = evaluate.balanced_accuracy(scored, by=()).first()
+            row = evaluate.balanced_accuracy(
+                scored, by=(), weight_col="weight" if collapse else None).first()
             return (int(r), int(f), int(row["n_rows"]), float(row["balanced_accuracy"]))
 
         try:
