@@ -5,23 +5,22 @@ fewer words is one window). A window is a set of word shingles; for exact
 containment one necessary shingle is enough as join prefix, and the rarest in
 the corpus is taken. Steps:
 
-1. count, over all documents, the shingles that the benchmark has;
-2. per window keep its rarest shingle with its place in the window. A window
-   with a shingle that no document has can't occur and goes;
-3. join document shingles to the prefixes; the place of the shingle gives the
-   one possible start, which must lie in the document with the whole window
+1. one pass over the documents keeps the shingles that the benchmark may have:
+   those whose hash falls on one of ``slots`` slots that a benchmark shingle
+   falls on, each with the words around it. The slots are what is broadcast,
+   so its size has a bound whatever the benchmark's; a larger benchmark fills
+   more of them and lets more shingles through, to be joined by their hash;
+2. count what was kept by shingle; per window take its rarest shingle with its
+   place in the window. A window with a shingle that no document has can't
+   occur and goes;
+3. join what was kept to the prefixes; the place of the shingle gives the one
+   possible start, which must lie in the document with the whole window
    (positional and length bounds);
 4. verify word by word.
-
-The benchmark side is broadcast in blocks of at most ``block_bytes``; each
-block is a pass over the documents, so the broadcast is bounded whatever the
-benchmark's size. The document's words never leave their task: only hits and
-one row per document are shuffled.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -31,7 +30,7 @@ from .common import text_hash, words, written
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK_BYTES = 32 << 20
+SLOTS = 1 << 21     # of the broadcast filter, at most so many rows
 
 
 def _shingles(column: str, k: int) -> str:
@@ -53,9 +52,8 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             .select(F.md5(F.array_join("win", " ")).alias("wid"), "win", "items"))
 
 
-def _document_shingles(docs: DataFrame, sizes: list[int], with_row_mark: bool) -> DataFrame:
-    """One row per document shingle (and, on demand, one per document at pos -1); a document of
-    no rows gives a null one.
+def _document_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """One row per document shingle, and one per document (k 0, pos -1, h 0).
 
     Columns doc_id, text_hash, w, k, pos, h.
     """
@@ -63,15 +61,14 @@ def _document_shingles(docs: DataFrame, sizes: list[int], with_row_mark: bool) -
                        words(F.col("text")).alias("w"))
     arrays = [f"transform({_shingles('w', k)}, (h, i) -> named_struct('k', {k}, 'pos', i, 'h', h))"
               for k in sizes]
-    if with_row_mark:
-        arrays.append("array(named_struct('k', 0, 'pos', -1, 'h', 0L))")
+    arrays.append("array(named_struct('k', 0, 'pos', -1, 'h', 0L))")
     # outer: else a filter on the array's size is pushed below it and builds it twice
     every = base.withColumn("s", F.expr(f"concat({', '.join(arrays)})"))
     return every.select("doc_id", "text_hash", "w", F.inline_outer("s"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  slots: int = SLOTS) -> DataFrame:
     """One row per document row: doc_id, text_hash, n_words, n_hit, n_items, items_sha256,
     contaminated.
 
@@ -81,60 +78,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """
     windows = written(item_windows(benchmark, window)
                       .withColumn("k", F.least(F.size("win"), F.lit(SHINGLE))), "windows")
-    stats = windows.agg(
-        F.sum(F.octet_length(F.array_join("win", " ")) + 64
-              + F.octet_length(F.array_join("items", ","))).alias("b"),
-        F.sort_array(F.collect_set("k")).alias("k")).first()
-    sizes = list(stats["k"]) or [SHINGLE]
-    n_blocks = max(1, math.ceil((stats["b"] or 0) * (window + 2) / block_bytes))
-
+    sizes = sorted(r["k"] for r in windows.select("k").distinct().collect()) or [SHINGLE]
     one_size = [windows.filter(F.col("k") == k).select(
-        "wid", "win", "items", "k", F.posexplode_outer(F.expr(_shingles("win", k))).alias("off", "h"))
-        for k in sizes]
-    tokens = written(reduce(DataFrame.unionByName, one_size)
-                     .withColumn("block", F.pmod(F.xxhash64("wid"), F.lit(n_blocks))), "tokens")
-
-    # rarity: corpus counts of the benchmark's shingles, block by block
-    counts = []
-    for b in range(n_blocks):
-        keys = tokens.filter(F.col("block") == b).select(
-            F.col("k").alias("tk"), F.col("h").alias("th")).distinct()
-        found = _document_shingles(docs, sizes, False).join(
-            F.broadcast(keys), (F.col("h") == F.col("th")) & (F.col("k") == F.col("tk")))
-        counts.append(found.groupBy("tk", "th").agg(F.count("*").alias("n")))
-    counts = reduce(DataFrame.unionByName, counts).groupBy("tk", "th").agg(F.max("n").alias("n"))
+        "wid", "k", F.posexplode_outer(F.expr(_shingles("win", k))).alias("off", "h")) for k in sizes]
+    tokens = written(reduce(DataFrame.unionByName, one_size), "tokens")
+
+    # the only pass over the documents; slot 0 lets the documents' own rows through
+    slot = F.pmod("h", F.lit(slots))
+    filled = tokens.select(slot.alias("slot")).union(
+        docs.sparkSession.range(1).select(F.lit(0).cast("long"))).distinct()
+    # from the first word that a window over the shingle can have to the last
+    around = F.expr(f"slice(w, greatest(pos - {window - 1}, 0) + 1, {2 * window})")
+    met = written(
+        _document_shingles(docs, sizes).join(F.broadcast(filled), slot == F.col("slot")).select(
+            "doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), "k", "pos", "h",
+            F.when(F.col("k") > 0, around).alias("around")), "met")
+    found = met.filter("k > 0")
+
+    counts = found.groupBy(F.col("k").alias("tk"), F.col("h").alias("th")).agg(F.count("*").alias("n"))
     weighed = tokens.join(counts, (tokens.h == counts.th) & (tokens.k == counts.tk), "left")
-    prefixes = written(
-        weighed.groupBy("wid", "block").agg(
-            F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "off", "k")).alias("p"),
-            F.first("win").alias("win"), F.first("items").alias("items"))
-        .filter("p.n > 0")
-        .select("block", F.col("p.k").alias("tk"), F.col("p.h").alias("th"),
-                F.col("p.off").alias("off"), "win", "items"), "prefixes")
-
-    passes = []
-    for b in range(n_blocks):
-        mine = prefixes.filter(F.col("block") == b).drop("block")
-        if b == 0:   # the mark: every document comes through once, with its word count
-            mark = docs.sparkSession.range(1).select(
-                F.lit(0).alias("tk"), F.lit(0).cast("long").alias("th"), F.lit(-1).alias("off"),
-                F.lit(None).cast("array<string>").alias("win"),
-                F.lit(None).cast("array<string>").alias("items"))
-            mine = mine.unionByName(mark)
-        met = _document_shingles(docs, sizes, b == 0).join(
-            F.broadcast(mine), (F.col("h") == F.col("th")) & (F.col("k") == F.col("tk")))
-        start, length = F.col("pos") - F.col("off"), F.size("win")
-        verified = (F.col("win").isNull()
-                    | ((start >= 0) & (start + length <= F.size("w"))
-                       & (F.expr("slice(w, greatest(pos - off, 0) + 1, size(win))") == F.col("win"))))
-        passes.append(met.filter(verified).select(
-            "doc_id", "text_hash", F.size("w").alias("n_words"), "items",
-            F.when(F.col("win").isNotNull(),
-                   F.struct(start.alias("s"), (start + length).alias("e"))).alias("hit"),
-            F.col("win").isNull().cast("long").alias("mark")))
-    rows = reduce(DataFrame.unionByName, passes)
-    per_doc = rows.groupBy("doc_id", "text_hash").agg(
-        F.max("n_words").cast("long").alias("n_words"), F.sum("mark").alias("copies"),
+    rarest = (weighed.groupBy("wid").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "off", "k")).alias("p"))
+        .filter("p.n > 0"))
+    prefixes = rarest.join(windows, "wid").select(
+        F.col("p.k").alias("tk"), F.col("p.h").alias("th"), F.col("p.off").alias("off"), "win", "items")
+
+    start, length = F.col("pos") - F.col("off"), F.size("win")
+    inside = F.expr(f"""slice(around, greatest(pos - off - greatest(pos - {window - 1}, 0), 0) + 1,
+                              size(win)) = win""")
+    hits = (found.join(prefixes, (F.col("h") == F.col("th")) & (F.col("k") == F.col("tk")))
+            .filter((start >= 0) & (start + length <= F.col("n_words")) & inside)
+            .select("doc_id", "text_hash", "n_words", "items",
+                    F.struct(start.alias("s"), (start + length).alias("e")).alias("hit"),
+                    F.lit(0).cast("long").alias("mark")))
+    own = met.filter("k = 0").select(
+        "doc_id", "text_hash", "n_words", F.lit(None).cast("array<string>").alias("items"),
+        F.lit(None).cast("struct<s:int,e:int>").alias("hit"), F.lit(1).cast("long").alias("mark"))
+    per_doc = own.unionByName(hits).groupBy("doc_id", "text_hash").agg(
+        F.max("n_words").alias("n_words"), F.sum("mark").alias("copies"),
         F.array_sort(F.collect_set("hit")).alias("hits"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids"))
     covered = F.expr(

@@ -86,8 +86,8 @@ def test_contamination(docs, empty, benchmark):
                     items |= ids
         want.append((r[0], len(w), len(hit), len(items),
                      hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
-    for block_bytes in (32 << 20, 400):     # one block, and several
-        got = decontaminate.contamination(docs, benchmark, block_bytes=block_bytes).drop("text_hash")
+    for slots in (decontaminate.SLOTS, 1):      # a filter that keeps little, and one that keeps all
+        got = decontaminate.contamination(docs, benchmark, slots=slots).drop("text_hash")
         assert _sorted(map(tuple, got.collect())) == _sorted(want)
     assert sum(x[5] for x in want) >= 5
     assert decontaminate.contamination(empty, benchmark).count() == 0
