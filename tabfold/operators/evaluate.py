@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from tabfold.operators.sampling import null_safe_join
 
-MAX_CLASSES = 10_000
-
 
 def _hit(label_col: str, pred_col: str):
     return (F.col(label_col) == F.col(pred_col)).cast("long")
@@ -51,24 +49,22 @@ def confusion_matrix(scored: DataFrame, label_col: str = "label", pred_col: str
     """Counts per (true, predicted) class, zero-filled, with the rate
     normalised over the true class (``normalize='true'``).
 
-    The class list (bounded: at most MAX_CLASSES) is gathered from the data
-    if not given. Aggregation happens first; the zero fill explodes the class
-    list against the aggregated true-class rows only.
+    The classes are those of both columns if not given. Aggregation happens
+    first; the zero fill joins the class table to the aggregated true-class
+    rows, as many rows as the matrix has.
     """
     # one pass over the scored rows; everything below works on this small
     # aggregate (classes^2 x groups rows)
     counts = scored.groupBy(*by, label_col, pred_col).agg(F.count(F.lit(1)).alias("n")).persist()
-    if classes is None:
-        vals = (counts.select(F.col(label_col).alias("c"))
-                      .union(counts.select(F.col(pred_col).cast(scored.schema[label_col].dataType)))
-                      .distinct().limit(MAX_CLASSES + 1).collect())
-        if len(vals) > MAX_CLASSES:
-            raise ValueError("too many classes for a confusion matrix")
-        found = [r[0] for r in vals]
-        classes = sorted(c for c in found if c is not None) + [None] * (None in found)
-    totals = counts.groupBy(*by, label_col).agg(F.sum("n").alias("_total"))
     ltype = scored.schema[label_col].dataType
-    grid = totals.withColumn(pred_col, F.explode(F.array(*[F.lit(c).cast(ltype) for c in classes])))
+    totals = counts.groupBy(*by, label_col).agg(F.sum("n").alias("_total"))
+    if classes is None:
+        found = (counts.select(F.col(label_col).alias(pred_col))
+                 .union(counts.select(F.col(pred_col).cast(ltype))).distinct())
+        grid = totals.withColumn("_all", F.lit(1)).join(
+            found.withColumn("_all", F.lit(1)), "_all").drop("_all")
+    else:
+        grid = totals.withColumn(pred_col, F.explode(F.array(*[F.lit(c).cast(ltype) for c in classes])))
     counts = counts.withColumn(pred_col, F.col(pred_col).cast(ltype))
     out = (null_safe_join(grid, counts, [*by, label_col, pred_col], "left", right_cols=["n"])
                .withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
