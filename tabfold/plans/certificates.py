@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabfold.operators import features, model_sql, optimality, reduce as red, sampling
+from tabfold.operators import features, foldwise, model_sql, optimality, reduce as red, sampling
 from tabfold.plans import catalog as C
 from tabfold.plans import experiment as ex
 
@@ -369,6 +369,47 @@ SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(sum(a.w * b.w
 FROM pairs JOIN last a USING (i) JOIN last b ON b.i = a.i WHERE component <= {SUBSPACE} GROUP BY a.j, b.j"""
 
 
+# ------------------------------------------------------------ E3 with F4-F8
+
+FOLDS, REPEATS = 10, 3
+
+
+def _fold_moments(spark, d):
+    """Folds of the embeddings by class, and the moments of all of them from one pass."""
+    e = C._t(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    folds = sampling.stratified_folds(e, ["vec_id"], "label", FOLDS, REPEATS, 1, keep=["embedding"])
+    return foldwise.fold_moments(folds, "embedding")
+
+
+def q_fold_scalers(spark, d):
+    """F4, F5 for each of the 3 x 10 fits: mean and deviation without the held-out fold."""
+    found = foldwise.fold_scalers(spark, _fold_moments(spark, d))
+    return found.withColumns({c: C._r(c) for c in ("mean", "std")})
+
+
+def q_fold_correlations(spark, d):
+    """F8 for each fit: the matrix whose eigenpairs its PCA takes."""
+    return foldwise.fold_correlations(spark, _fold_moments(spark, d)).withColumn("value", C._r("value"))
+
+
+_SQL_FOLDS = f"""WITH f AS (
+  SELECT vec_id, embedding, CAST(r.rep AS INTEGER) AS repeat, CAST((row_number() OVER (
+         PARTITION BY label, r.rep ORDER BY md5(concat_ws(':', vec_id, '1', r.rep)), vec_id) - 1) % {FOLDS}
+         AS INTEGER) AS fold FROM embeddings, range({REPEATS}) r(rep)),
+ h AS (SELECT DISTINCT repeat, fold FROM f),
+ u AS (SELECT vec_id, unnest(generate_series(0, len(embedding) - 1)) AS i, unnest(embedding)::DOUBLE AS x
+       FROM embeddings),
+ t AS (SELECT h.repeat, h.fold, f.vec_id FROM h JOIN f ON f.repeat = h.repeat AND f.fold <> h.fold)
+"""
+SQL_FOLD_SCALERS = _SQL_FOLDS + """
+SELECT repeat, fold, count(*) AS n_rows, CAST(i AS INTEGER) AS slot, round(avg(x), 9) AS mean,
+       round(stddev_samp(x), 9) AS std FROM t JOIN u USING (vec_id) GROUP BY repeat, fold, i"""
+SQL_FOLD_CORRELATIONS = _SQL_FOLDS + """
+, p AS (SELECT a.vec_id, a.i, b.i AS j, a.x AS x, b.x AS y FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.i < b.i)
+SELECT repeat, fold, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(corr(x, y), 9) AS value
+FROM t JOIN p USING (vec_id) GROUP BY repeat, fold, i, j"""
+
+
 # ------------------------------------------------------------ K2
 
 def _copied_orders(spark, d):
@@ -399,6 +440,8 @@ QUERIES = {
     "lasso_certificate": q_lasso_certificate,
     "pca_certificate": q_pca_certificate,
     "pca_subspace": q_pca_subspace,
+    "fold_scalers": q_fold_scalers,
+    "fold_correlations": q_fold_correlations,
     "exact_split": q_exact_split,
 }
 
@@ -412,6 +455,8 @@ ORACLES = {
     "pca_variance": SQL_PCA_VARIANCE,
     "pca_certificate": SQL_PCA_CERTIFICATE,
     "pca_subspace": SQL_PCA_SUBSPACE,
+    "fold_scalers": SQL_FOLD_SCALERS,
+    "fold_correlations": SQL_FOLD_CORRELATIONS,
     "exact_split": SQL_EXACT_SPLIT,
 }
 ORACLES = {k: C._plus_zero_rounds(C._sig_rounds(v)) for k, v in ORACLES.items()}
