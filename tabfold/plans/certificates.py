@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabfold.operators import features, foldwise, model_sql, optimality, reduce as red, sampling
+from tabfold.operators import features, foldwise, model_sql, optimality, reduce as red, sampling, softmax
 from tabfold.plans import catalog as C
 from tabfold.plans import experiment as ex
 
@@ -283,6 +283,27 @@ def _sql_certificate(signs=None, penalty: float = 0.0) -> str:
             "violation <= 1e-5 AS optimal FROM (" + " UNION ALL ".join(rows) + ")")
 
 
+# ------------------------------------------------------------ M5
+
+def q_softmax_bands(spark, d):
+    """M5: three classes in one softmax; noisy bands, so every row's likeliest class is the clean
+    one, and the probabilities of each row sum to 1."""
+    prep = _prepared(spark, d, C.NOISY_BANDS)
+    data = prep.category_model.transform(prep.label_model.transform(prep.data))
+    model = softmax.fit(data.filter("split = 'train'"), n_rounds=5)
+    scored = features.label_names(prep.label_model).transform(model.transform(data))
+    total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
+    found = scored.groupBy("split", "label", F.col("predictedLabel").cast("int").alias("prediction")).agg(
+        F.count("*").alias("n_rows"), F.count_if(F.abs(total - 1) < 1e-9).alias("n_whole"))
+    return found
+
+
+SQL_SOFTMAX_BANDS = (
+    f"SELECT split, label, prediction, count(*) AS n_rows, count(*) AS n_whole FROM ("
+    f"SELECT {C._sql_split(C.LI_KEYS, C.SEED)} AS split, {C.NOISY_BANDS} AS label, "
+    f"{C.RULE_BANDS} AS prediction FROM lineitem) t GROUP BY split, label, prediction")
+
+
 # ------------------------------------------------------------ F7-F10
 
 SUBSPACE = 8     # components of the compared subspace
@@ -438,6 +459,7 @@ QUERIES = {
     "tree_gain": q_tree_gain,
     "logit_certificate": q_logit_certificate,
     "lasso_certificate": q_lasso_certificate,
+    "softmax_bands": q_softmax_bands,
     "pca_certificate": q_pca_certificate,
     "pca_subspace": q_pca_subspace,
     "fold_scalers": q_fold_scalers,
@@ -452,6 +474,7 @@ ORACLES = {
     "tree_gain": SQL_TREE_GAIN,
     "logit_certificate": _sql_certificate(),
     "lasso_certificate": _sql_certificate(LASSO_SIGNS, LASSO),
+    "softmax_bands": SQL_SOFTMAX_BANDS,
     "pca_variance": SQL_PCA_VARIANCE,
     "pca_certificate": SQL_PCA_CERTIFICATE,
     "pca_subspace": SQL_PCA_SUBSPACE,
