@@ -290,7 +290,7 @@ def q_softmax_bands(spark, d):
     one, and the probabilities of each row sum to 1."""
     prep = _prepared(spark, d, C.NOISY_BANDS)
     data = prep.category_model.transform(prep.label_model.transform(prep.data))
-    model = softmax.fit(data.filter("split = 'train'"), n_rounds=5)
+    model = softmax.fit(data.filter("split = 'train'"), n_rounds=5, max_depth=2)
     scored = features.label_names(prep.label_model).transform(model.transform(data))
     total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
     found = scored.groupBy("split", "label", F.col("predictedLabel").cast("int").alias("prediction")).agg(
