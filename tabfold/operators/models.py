@@ -14,6 +14,8 @@ from pyspark.ml.classification import (
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tabfold.operators.softmax import SoftmaxBoosting
+
 
 def decision_tree(label_col: str = "indexedLabel", features_col: str = "indexedFeatures", **params):
     """M1: library defaults (maxDepth 5, maxBins 32, gini)."""
@@ -52,12 +54,19 @@ def boosted_multiclass(label_col: str = "indexedLabel", features_col: str = "ind
                      parallelism=parallelism, **weight)
 
 
+def boosted_softmax(label_col: str = "indexedLabel", features_col: str = "indexedFeatures",
+                    max_iter: int = 20, **params):
+    """M5: k-class boosting in one softmax (``tabfold.operators.softmax``)."""
+    return SoftmaxBoosting(labelCol=label_col, featuresCol=features_col, n_rounds=max_iter, **params)
+
+
 LEARNERS = {
     "tree": decision_tree,
     "logistic": logistic,
     "lasso": lasso,
     "gbt": boosted,
     "ovr_gbt": boosted_multiclass,
+    "softmax": boosted_softmax,
 }
 
 

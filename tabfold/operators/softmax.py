@@ -19,7 +19,8 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,20 +68,22 @@ class SoftmaxModel:
 
 def fit(train: DataFrame, features_col: str = "indexedFeatures", label_col: str = "indexedLabel",
         n_rounds: int = 20, rate: float = 0.3, max_depth: int = 5, seed: int = 2342,
-        checkpoint_every: int = 10, **params) -> SoftmaxModel:
+        checkpoint_every: int = 10, weight_col: str | None = None, **params) -> SoftmaxModel:
     """Boost ``n_rounds`` rounds of one tree per class; class indices are 0, 1, ...
 
     Classes start at the log of their shares. A class index without rows (below
-    the largest) starts at a share of 1e-9. ``params`` go to the trees.
+    the largest) starts at a share of 1e-9. ``weight_col`` gives rows' weights (a
+    row of weight 0 counts for nothing). ``params`` go to the trees.
     """
-    counts = dict(train.groupBy(F.col(label_col).cast("int")).count().collect())
+    weight = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
+    counts = dict(train.groupBy(F.col(label_col).cast("int")).agg(F.sum(weight)).collect())
     n, n_classes = sum(counts.values()), max(counts, default=-1) + 1
     if n_classes < 2:
         raise ValueError("at least two classes are needed")
     prior = [math.log(max(counts.get(k, 0) / n, 1e-9)) for k in range(n_classes)]
     ensure_checkpoint_dir(train.sparkSession)
     margins = [f"_f{k}" for k in range(n_classes)]
-    rows = train.select(features_col, F.col(label_col).cast("int").alias("_y"),
+    rows = train.select(features_col, F.col(label_col).cast("int").alias("_y"), weight.alias("_n"),
                         *[F.lit(p).alias(m) for p, m in zip(prior, margins, strict=True)])
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     stages = []
@@ -89,7 +92,7 @@ def fit(train: DataFrame, features_col: str = "indexedFeatures", label_col: str
             shares = _probabilities([F.col(m) for m in margins])
             curved = [F.greatest(p * (1 - p) * (n_classes / (n_classes - 1)), F.lit(LEAST_CURVATURE))
                       for p in shares]
-            step = rows.select("*", *[c.alias(f"_w{k}") for k, c in enumerate(curved)], *[
+            step = rows.select("*", *[(c * F.col("_n")).alias(f"_w{k}") for k, c in enumerate(curved)], *[
                 (((F.col("_y") == k).cast("double") - p) / c).alias(f"_g{k}")
                 for k, (p, c) in enumerate(zip(shares, curved, strict=True))])
 
@@ -100,7 +103,7 @@ def fit(train: DataFrame, features_col: str = "indexedFeatures", label_col: str
             with ThreadPoolExecutor(n_classes) as pool:
                 trees = list(pool.map(one, range(n_classes)))
             stages += trees
-            moved = PipelineModel(trees).transform(rows).select(features_col, "_y", *[
+            moved = PipelineModel(trees).transform(rows).select(features_col, "_y", "_n", *[
                 (F.col(m) + F.col(f"_t{r}_{k}") * rate).alias(m) for k, m in enumerate(margins)])
             if r + 1 < n_rounds:
                 if (r + 1) % checkpoint_every == 0:
@@ -112,3 +115,27 @@ def fit(train: DataFrame, features_col: str = "indexedFeatures", label_col: str
     finally:
         rows.unpersist()
     return SoftmaxModel(PipelineModel(stages), prior, rate, n_rounds)
+
+
+class SoftmaxBoosting(Estimator, HasFeaturesCol, HasLabelCol):
+    """``fit`` as a pipeline stage, for the same calls as Spark ML's learners."""
+
+    def __init__(self, labelCol: str = "indexedLabel", featuresCol: str = "indexedFeatures",
+                 weightCol: str | None = None, **params):
+        super().__init__()
+        self._set(featuresCol=featuresCol, labelCol=labelCol)
+        self.settings = {**params, "weight_col": weightCol}
+
+    def _fit(self, dataset: DataFrame) -> SoftmaxStage:
+        return SoftmaxStage(fit(dataset, self.getFeaturesCol(), self.getLabelCol(), **self.settings))
+
+
+class SoftmaxStage(Model):
+    """A fitted ``SoftmaxModel`` inside a PipelineModel."""
+
+    def __init__(self, model: SoftmaxModel):
+        super().__init__()
+        self.model = model
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.model.transform(dataset)

@@ -10,14 +10,14 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabfold.operators import evaluate, features, models, sampling
+from tabfold.operators import evaluate, features, models, sampling, weights
 
 
 @dataclass
@@ -69,6 +69,13 @@ def prepare(df: DataFrame, feature_cols: Sequence[str], label_col: str, keys: Se
     return Prepared(data, label_model, cat_model, list(feature_cols), label_col)
 
 
+def balanced(prep: Prepared, power: float = 1.0, out: str = "weight") -> Prepared:
+    """``prep`` with the class weights of its train rows, for learners with ``weightCol=out``."""
+    train = prep.data.filter(F.col("split") == "train")
+    table = weights.class_weights(train, prep.label_col, power)
+    return replace(prep, data=weights.with_class_weights(prep.data, prep.label_col, table, out))
+
+
 def learner_for(name: str, **params):
     if name in ("logistic", "lasso"):
         # the reference trains logistic on the raw vector; it is trained and
@@ -209,7 +216,8 @@ def seed_sweep(df: DataFrame, feature_cols: Sequence[str], label_col: str, keys:
 def cross_validate(prep: Prepared, learner: str = "tree", n_folds: int = 10, n_repeats: int = 3,
                    seed=1, keys: Sequence[str] = (), parallelism: int = 4,
                    variant: str = "raw", fit_per_fold: bool = False,
-                   partition_rows: int = 1 << 17, collapse: bool = False, **params) -> DataFrame:
+                   partition_rows: int = 1 << 17, collapse: bool = False, balance: float = 0.0,
+                   **params) -> DataFrame:
     """Repeated stratified k-fold over the train rows, balanced accuracy
     per held-out fold -> ``(repeat, fold, n_rows, balanced_accuracy)``.
 
@@ -223,6 +231,8 @@ def cross_validate(prep: Prepared, learner: str = "tree", n_folds: int = 10, n_r
     scores with the counts as weights: the same sums over fewer rows, worth a
     shuffle where features take few values. Scalers and PCA don't take weights,
     so it needs the raw variant.
+    ``balance`` is the power of the class weights of a fit's own rows (0: none, 1:
+    every class weighs the same); held-out rows are scored as they are.
     """
     if collapse and variant != "raw":
         raise ValueError("collapsed rows go with the raw variant")
@@ -250,7 +260,15 @@ def cross_validate(prep: Prepared, learner: str = "tree", n_folds: int = 10, n_r
             data, category = shared or seen(F.col("fold") != f)
             fit_rows = data.filter(F.col("fold") != f)
             held = data.filter(F.col("fold") == f)
-            model = models.fit([category, learner_for(learner, **params)], fit_rows)
+            own = dict(params)
+            if balance:
+                table = weights.class_weights(fit_rows, "indexedLabel", balance,
+                                              "weight" if collapse else None)
+                fit_rows = weights.with_class_weights(fit_rows, "indexedLabel", table, "class_weight")
+                if collapse:
+                    fit_rows = fit_rows.withColumn("class_weight", F.col("class_weight") * F.col("weight"))
+                own["weightCol"] = "class_weight"
+            model = models.fit([category, learner_for(learner, **own)], fit_rows)
             scored = models.predict(model, held)
             row = evaluate.balanced_accuracy(
                 scored, by=(), weight_col="weight" if collapse else None).first()

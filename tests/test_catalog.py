@@ -14,7 +14,7 @@ SLOW = {"tree_planted", "logit_planted", "lasso_planted", "gbt_planted", "ovr_gb
         "model_reload_predict", "tree_job",
         # whole jobs and noisy labels: as above, the driver and scripts/check_oracles.py run them
         "tree_noisy", "logit_noisy", "lasso_noisy", "gbt_noisy", "logistic_job", "gbm_job",
-        "seed_sweep_all", "seed_summary_all", "cv_ovr_gbt", "cv_variants",
+        "seed_sweep_all", "seed_summary_all", "cv_ovr_gbt", "cv_variants", "sweep_resumed", "weighted_recall",
         # compiled models are compared row by row in test_certificates
         "model_sql_agrees"}
 TABLES = ("customer part orders lineitem events documents embeddings labels benchmark conversations").split()
