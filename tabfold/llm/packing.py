@@ -2,10 +2,10 @@
 
 Documents are tokenised once into pieces of at most ``capacity`` tokens; the
 pieces' lengths make a histogram of at most ``capacity`` bins, all that the
-driver sees. Patterns of one to three lengths that fill a sequence are
-enumerated over it, their repeat counts are fitted to the histogram by
-non-negative least squares and rounded down, and what remains is packed
-best-fit, largest first, whole bins at a time. The plan - patterns with their
+driver sees. Patterns of few lengths that fill a sequence are enumerated over
+it, their repeat counts are fitted to the histogram by non-negative least
+squares and rounded, and what remains is packed best-fit, largest first, whole
+bins at a time; a plan is never longer than best-fit's alone. The plan - patterns with their
 repeat counts - is laid over the pieces by rank within each length.
 """
 
@@ -26,8 +26,15 @@ from .common import with_rank, written
 CAPACITY = 4096
 END_ID = 1
 MEMO_WORDS = 400_000
-MAX_PATTERNS = 12_000
+MAX_DOCS = 8            # pieces in a balanced pattern, at most
+# shares of the room left that the next pieces of a pattern take
+SHARES = ((), (0.3,), (0.5,), (0.7,), (1 / 3, 0.5), (0.5, 0.5), (0.25, 1 / 3, 0.5))
+AWAY = (0.0, 0.15, 0.4)
+FILLS = (0.999, 0.995, 0.98, 0.0)
+ROUNDS = 3
 NNLS_STEPS = 300
+WASTE = 1.0             # cost of an empty sequence, in mean counts of a length
+STOP = 1e-6             # a step's movement, as a share of all pieces, that ends the fit
 PIECE = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 # the tokenizer's own splitting pattern, for Latin-1 text in lower case
@@ -116,87 +123,150 @@ def _words(path: str | None) -> Words:
 
 
 def _enumerate(counts: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
-    """Patterns of one to three present lengths that fill a sequence as far as can be.
+    """Patterns of one to MAX_DOCS present lengths; a few for each first length, none left out after.
 
-    Each length is paired with the largest present lengths that fit beside it,
-    one or two of them, for a spread of first partners; at most MAX_PATTERNS.
+    Full ones: the rest of a sequence is cut into even or skewed shares, and each
+    share takes the largest present length that fits. Balanced ones: where lengths
+    lie close together no pattern is full, and a long piece has to go with one as
+    much shorter than the mean, so that a sequence takes as many pieces as the
+    mean allows.
     """
-    present = np.flatnonzero(counts)
-    lengths = present.tolist()
-    step = max(1, len(lengths) * 12 // MAX_PATTERNS)
+    lengths = np.flatnonzero(counts).tolist()
+    if not lengths:
+        return []
     found: set[tuple[int, ...]] = set()
 
     def largest(limit):
         at = bisect.bisect_right(lengths, limit) - 1
         return lengths[at] if at >= 0 else None
 
-    def several(limit, n):
-        at = bisect.bisect_right(lengths, limit)
-        return lengths[max(0, at - n):at]
+    def full(a, shares):
+        out, room = [a], capacity - a
+        for share in shares:
+            b = largest(int(room * share))
+            if b is None:
+                break
+            out.append(b)
+            room -= b
+        while len(out) < MAX_DOCS and (b := largest(room)) is not None:
+            out.append(b)
+            room -= b
+        found.add(tuple(sorted(out, reverse=True)))
+
+    mean = float((counts * np.arange(len(counts))).sum() / counts.sum())
+    pieces = int(capacity // mean)
+
+    def nearest(x):
+        at = bisect.bisect_left(lengths, x)
+        return min(lengths[max(0, at - 1):at + 1], key=lambda n: abs(n - x))
+
+    def balanced(a, others):
+        if pieces % 2:
+            b, *others = others
+            out = [a, b, nearest(3 * mean - a - b)]
+        else:
+            out = [a, nearest(2 * mean - a)]
+        for b in others:
+            out += [b, nearest(2 * mean - b)]
+        if sum(out) <= capacity:
+            found.add(tuple(sorted(out, reverse=True)))
 
     for i, a in enumerate(lengths):
-        partners = several(capacity - a, 3)
-        if not partners:
-            found.add((a,))
-        for b in partners:
-            found.add(tuple(sorted((a, b), reverse=True)))
-        if i % step == 0:
-            # a first partner from all over the range, and the best third
-            for q in (0.15, 0.3, 0.45, 0.6, 0.75):
-                b = largest(int((capacity - a) * q))
-                c = b and largest(capacity - a - b)
-                if c:
-                    found.add(tuple(sorted((a, b, c), reverse=True)))
-    return sorted(found, reverse=True)[:MAX_PATTERNS]
-
-
-def nnls(patterns: list[tuple[int, ...]], counts: np.ndarray, steps: int = NNLS_STEPS) -> np.ndarray:
+        for shares in SHARES:
+            full(a, shares)
+        if 2 <= pieces <= MAX_DOCS:
+            # beside it the same pair again, or pairs from so far along the range
+            for away in AWAY:
+                balanced(a, [lengths[(i + int(away * (j + 1) * len(lengths))) % len(lengths)]
+                             for j in range((pieces - 1) // 2)])
+    return sorted(found, reverse=True)
+
+
+def nnls(patterns: list[tuple[int, ...]], counts: np.ndarray, steps: int = NNLS_STEPS,
+         waste: np.ndarray | float = 0.0) -> np.ndarray:
     """Repeat counts x >= 0 that bring the patterns' lengths near the histogram.
 
-    Projected gradient (accelerated) on |A x - h|^2 with the sparse pattern
-    matrix A; each column is scaled by its own norm.
+    Projected gradient (accelerated, started anew when it turns back) on
+    |A x - h|^2 / 2 + waste . x with the sparse pattern matrix A; of plans that fit
+    alike, the one that wastes least room has the fewest sequences. A's entries aren't negative, so
+    a column's row sum in A'A bounds its curvature, and gives each its own step.
     """
     if not patterns:
         return np.empty(0)
     col = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
-    row = np.concatenate([np.array(p) for p in patterns])
-    n = len(counts)
-    deg_row = np.bincount(row, minlength=n)
-    deg_col = np.bincount(col, minlength=len(patterns))
-    # |A|^2 is at most the largest row sum times the largest column sum
-    step = 1.0 / max(1, deg_row.max() * deg_col.max())
+    row = np.fromiter((n for p in patterns for n in p), np.int64, len(col))
+    n, k = len(counts), len(patterns)
+    step = 1.0 / np.maximum(1.0, np.bincount(col, np.bincount(row, minlength=n)[row], minlength=k))
     h = counts.astype(np.float64)
-    x = np.zeros(len(patterns))
-    y, t = x, 1.0
+    x = np.zeros(k)
+    y, t, least = x, 1.0, STOP * max(1.0, np.abs(h).sum())
     for _ in range(steps):
         rest = np.bincount(row, y[col], minlength=n) - h
-        new = np.maximum(0.0, y - step * np.bincount(col, rest[row], minlength=len(patterns)))
+        new = np.maximum(0.0, y - step * (np.bincount(col, rest[row], minlength=k) + waste))
+        moved = new - x
+        if np.dot((y - new) / step, moved) > 0:
+            t = 1.0
         t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        y = new + (t - 1) / t_new * (new - x)
+        y = np.maximum(0.0, new + (t - 1) / t_new * moved)
         x, t = new, t_new
+        if np.abs(moved).sum() < least:
+            break
     return x
 
 
+def _take(patterns, fitted, counts, capacity, fill) -> tuple[list[tuple[int, tuple[int, ...]]], np.ndarray]:
+    """The rounded repeats of the patterns filled to ``fill``, fullest first, and what is left."""
+    counts = counts.copy()
+    plan = []
+    for i in np.flatnonzero(fitted).tolist():
+        if sum(patterns[i]) < fill * capacity:
+            break
+        lens, times = np.unique(patterns[i], return_counts=True)
+        # never more than the histogram holds
+        r = int(min(fitted[i], (counts[lens] // times).min()))
+        if r > 0:
+            counts[lens] -= r * times
+            plan.append((r, patterns[i]))
+    return plan, counts
+
+
 def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
-    """A plan [(repeats, lengths)] that uses every piece of the histogram exactly once."""
+    """A plan [(repeats, lengths)] that uses every piece of the histogram exactly once.
+
+    Each round fits patterns to what is left, and keeps their rounded repeats at
+    the least fill whose plan, with the residuals best-fit, has the fewest
+    sequences. No round makes the plan longer than best-fit alone.
+    """
     counts = counts.astype(np.int64).copy()
     plan: list[tuple[int, tuple[int, ...]]] = []
     full = int(counts[capacity]) if len(counts) > capacity else 0
     if full:
         plan.append((full, (capacity,)))
         counts[capacity] = 0
-    patterns = _enumerate(counts, capacity)
-    fitted = np.floor(nnls(patterns, counts) + 1e-6).astype(np.int64)
-    # the fullest patterns first; never more than the histogram holds
-    for i in sorted(range(len(patterns)), key=lambda i: -sum(patterns[i])):
-        if sum(patterns[i]) < 0.995 * capacity:
+
+    def sequences(p):
+        return sum(r for r, _ in p)
+
+    rest = _best_fit(counts, capacity)
+    for _ in range(ROUNDS):
+        used = int((counts * np.arange(len(counts))).sum())
+        if sequences(rest) <= -(-used // capacity):
+            break       # no plan is shorter
+        patterns = sorted(_enumerate(counts, capacity), key=lambda p: (-sum(p), p))
+        # rounded so that the running total never strays by one
+        waste = WASTE * counts[counts > 0].mean() * (1 - np.array([sum(p) for p in patterns]) / capacity)
+        x = nnls(patterns, counts, waste=waste)
+        fitted = np.diff(np.floor(np.cumsum(x) + 0.5), prepend=0.0).astype(np.int64)
+        tried = []
+        for fill in FILLS:
+            taken, left = _take(patterns, fitted, counts, capacity, fill)
+            tried.append((taken, left, _best_fit(left, capacity)))
+        taken, left, after = min(tried, key=lambda c: sequences(c[0]) + sequences(c[2]))
+        if sequences(taken) + sequences(after) >= sequences(rest):
             break
-        lens, times = np.unique(patterns[i], return_counts=True)
-        r = int(min(fitted[i], (counts[lens] // times).min()))
-        if r > 0:
-            counts[lens] -= r * times
-            plan.append((r, patterns[i]))
-    return plan + _best_fit(counts, capacity)
+        plan += taken
+        counts, rest = left, after
+    return plan + rest
 
 
 def _best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:

@@ -473,6 +473,36 @@ def test_plans_use_every_piece_once():
         assert sum(r for r, _ in plan) <= max(-(-total // 4096), large) * 1.03 + 2
 
 
+@pytest.mark.parametrize("low, high, most", [(900, 1100, 5050), (1200, 1500, 6700), (600, 750, 3400),
+                                             (1, 4096, None), (1365, 1365, 6667), (2049, 4096, 20000),
+                                             (4096, 4096, 20000), (1, 1, 5)])
+def test_patterns_never_need_more_than_best_fit(low, high, most):
+    """Close lengths, where largest-first leaves room for no other; ``most`` is near n / pieces a sequence."""
+    rng = np.random.default_rng(low)
+    counts = np.zeros(4097, np.int64)
+    np.add.at(counts, rng.integers(low, high + 1, 20000), 1)
+    plan = packing.pack_histogram(counts)
+    used = np.zeros_like(counts)
+    for r, p in plan:
+        assert sum(p) <= 4096 and r > 0
+        np.add.at(used, list(p), r)
+    assert np.array_equal(used, counts)
+    alone = sum(r for r, _ in packing._best_fit(counts.copy(), 4096))
+    assert sum(r for r, _ in plan) <= min(alone, most or alone)
+    assert packing.pack_histogram(np.zeros(4097, np.int64)) == []
+
+
+def test_least_squares_converge():
+    """Non-negative, and at the optimum: no pattern's gradient is negative, and none in use has one."""
+    counts = np.zeros(101, np.int64)
+    counts[20:60] = np.arange(40) * 5 + 3
+    patterns = packing._enumerate(counts, 100)
+    matrix = np.array([[p.count(n) for p in patterns] for n in range(101)], float)
+    x = packing.nnls(patterns, counts, steps=20000)
+    gradient = matrix.T @ (matrix @ x - counts)
+    assert (x >= 0).all() and gradient.min() > -0.05 and abs(gradient[x > 0.01]).max() < 0.05
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", "é"), (1, 300, "ann", None),
             (2, None, None, "x"), (2, 1, "ann", "y"), (2, 1, "ann", "y"), (3, 0, "system", "only"),
