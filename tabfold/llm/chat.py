@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MIN_BUCKETS, written
+from .common import MIN_BUCKETS, running, written
 
 SEGMENT_TURNS = 256
 PART_BYTES = 64 << 20
@@ -91,12 +91,11 @@ def rotated(conversations: DataFrame, segment_turns: int = SEGMENT_TURNS,
                        when t.role = 'system' then 'system'
                        else concat('user name=', t.role) end, '\\n'),
         'body', concat(t.text, '{END.strip()}\\n')))"""))
-    spans = F.expr("""aggregate(parts,
-        cast(named_struct('at', 0, 'out', array()) as struct<at:int,out:array<string>>),
-        (a, p) -> named_struct('at', a.at + char_length(p.head) + char_length(p.body),
-            'out', if(p.mine, concat(a.out, array(concat(a.at + char_length(p.head), ':',
-                a.at + char_length(p.head) + char_length(p.body)))), a.out)),
-        a -> array_join(a.out, ','))""")
+    # a part of a million short turns has as many spans: positions run in blocks
+    spans = F.array_join(F.expr(running(
+        "parts", "(char_length(p.head) + char_length(p.body))",
+        "concat({at} + char_length(p.head), ':', {at} + char_length(p.head) + char_length(p.body))",
+        "p.mine", "p")), ",")
     return parts.select(
         "conv_id", "perspective", "segment", "part", F.size("turns").cast("long").alias("n_turns"),
         F.expr("size(filter(parts, p -> p.mine))").cast("long").alias("n_trained"),
@@ -104,12 +103,16 @@ def rotated(conversations: DataFrame, segment_turns: int = SEGMENT_TURNS,
         spans.alias("masks"))
 
 
-ORACLE = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+ORACLE = rf"""
+WITH t0 AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
                   coalesce(CAST(floor(turn / 256.0) AS BIGINT), -1) AS segment
-           FROM conversations),
+            FROM conversations),
+ t AS (SELECT *, CAST(floor(coalesce(sum(strlen(role) + strlen(text) + {TURN_BYTES}) OVER (
+                PARTITION BY conv_id, segment ORDER BY turn NULLS FIRST, role, left(text, {PREFIX}), text
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {PART_BYTES}) AS BIGINT) AS part
+       FROM t0),
  p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
- x AS (SELECT t.conv_id, p.perspective, t.segment, t.turn, t.role, t.text AS body0,
+ x AS (SELECT t.conv_id, p.perspective, t.segment, t.part, t.turn, t.role, t.text AS body0,
               t.role = p.perspective AS mine,
               '<|im_start|>' || CASE WHEN t.role = p.perspective THEN 'assistant'
                 WHEN t.role = 'system' THEN 'system' ELSE 'user name=' || t.role END
@@ -118,11 +121,11 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(tex
        FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
  y AS (SELECT *, row_number() OVER w AS nth,
               sum(length(head) + length(body)) OVER (w ROWS UNBOUNDED PRECEDING) AS upto
-       FROM x WINDOW w AS (PARTITION BY conv_id, perspective, segment
+       FROM x WINDOW w AS (PARTITION BY conv_id, perspective, segment, part
                            ORDER BY turn NULLS FIRST, role, body0))
-SELECT conv_id, perspective, segment, count(*) AS n_turns,
+SELECT conv_id, perspective, segment, part, count(*) AS n_turns,
        CAST(sum(CAST(mine AS INT)) AS BIGINT) AS n_trained,
        string_agg(head || body, '' ORDER BY nth) AS text,
        coalesce(string_agg(CAST(upto - length(body) AS VARCHAR) || ':' || CAST(upto AS VARCHAR),
                            ',' ORDER BY nth) FILTER (mine), '') AS masks
-FROM y GROUP BY conv_id, perspective, segment"""
+FROM y GROUP BY conv_id, perspective, segment, part"""

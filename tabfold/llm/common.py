@@ -40,6 +40,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bound(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` standing for ``value``, evaluated once however often it is named."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def in_blocks(array: str) -> str:
+    """SQL: the array cut into about as many blocks as a block has items; [] of an empty one.
+
+    A lambda that appends to an array copies it for each item: work over blocks
+    grows with n times the root of n, not with the square of n. ``array`` is named
+    often, so it should be a name (``bound``).
+    """
+    size = f"greatest(cast(ceil(sqrt(size({array}))) as int), 1)"
+    return (f"if(size({array}) > 0, transform(sequence(0, (size({array}) - 1) div {size}), "
+            f"b -> slice({array}, cast(b as int) * {size} + 1, {size})), array())")
+
+
+def running(array: str, length: str, span: str, keep: str, item: str = "x") -> str:
+    """SQL: array of ``span`` for the kept items of ``array``; {at} in it is the total ``length`` of
+    all items before. ``length``, ``span`` and ``keep`` are SQL over the ``item``.
+    """
+    each = (f"transform({in_blocks('whole')}, b -> named_struct('b', b, "
+            f"'n', aggregate(b, 0, (a, {item}) -> a + {length})))")
+    # the blocks' starts, carried along in a list as long as a block
+    placed = ("aggregate(blocks, named_struct('at', 0, 'out', "
+              "filter(transform(slice(blocks, 1, 1), z -> named_struct('b', z.b, 'at', 0)), z -> false)), "
+              "(a, z) -> named_struct('at', a.at + z.n, 'out', concat(a.out, "
+              "array(named_struct('b', z.b, 'at', a.at)))), a -> a.out)")
+    one = span.replace("{at}", "a.at")
+    empty = f"filter(transform(slice(z.b, 1, 1), {item} -> {span.replace('{at}', '0')}), y -> false)"
+    inner = (f"aggregate(z.b, named_struct('at', z.at, 'out', {empty}), (a, {item}) -> named_struct("
+             f"'at', a.at + {length}, 'out', if({keep}, concat(a.out, array({one})), a.out)), a -> a.out)")
+    return bound(array, "whole", bound(each, "blocks", f"flatten(transform({placed}, z -> {inner}))"))
+
+
 def with_rank(df: DataFrame, part: list[str], order: list[str], uid: str, n_rows: int,
               name: str = "rank") -> DataFrame:
     """Gapless 0-based rank inside each ``part`` group, never holding a group in one task.
