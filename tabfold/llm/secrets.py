@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound, in_blocks, running
+
 TRAIN_DOCS = 5_000
 MIN_LENGTH = 20
 THRESHOLD = 0.8      # mean log ratio per pair of characters
@@ -34,6 +36,9 @@ HEX = r"[0-9a-f]+"
 # a hint that must be in a text before the costly pattern is tried
 KINDS = {"assign": (ASSIGN, 2, 12, r"(?i:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]"),
          "access": (ACCESS, 0, 18, "AKIA[A-Z0-9]{14}"), "hex": (HEX, 0, 16, "[0-9a-f]{16}")}
+# all that the base patterns catch, in one pattern; the first group, an assignment's name, is ordinary
+CAUGHT = (r"((?i:password|passwd|secret|token|api_?key))[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?"
+          r"[A-Za-z0-9+/_.=-]{12,}|AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH
 ORDINARY = r"[A-Za-z0-9+/_=-]{6,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -55,15 +60,24 @@ def found(text: str, pattern: str, group: int, least: int, hint: str) -> Column:
               f"regexp_extract_all({text}, r\"{pattern}\", 0), "
               f"coalesce({values}, array()))")
     value = "x.`2`" if group else "x.`1`"
-    return F.expr(f"""if({text} rlike r"{hint}", aggregate({pieces},
-        cast(named_struct('at', 0, 'out', array()) as struct<at:int,out:array<{_SPAN}>>),
-        (a, x) -> named_struct(
-          'at', a.at + char_length(x.`0`) + coalesce(char_length(x.`1`), 0),
-          'out', if(coalesce(char_length({value}), 0) >= {least},
-                    concat(a.out, array(named_struct('s', a.at + char_length(x.`0`),
-                        'e', a.at + char_length(x.`0`) + char_length(x.`1`), 'v', {value}))),
-                    a.out)),
-        a -> a.out), cast(array() as array<{_SPAN}>))""")
+    spans = running(
+        pieces, "(char_length(x.`0`) + coalesce(char_length(x.`1`), 0))",
+        "named_struct('s', {at} + char_length(x.`0`), "
+        f"'e', {{at}} + char_length(x.`0`) + char_length(x.`1`), 'v', {value})",
+        f"coalesce(char_length({value}), 0) >= {least}")
+    return F.expr(f"""if({text} rlike r"{hint}", {spans}, cast(array() as array<{_SPAN}>))""")
+
+
+def apart(wide: str, base: str) -> Column:
+    """The spans of column ``wide`` that overlap none of column ``base``; ``wide`` in order and apart.
+
+    A block of wide spans is compared with the base spans that reach into it only.
+    """
+    near = "filter(q.base, y -> y.s < b[size(b) - 1].e and b[0].s < y.e)"
+    blocks = f"transform({in_blocks('q.wide')}, b -> named_struct('b', b, 'near', {near}))"
+    kept = (f"flatten(transform({blocks}, z -> filter(z.b, x -> "
+            f"not exists(z.near, y -> y.s < x.e and x.s < y.e))))")
+    return F.expr(bound(f"named_struct('wide', {wide}, 'base', {base})", "q", kept))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -88,9 +102,10 @@ def labelled_samples(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame
     spans = base_spans(_sample(docs, train_docs)).withColumn(
         "caught", F.expr("transform(concat(assign, access, hex), x -> x.v)"))
     secret = spans.select(F.explode_outer("caught").alias("value"), F.lit(True).alias("is_secret"))
-    plain = spans.select("caught", F.explode_outer(
-        F.expr(f'regexp_extract_all(text, r"{ORDINARY}", 0)')).alias("value"))
-    plain = plain.filter("not exists(caught, c -> contains(c, value) or contains(value, c))")
+    # ordinary: what the text holds besides
+    outside = F.regexp_replace("text", CAUGHT, "$1 ")
+    plain = spans.select(F.explode_outer(F.regexp_extract_all(
+        outside, F.lit(ORDINARY), F.lit(0))).alias("value")).filter("value IS NOT NULL")
     return secret.unionByName(plain.select("value", F.lit(False).alias("is_secret")))
 
 
@@ -143,8 +158,7 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> D
     base = base_spans(docs).withColumn("wide", found(
         "text", CANDIDATE, 0, MIN_LENGTH, CANDIDATE)).drop("text")
     kinds = [*KINDS, "markov"]
-    scored = base.withColumn("free", F.expr(
-        "filter(wide, x -> not exists(concat(assign, access, hex), y -> y.s < x.e and x.s < y.e))"))
+    scored = base.withColumn("base", F.concat(*KINDS)).withColumn("free", apart("wide", "base"))
     scored = scored.withColumn("markov", F.expr(
         f"filter(free, x -> {_score('x.v', model)} >= {threshold})"))
 

@@ -208,6 +208,39 @@ def test_secrets(docs, empty):
     assert secrets.scan(empty, secrets.train(secrets.labelled_samples(empty))).count() == 0
 
 
+def test_secrets_in_a_very_long_text(spark):
+    """Spans that fill a text: as Python's regular expressions find them, in well under the square."""
+    import time
+    n = 40_000
+    text = " ".join(f"{i:08x}deadbeef" if i % 4 else f"{i:08x}deadbeefdeadbeef/Zk" for i in range(n))
+    docs = spark.createDataFrame([(1, text + " tail"), (2, "")], "doc_id long, text string")
+    model = secrets.train(secrets.labelled_samples(docs))
+    started = time.time()
+    r = secrets.scan(docs, model).filter("doc_id = 1").first()
+    assert time.time() - started < 60
+    want = [f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 16]
+    assert r["n_hex"] == n and hashlib.sha256(",".join(want).encode()).hexdigest() == r["base_sha256"]
+    assert r["n_markov"] == 0
+
+
+def test_added_spans_overlap_no_base_span(spark):
+    """``apart`` against every pair, on spans of all kinds in any place."""
+    rng = np.random.default_rng(8)
+
+    def spans(n, width):
+        cuts = sorted(rng.choice(3000, 2 * n, replace=False).tolist())
+        return [(a, min(b, a + width), "v") for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+    rows = [(i, spans(int(rng.integers(0, 60)), 40), spans(int(rng.integers(0, 60)), 9),
+             spans(int(rng.integers(0, 20)), 30)) for i in range(30)]
+    kind = "array<struct<s:int,e:int,v:string>>"
+    df = spark.createDataFrame(rows, f"id int, wide {kind}, one {kind}, two {kind}")
+    df = df.withColumn("base", F.concat("one", "two"))
+    got = {r["id"]: [tuple(x) for x in r["free"]] for r in df.withColumn(
+        "free", secrets.apart("wide", "base")).collect()}
+    for i, wide, one, two in rows:
+        assert got[i] == [x for x in wide if not any(y[0] < x[1] and x[0] < y[1] for y in one + two)]
+
+
 def test_language(docs, empty):
     model = language.train(docs)
     assert model.languages == ["de", "en"]
@@ -547,6 +580,31 @@ def test_chat_cuts_large_segments(spark):
                        for a, b in spans)
 
 
+def test_chat_parts_as_in_sql(spark):
+    import duckdb
+    rows = [(None, None, "ann" if i % 3 else None, f"text {i}") for i in range(300)]
+    rows += [(1, 7, "ann", "same")] * 300 + [(2, i, "bob", f"é{i}") for i in range(5)] + [(3, 1, "system", None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    found = con.execute(chat.ORACLE.replace(str(chat.PART_BYTES), "4000"))
+    names = [d[0] for d in found.description]
+    data = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = chat.rotated(data, part_bytes=4000).select(*names).collect()
+    assert Counter(map(tuple, got)) == Counter(found.fetchall()) and len(got) > 15
+
+
+def test_chat_masks_of_a_very_long_part(spark):
+    n = 200_000
+    data = spark.range(n).selectExpr("1L AS conv_id", "cast(null AS long) AS turn",
+                                     "if(id % 2 = 0, 'ann', 'bob') AS role", "'x' AS text")
+    out = {r["perspective"]: r for r in chat.rotated(data).select(
+        "perspective", "n_trained", F.size(F.split("masks", ",")).alias("n"), F.element_at(
+            F.split("masks", ","), -1).alias("last"), F.length("text").alias("length")).collect()}
+    assert out["ann"]["n"] == out["bob"]["n"] == out["ann"]["n_trained"] == n // 2
+    assert out["bob"]["last"] == f"{out['bob']['length'] - 12}:{out['bob']['length']}"
+
+
 def test_pipeline_stages(spark, docs, tmp_dir):
     base = docs.select("doc_id", "text", "lang", "source", "n_chars")
     base.coalesce(1).write.parquet(f"{tmp_dir}/documents.parquet")
