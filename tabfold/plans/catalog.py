@@ -96,7 +96,7 @@ def _planted_prep(spark, d, rule, seed=SEED):
 def _planted(rule, learner, **params):
     def q(spark, d):
         prep = _planted_prep(spark, d, rule)
-        _, scored = ex.fit_and_score(prep, ex.learner_for(learner, **params))
+        _, scored = ex.fit_and_score(prep, ex.learner_for(learner, **params), count_equal=True)
         return ex.confusion_counts(scored, "label")
     return q
 
@@ -190,7 +190,8 @@ SQL_SEED_SUMMARY = (_SWEEP_BASE + f"SELECT model, metric, min(value) AS min, max
 
 def _cv(spark, d):
     prep = _planted_prep(spark, d, RULE_TREE)
-    return ex.cross_validate(prep, "tree", 10, 3, seed=1, keys=LI_KEYS, parallelism=4)
+    return ex.cross_validate(prep, "tree", 10, 3, seed=1, keys=LI_KEYS, parallelism=4,
+                             collapse=None)
 
 
 def q_cv_scores(spark, d):
@@ -251,7 +252,7 @@ def q_cv_variants(spark, d):
     """E3 on preprocessing variants: scaler fitted once, and without the held-out fold."""
     out = None
     for v, alone in CV_VARIANTS:
-        part = _cv_bands(spark, d, learner="tree", variant=v, fit_per_fold=alone).select(
+        part = _cv_bands(spark, d, learner="tree", variant=v, fit_per_fold=alone, collapse=None).select(
             F.lit(v).alias("variant"), F.lit(alone).alias("fit_per_fold"), "*")
         out = part if out is None else out.unionByName(part)
     return out
