@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabfold.operators import features, foldwise, model_sql, optimality, reduce as red, sampling, softmax
+from tabfold.operators import (
+    counted, features, foldwise, model_sql, optimality, reduce as red, sampling, softmax,
+)
 from tabfold.plans import catalog as C
 from tabfold.plans import experiment as ex
 
@@ -28,8 +30,8 @@ def _prepared(spark, d, rule=LABEL):
 
 # ------------------------------------------------------------ M1 / M7 / E4
 
-def _fitted(prep, learner, **params):
-    model, _ = ex.fit_and_score(prep, ex.learner_for(learner, **params))
+def _fitted(prep, learner, count_equal=False, **params):
+    model, _ = ex.fit_and_score(prep, ex.learner_for(learner, **params), count_equal=count_equal)
     return model
 
 
@@ -73,12 +75,12 @@ def q_model_sql_agrees(spark, d):
     li = C._t(spark, d, "lineitem", spread=True)
     out = None
     for name, params in SQL_LEARNERS:
-        model = _fitted(prep, name, **params)
+        model = _fitted(prep, name, count_equal=True, **params)
         sql = model_sql.prediction_sql(spark, model, C.LI_FEATURES, prep.label_model.labels)
         part = _compare(prep, li, model, sql).withColumn("learner", F.lit(name))
         out = part if out is None else out.unionByName(part)
     bands = _prepared(spark, d, C.NOISY_BANDS)
-    model = _fitted(bands, "ovr_gbt", max_iter=3, parallelism=3)
+    model = _fitted(bands, "ovr_gbt", count_equal=True, max_iter=3, parallelism=3)
     sql = model_sql.prediction_sql(spark, model, C.LI_FEATURES, bands.label_model.labels)
     return out.unionByName(_compare(bands, li, model, sql).withColumn("learner", F.lit("ovr_gbt")))
 
@@ -290,7 +292,12 @@ def q_softmax_bands(spark, d):
     one, and the probabilities of each row sum to 1."""
     prep = _prepared(spark, d, C.NOISY_BANDS)
     data = prep.category_model.transform(prep.label_model.transform(prep.data))
-    model = softmax.fit(data.filter("split = 'train'"), n_rounds=5, max_depth=2)
+    train = data.filter("split = 'train'")
+    if prep.rows_repeat():
+        with counted.counted_rows(train, ["indexedFeatures", "indexedLabel"]) as rows:
+            model = softmax.fit(rows, n_rounds=5, max_depth=2, weight_col=counted.WEIGHT)
+    else:
+        model = softmax.fit(train, n_rounds=5, max_depth=2)
     scored = features.label_names(prep.label_model).transform(model.transform(data))
     total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
     found = scored.groupBy("split", "label", F.col("predictedLabel").cast("int").alias("prediction")).agg(
