@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+PART_BYTES = 16 << 20       # input bytes in a part of a spread scan, about
+
 
 def ensure_parallelism(df: DataFrame) -> DataFrame:
     """Spread a scan of less than one full split per core evenly over the cores.
@@ -13,13 +15,15 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     Splits are cut by bytes, but a row group is read by one of them, so a
     small input often sits in one task however many splits it has. What moves
     is bounded: at most cores x ``spark.sql.files.maxPartitionBytes``. A larger
-    scan has a full split or more for every core and is left as it is.
+    scan has a full split or more for every core and is left as it is. There is
+    a part for each core, and more of them once they would be larger than
+    ``PART_BYTES``: what a task keeps and reads doesn't grow with the table.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split else df
+    return df.repartition(max(cores, -(-size // PART_BYTES))) if size < cores * split else df
 
 
 def read_table(spark: SparkSession, data_dir: str, name: str,
