@@ -11,6 +11,7 @@ model summaries, importances) are rows-only.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -832,16 +833,22 @@ def _rounded_profile(p):
     return p.select("feature", "count", *[_r(c).alias(c) for c in PROFILE_OUT[1:]])
 
 
+def _line_profile(spark, d, **params):
+    # every round reads the rows: they are spread and kept once
+    li = _t(spark, d, "lineitem", spread=True).select(*PROFILE_COLS).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _rounded_profile(profile.feature_profile(profile.long_format(li, PROFILE_COLS), **params))
+    finally:
+        li.unpersist()
+
+
 def q_feature_profile(spark, d):
-    li = _t(spark, d, "lineitem", spread=True)
-    long = profile.long_format(li, PROFILE_COLS)
-    return _rounded_profile(profile.feature_profile(long))
+    return _line_profile(spark, d)
 
 
 def q_feature_profile_bracketed(spark, d):
     """The same with small cells, so that the rounds that large tables need run."""
-    long = profile.long_format(_t(spark, d, "lineitem", spread=True), PROFILE_COLS)
-    return _rounded_profile(profile.feature_profile(long, max_candidates=1000))
+    return _line_profile(spark, d, max_candidates=1000)
 
 
 def q_profile_sparse(spark, d):
