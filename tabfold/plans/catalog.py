@@ -154,7 +154,7 @@ def q_variant_pca(spark, d):
     out = None
     for v in ("pca", "scaled_pca"):
         data, cat = ex.variant_data(prep, v)
-        _, scored = ex.fit_and_score(prep, ex.learner_for("gbt"), data, cat)
+        _, scored = ex.fit_and_score(prep, ex.learner_for("gbt"), data, cat, count_equal=True)
         part = evaluate.accuracy(scored).withColumn("variant", F.lit(v))
         out = part if out is None else out.unionByName(part)
     return out
@@ -283,7 +283,7 @@ def q_model_summary(spark, d):
     prep = _planted_prep(spark, d, RULE_TREE)
     out = None
     for name in ("tree", "gbt"):
-        model, _ = ex.fit_and_score(prep, ex.learner_for(name))
+        model, _ = ex.fit_and_score(prep, ex.learner_for(name), count_equal=True)
         part = models.model_summary(spark, model, name)
         out = part if out is None else out.unionByName(part)
     return out

@@ -87,7 +87,8 @@ def run_job(spark: SparkSession, source: DataFrame | str, output: str | None, mo
         timer, t1 = ex.Timer(dict(ready.phases)), time.time()
         data, cat = timer.run("prepare", ex.variant_data, prep, variant)
         used = params if variant == "raw" else {"features_col": "indexedFeatures", **params}
-        _, scored = timer.run("fit", ex.fit_and_score, prep, ex.learner_for(model, **used), data, cat)
+        _, scored = timer.run("fit", ex.fit_and_score, prep, ex.learner_for(model, **used), data, cat,
+                               count_equal=True)
         rows = timer.run("evaluate", lambda: ex.report(scored, spark, run_minutes=None).collect())
         rows = [(r[0], r[1]) for r in rows] + [("Run time", (prepared + time.time() - t1) / 60.0)]
         if phases:

@@ -101,7 +101,8 @@ def resumable_sweep(df: DataFrame, feature_cols: Sequence[str], label_col: str,
         def one(learner, seed):
             t0 = time.time()
             split = sampling.hash_split(data, keys, seed)
-            _, scored = ex.fit_and_score(base, ex.learner_for(learner, **params.get(learner, {})), split)
+            _, scored = ex.fit_and_score(base, ex.learner_for(learner, **params.get(learner, {})), split,
+                                         count_equal=True)
             rows = []
             for r in evaluate.accuracy(scored).collect():
                 rows += [(f"{r['split']}_accuracy", float(r["accuracy"])),
@@ -111,6 +112,8 @@ def resumable_sweep(df: DataFrame, feature_cols: Sequence[str], label_col: str,
             return learner, seed, rows
 
         todo = [(m, s) for m in learners for m, s in missing(spark, path, setting_of(m), [m], seeds)]
+        if any(ex.cn.counts_rows(ex.learner_for(m, **params.get(m, {}))) for m, _ in todo):
+            base.rows_repeat()      # once, before the threads ask
         error = None
         with ThreadPoolExecutor(max(1, parallelism)) as pool:
             at_work = set()

@@ -148,7 +148,8 @@ def q_weighted_recall(spark, d):
         for weighted, prep in ((False, plain), (True, ex.balanced(plain))):
             extra = {"weightCol": "weight"} if weighted else {}
             for learner, _, params in (x for x in WEIGHTED if x[1] == rule):
-                _, scored = ex.fit_and_score(prep, ex.learner_for(learner, **params, **extra))
+                _, scored = ex.fit_and_score(prep, ex.learner_for(learner, **params, **extra),
+                                             count_equal=True)
                 # one row per split and pair of classes
                 rows += [(learner, weighted, *r) for r in ex.confusion_counts(scored, "label").collect()]
         plain.data.unpersist()
