@@ -118,7 +118,7 @@ def _hex_digits(n_rows: int, rows_per_bucket: int) -> int:
 
 
 def stratified_folds(df: DataFrame, keys: Sequence[str], label_col: str, n_folds: int = 10,
-                     n_repeats: int = 3, seed=1, rows_per_bucket: int = 1 << 20,
+                     n_repeats: int = 3, seed=1, rows_per_bucket: int = 1 << 14,
                      keep: Sequence[str] = (), repeat_ids: Sequence[int] | None = None,
                      hot_factor: int = 4) -> DataFrame:
     """K3: repeated stratified k-fold, one output row per (row, repeat).
@@ -154,21 +154,23 @@ def stratified_folds(df: DataFrame, keys: Sequence[str], label_col: str, n_folds
               .withColumn("repeat", F.explode(F.array(*[F.lit(int(i)) for i in ids])))
               .withColumn("_h", hash_hex(keys, seed, F.col("repeat")))
               .withColumn("_b", F.substring("_h", 1, digits)))
-    grp = [label_col, "repeat", "_b"]
+    # the bucket leads: a sort then compares short prefixes before whole rows
+    grp = ["_b", label_col, "repeat"]
     counts = reps.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n")).persist()
     hot_limit = max(hot_factor * rows_per_bucket, 1)
     chunk_bits = max(1, int(rows_per_bucket).bit_length() - 1)   # chunks <= rows_per_bucket
     hot = counts.filter(F.col("_n") > hot_limit).select(*grp)
     # rank order is (_b, _h, _t) on every path; pieces are ranges of it
-    none = {"_sh": F.lit(""), "_sm": F.lit(0).cast("long"), "_st": F.lit(0).cast("long"),
-            "_sp": F.lit(0).cast("long")}
-    piece = [*grp, *none]
+    none, position = {}, []
+    piece = grp
     if hot.limit(1).count() == 0:
-        pieces = counts.withColumns(none)
-        rows = reps.withColumns({**none, "_m": F.lit(0).cast("long")})
+        pieces, rows = counts, reps
     else:
         from tabfold.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
+        none = {"_sh": F.lit(""), "_sm": F.lit(0).cast("long"), "_st": F.lit(0).cast("long"),
+                "_sp": F.lit(0).cast("long")}
+        piece, position = [*grp, *none], ["_m"]
         hot = broadcast_if_small(hot.persist())
         cold_rows = null_safe_join(reps, hot, grp, "left_anti")
         hot_rows = (null_safe_join(reps, hot, grp, "left_semi")
@@ -199,10 +201,10 @@ def stratified_folds(df: DataFrame, keys: Sequence[str], label_col: str, n_folds
                      .drop("_n").persist())
     joined = null_safe_join(rows, broadcast_if_small(offsets), piece, "inner",
                             right_cols=["_off"])
-    within = Window.partitionBy(*piece).orderBy("_h", "_t", *keys, "_m")
+    within = Window.partitionBy(*piece).orderBy("_h", "_t", *keys, *position)
     rank = F.row_number().over(within) + F.col("_off")
     return (joined.withColumn("fold", ((rank - 1) % n_folds).cast("int"))
-                  .drop("_h", "_b", *none, "_m", "_off", "_t"))
+                  .drop("_h", "_b", *none, *position, "_off", "_t"))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,

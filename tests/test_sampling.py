@@ -108,3 +108,15 @@ def test_split_text_compare_equals_unit_compare(spark):
         for b, n in reversed(list(zip(bounds, names[:-1]))):
             want = F.when(u < F.lit(b), F.lit(n)).otherwise(want)
         assert got.filter(F.col("s") != want).count() == 0, w
+
+
+def test_ranking_without_hot_buckets_sorts_by_short_prefixes(spark):
+    """No constant columns in the shuffle, and the hash prefix leads the sort."""
+    df = spark.range(40_000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("c"))
+    out = sampling.stratified_folds(df, ["k"], "c", 10, 1, seed=3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_sp" not in plan and "_sm" not in plan
+    window = plan[plan.index("row_number()"):].splitlines()[0]
+    assert window.index("(_b#") < window.index("_h#")
+    sizes = [r["count"] for r in out.groupBy("c", "fold").count().collect()]
+    assert len(sizes) == 30 and max(sizes) - min(sizes) <= 1
