@@ -233,11 +233,10 @@ NOISY_BANDS = f"CAST(CASE WHEN {_FLIPPED} THEN ({RULE_BANDS} + 1) % 3 ELSE {RULE
 CV_VARIANTS = (("scaled", False), ("standardised", True))
 
 
-def _cv_bands(spark, d, **params):
+def _cv_bands(spark, d, run, **params):
     prep = _planted_prep(spark, d, NOISY_BANDS)
     try:
-        cv = ex.cross_validate(prep, n_folds=10, n_repeats=3, seed=1, keys=LI_KEYS, parallelism=10,
-                               **params)
+        cv = run(prep, n_folds=10, n_repeats=3, seed=1, keys=LI_KEYS, parallelism=10, **params)
     finally:
         prep.data.unpersist()
     return cv.withColumn("balanced_accuracy", _r("balanced_accuracy"))
@@ -246,17 +245,14 @@ def _cv_bands(spark, d, **params):
 def q_cv_ovr_gbt(spark, d):
     """E3 with the 3-class booster: 3 x 10 folds, 20 rounds, noisy bands."""
     # few distinct feature values: equal rows are counted; 20 rounds need no checkpoint
-    return _cv_bands(spark, d, learner="ovr_gbt", collapse=True, checkpointInterval=-1)
+    return _cv_bands(spark, d, ex.cross_validate, learner="ovr_gbt", collapse=True,
+                     checkpointInterval=-1)
 
 
 def q_cv_variants(spark, d):
     """E3 on preprocessing variants: scaler fitted once, and without the held-out fold."""
-    out = None
-    for v, alone in CV_VARIANTS:
-        part = _cv_bands(spark, d, learner="tree", variant=v, fit_per_fold=alone, collapse=None).select(
-            F.lit(v).alias("variant"), F.lit(alone).alias("fit_per_fold"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _cv_bands(spark, d, ex.cross_validate_variants, variants=CV_VARIANTS, learner="tree",
+                     collapse=None)
 
 
 def _sql_cv_bands():

@@ -239,6 +239,9 @@ def seed_sweep(df: DataFrame, feature_cols: Sequence[str], label_col: str, keys:
 
 # ---------------------------------------------------------- E3 cross-validation
 
+CV_SCHEMA = "variant string, fit_per_fold boolean, repeat int, fold int, n_rows long, balanced_accuracy double"
+
+
 def cross_validate(prep: Prepared, learner: str = "tree", n_folds: int = 10, n_repeats: int = 3,
                    seed=1, keys: Sequence[str] = (), parallelism: int = 4,
                    variant: str = "raw", fit_per_fold: bool = False,
@@ -261,60 +264,79 @@ def cross_validate(prep: Prepared, learner: str = "tree", n_folds: int = 10, n_r
     ``balance`` is the power of the class weights of a fit's own rows (0: none, 1:
     every class weighs the same); held-out rows are scored as they are.
     """
-    if collapse and variant != "raw":
+    return cross_validate_variants(
+        prep, [(variant, fit_per_fold)], learner, n_folds, n_repeats, seed, keys, parallelism,
+        partition_rows, collapse, balance, **params).drop("variant", "fit_per_fold")
+
+
+def cross_validate_variants(prep: Prepared, variants: Sequence[tuple[str, bool]], learner: str = "tree",
+                            n_folds: int = 10, n_repeats: int = 3, seed=1, keys: Sequence[str] = (),
+                            parallelism: int = 4, partition_rows: int = 1 << 17,
+                            collapse: bool | None = False, balance: float = 0.0, **params) -> DataFrame:
+    """``cross_validate`` of several ``(variant, fit_per_fold)`` on the same folds.
+
+    The folds of a repeat are ranked once for all variants, which add ``variant``
+    and ``fit_per_fold`` to the result's columns.
+    """
+    if collapse and any(v != "raw" for v, _ in variants):
         raise ValueError("collapsed rows go with the raw variant")
     if collapse is None:
-        collapse = (variant in ("raw", "scaled", "standardised")
+        collapse = (all(v in ("raw", "scaled", "standardised") for v, _ in variants)
                     and cn.counts_rows(learner_for(learner, **params)) and prep.rows_repeat())
     train = prep.data.filter(F.col("split") == "train")
     label_idx = prep.label_model.transform(train)
     n_partitions = 0 if collapse else -(-train.count() // partition_rows) or 1
     spark = train.sparkSession
-    rows = []
-    # one repeat cached at a time: peak cache is the train rows, not repeats x rows
-    for r in range(n_repeats):
+    if collapse:
+        params["weightCol"] = "weight"
+
+    def folds_of(r):
         folds = sampling.stratified_folds(label_idx, list(keys), prep.label_col, n_folds,
                                           1, seed, keep=["features", "indexedLabel"],
                                           repeat_ids=[r])
-        if collapse:
-            folds = (folds.groupBy("fold", "features", "indexedLabel")
-                     .agg(F.count("*").cast("double").alias("weight")))
-            params["weightCol"] = "weight"
-            folds = cn.merged(folds, partition_rows)
-        else:
-            folds = folds.coalesce(n_partitions).persist(StorageLevel.MEMORY_AND_DISK)
-
-        def seen(is_train, folds=folds):
-            return variant_data(prep, variant, data=folds.withColumn(
-                "split", F.when(is_train, "train").otherwise("test")),
-                count_col="weight" if collapse else None)
-
-        def one(f, shared, r=r):
-            data, category = shared or seen(F.col("fold") != f)
-            fit_rows = data.filter(F.col("fold") != f)
-            held = data.filter(F.col("fold") == f)
-            own = dict(params)
-            if balance:
-                table = weights.class_weights(fit_rows, "indexedLabel", balance,
-                                              "weight" if collapse else None)
-                fit_rows = weights.with_class_weights(fit_rows, "indexedLabel", table, "class_weight")
-                if collapse:
-                    fit_rows = fit_rows.withColumn("class_weight", F.col("class_weight") * F.col("weight"))
-                own["weightCol"] = "class_weight"
-            model = models.fit([category, learner_for(learner, **own)], fit_rows)
-            scored = models.predict(model, held)
-            row = evaluate.balanced_accuracy(
-                scored, by=(), weight_col="weight" if collapse else None).first()
-            return (int(r), int(f), int(row["n_rows"]), float(row["balanced_accuracy"]))
+        if not collapse:
+            return folds.coalesce(n_partitions).persist(StorageLevel.MEMORY_AND_DISK)
+        return cn.merged(folds.groupBy("fold", "features", "indexedLabel")
+                         .agg(F.count("*").cast("double").alias("weight")), partition_rows)
+
+    def seen(folds, variant, is_train):
+        return variant_data(prep, variant, data=folds.withColumn(
+            "split", F.when(is_train, "train").otherwise("test")),
+            count_col="weight" if collapse else None)
+
+    def one(run):
+        folds, r, variant, fit_per_fold, shared, f = run
+        data, category = shared or seen(folds, variant, F.col("fold") != f)
+        fit_rows = data.filter(F.col("fold") != f)
+        held = data.filter(F.col("fold") == f)
+        own = dict(params)
+        if balance:
+            table = weights.class_weights(fit_rows, "indexedLabel", balance,
+                                          "weight" if collapse else None)
+            fit_rows = weights.with_class_weights(fit_rows, "indexedLabel", table, "class_weight")
+            if collapse:
+                fit_rows = fit_rows.withColumn("class_weight", F.col("class_weight") * F.col("weight"))
+            own["weightCol"] = "class_weight"
+        model = models.fit([category, learner_for(learner, **own)], fit_rows)
+        scored = models.predict(model, held)
+        row = evaluate.balanced_accuracy(
+            scored, by=(), weight_col="weight" if collapse else None).first()
+        return (variant, fit_per_fold, int(r), int(f), int(row["n_rows"]),
+                float(row["balanced_accuracy"]))
 
+    rows = []
+    # one repeat cached at a time: peak cache is the train rows, not repeats x rows
+    for batch in [[r] for r in range(n_repeats)]:
+        kept, runs = [], []
         try:
-            shared = None if fit_per_fold else seen(F.lit(True))
+            for r in batch:
+                kept.append(folds := folds_of(r))
+                for variant, fit_per_fold in variants:
+                    shared = None if fit_per_fold else seen(folds, variant, F.lit(True))
+                    runs += [(folds, r, variant, fit_per_fold, shared, f) for f in range(n_folds)]
             with ThreadPoolExecutor(max(1, parallelism)) as pool:
-                rows += list(pool.map(one, range(n_folds), [shared] * n_folds))
+                rows += list(pool.map(one, runs))
         finally:
-            folds.unpersist()
-    schema = T.StructType([T.StructField("repeat", T.IntegerType()),
-                           T.StructField("fold", T.IntegerType()),
-                           T.StructField("n_rows", T.LongType()),
-                           T.StructField("balanced_accuracy", T.DoubleType())])
-    return spark.createDataFrame(rows, schema)
+            for folds in kept:
+                folds.unpersist()
+    return spark.createDataFrame(rows, CV_SCHEMA)

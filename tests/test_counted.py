@@ -101,3 +101,18 @@ def test_profile_rounds_read_kept_rows(spark, monkeypatch):
     monkeypatch.setattr(C.profile, "feature_profile", watched)
     assert C.q_feature_profile_bracketed(spark, "/root/testdata/sf0.001").count() == len(C.PROFILE_COLS)
     assert "InMemoryRelation" in plans[0]
+
+
+def test_variants_share_the_folds_of_a_repeat(prep, monkeypatch):
+    ranked, folds = [], ex.sampling.stratified_folds
+    monkeypatch.setattr(ex.sampling, "stratified_folds",
+                        lambda *a, **kw: (ranked.append(kw["repeat_ids"]), folds(*a, **kw))[1])
+    variants = [("scaled", False), ("standardised", True)]
+    for collapse in (None, False):
+        got = ex.cross_validate_variants(prep, variants, "tree", 3, 2, keys=["k"], collapse=collapse)
+        got = sorted(map(tuple, got.collect()))
+        assert ranked == [[0], [1]]
+        want = sorted((v, alone, *r) for v, alone in variants for r in ex.cross_validate(
+            prep, "tree", 3, 2, keys=["k"], variant=v, fit_per_fold=alone, collapse=collapse).collect())
+        assert got == want and len(got) == 12
+        ranked.clear()
