@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabfold.operators.softmax import SoftmaxBoosting
+from tabfold.session import ensure_checkpoint_dir
 
 WORTH = 4               # rows to a distinct one from which on counting is worth a shuffle
 PARTITION_ROWS = 1 << 17
@@ -80,6 +81,18 @@ def merged(rows: DataFrame, partition_rows: int = PARTITION_ROWS) -> DataFrame:
     return few
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows``, kept, without what they come from.
+
+    Every job of a fit sends its rows' lineage to the tasks; over small rows that is
+    most of the job.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    saved = rows.checkpoint()
+    rows.unpersist()
+    return saved.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 @contextmanager
 def counted_rows(df: DataFrame, cols: Sequence[str], weight_col: str | None = None) -> Iterator[DataFrame]:
     """Distinct ``cols`` (and weights) with their rows' total in column ``WEIGHT``, kept meanwhile."""

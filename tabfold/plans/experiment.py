@@ -296,8 +296,8 @@ def cross_validate_variants(prep: Prepared, variants: Sequence[tuple[str, bool]]
                                           repeat_ids=[r])
         if not collapse:
             return folds.coalesce(n_partitions).persist(StorageLevel.MEMORY_AND_DISK)
-        return cn.merged(folds.groupBy("fold", "features", "indexedLabel")
-                         .agg(F.count("*").cast("double").alias("weight")), partition_rows)
+        return cn.cut(cn.merged(folds.groupBy("fold", "features", "indexedLabel")
+                                .agg(F.count("*").cast("double").alias("weight")), partition_rows))
 
     def seen(folds, variant, is_train):
         return variant_data(prep, variant, data=folds.withColumn(
@@ -325,8 +325,9 @@ def cross_validate_variants(prep: Prepared, variants: Sequence[tuple[str, bool]]
                 float(row["balanced_accuracy"]))
 
     rows = []
-    # one repeat cached at a time: peak cache is the train rows, not repeats x rows
-    for batch in [[r] for r in range(n_repeats)]:
+    # folds that aren't counted: one repeat cached at a time, so that the peak is the train
+    # rows, not repeats x rows; counted ones lie in the checkpoint folder and are fitted together
+    for batch in [range(n_repeats)] if collapse else [[r] for r in range(n_repeats)]:
         kept, runs = [], []
         try:
             for r in batch:

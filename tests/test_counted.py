@@ -116,3 +116,15 @@ def test_variants_share_the_folds_of_a_repeat(prep, monkeypatch):
             prep, "tree", 3, 2, keys=["k"], variant=v, fit_per_fold=alone, collapse=collapse).collect())
         assert got == want and len(got) == 12
         ranked.clear()
+
+
+def test_counted_folds_are_fitted_without_their_lineage(prep, monkeypatch):
+    plans, fit = [], models.fit
+
+    def watched(stages, rows):
+        plans.append(rows._jdf.queryExecution().toString())
+        return fit(stages, rows)
+    monkeypatch.setattr(models, "fit", watched)
+    ex.cross_validate(prep, "tree", 3, 2, keys=["k"], collapse=True)
+    assert len(plans) == 6
+    assert all("Scan ExistingRDD" in p and "Aggregate" not in p and "Window" not in p for p in plans)
