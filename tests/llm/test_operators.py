@@ -623,3 +623,19 @@ def test_pipeline_stages(spark, docs, tmp_dir):
     assert 11 not in seen["decontamination"] and 12 not in seen["decontamination"]
     assert seen["packing"] == seen["decontamination"]
     assert {7, 8, 10, 13} <= seen["packing"]
+
+
+def test_packing_looks_words_up_in_the_model_alone():
+    """Every Latin-1 letter, digit and sign as the tokenizer itself has it, without its other steps."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+    class Model:
+        model, pre_tokenizer = tok.model, tok.pre_tokenizer
+    chars = [chr(n) for n in range(32, 256) if not 126 < n < 161]
+    texts = ["".join(chars), " ".join(chars), "".join(c + "aé" for c in chars), "  Don't ''s i'LL\n12\t½²",
+             "été naïve straße " + "x" * 3000, "", None]
+    for text in texts:
+        want = np.array(tok.encode(text or "", add_special_tokens=False).ids + [1], "<u4").tobytes()
+        assert packing.encode(text, packing.Words(Model())) == want
