@@ -26,6 +26,7 @@ from tabfold.session import ensure_checkpoint_dir
 
 WORTH = 4               # rows to a distinct one from which on counting is worth a shuffle
 PARTITION_ROWS = 1 << 17
+PARTITION_VALUES = 1 << 23      # feature values in a partition of a boosted fit, at most about
 COUNT, WEIGHT = "_n_equal", "_weight"
 
 
@@ -81,6 +82,22 @@ def merged(rows: DataFrame, partition_rows: int = PARTITION_ROWS) -> DataFrame:
     return few
 
 
+def is_boosted(learner) -> bool:
+    """Whether a fit of the learner is rounds of short passes over its rows."""
+    return isinstance(learner, GBTClassifier | OneVsRest | SoftmaxBoosting)
+
+
+def fewer_parts(rows: DataFrame, n_features: int) -> DataFrame:
+    """``rows`` in a partition for each core, and more only as the rows need them; no shuffle.
+
+    A join leaves as many partitions as the session's shuffles have, however few
+    its rows; each pass of a boosted fit would then send the driver that many results.
+    """
+    each = max(1, min(PARTITION_ROWS, PARTITION_VALUES // max(n_features, 1)))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(cores, -(-rows.count() // each)))
+
+
 def cut(rows: DataFrame) -> DataFrame:
     """``rows``, kept, without what they come from.
 

@@ -112,6 +112,8 @@ def fit_and_score(prep: Prepared, learner, data: DataFrame | None = None,
         with cn.counted_rows(train, [vector, prep.label_col], cn.weight_of(learner)) as rows:
             model = models.fit([*before, cn.weighted(learner)], rows)
     else:
+        if cn.is_boosted(learner):
+            train = cn.fewer_parts(train, len(prep.feature_cols))
         model = models.fit([*before, learner], train)
     scored = models.predict(model, data)
     scored = features.label_names(prep.label_model).transform(scored)

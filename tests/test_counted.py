@@ -128,3 +128,21 @@ def test_counted_folds_are_fitted_without_their_lineage(prep, monkeypatch):
     ex.cross_validate(prep, "tree", 3, 2, keys=["k"], collapse=True)
     assert len(plans) == 6
     assert all("Scan ExistingRDD" in p and "Aggregate" not in p and "Window" not in p for p in plans)
+
+
+def test_boosted_fit_has_no_more_partitions_than_its_rows_need(spark, prep, monkeypatch):
+    cores, seen, fit = spark.sparkContext.defaultParallelism, [], models.fit
+    monkeypatch.setattr(models, "fit", lambda s, rows: (seen.append(rows.rdd.getNumPartitions()), fit(s, rows))[1])
+    wide = prep.data.repartition(3 * cores)
+
+    def predictions(data, name="ovr_gbt"):
+        params = {"max_iter": 2} if name == "ovr_gbt" else {}
+        _, scored = ex.fit_and_score(prep, ex.learner_for(name, **params), data)
+        return sorted(map(tuple, scored.select("k", "prediction").collect()))
+    assert predictions(wide) == predictions(prep.data)
+    assert seen[0] <= cores
+    monkeypatch.setattr(counted, "PARTITION_VALUES", 2 * 4000 // (2 * cores))
+    predictions(wide)
+    assert cores < seen[2] <= 3 * cores
+    predictions(wide, "tree")
+    assert seen[3] == 3 * cores
