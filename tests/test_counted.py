@@ -92,6 +92,28 @@ def test_parts_of_a_spread_scan_stay_small(spark, tmp_dir, monkeypatch):
     assert n > spark.sparkContext.defaultParallelism and n > 20
 
 
+def test_parts_of_a_large_scan_stay_small(spark, tmp_dir, monkeypatch):
+    """More than a split per core, all in one row group: one task would keep every row."""
+    spark.range(200_000).withColumn("x", F.rand(1)).coalesce(1).write.parquet(f"{tmp_dir}/t.parquet")
+    monkeypatch.setattr(tables, "PART_BYTES", 50_000)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        df = tables.read_table(spark, tmp_dir, "t", spread=True)
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sum(sizes) == 200_000 and max(sizes) < 10_000
+
+
+def test_parts_of_a_well_compressed_scan_stay_small(spark, tmp_dir, monkeypatch):
+    spark.range(200_000).select(F.lit(7).alias("x")).coalesce(1).write.parquet(f"{tmp_dir}/t.parquet")
+    monkeypatch.setattr(tables, "PART_ROWS", 4_000)
+    df = tables.read_table(spark, tmp_dir, "t", spread=True)
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 200_000 and max(sizes) < 5_000
+
+
 def test_profile_rounds_read_kept_rows(spark, monkeypatch):
     plans, made = [], C.profile.feature_profile
 
