@@ -71,15 +71,21 @@ def weighted(learner):
 
 
 def merged(rows: DataFrame, partition_rows: int = PARTITION_ROWS) -> DataFrame:
-    """``rows``, kept, in partitions of about ``partition_rows`` (only ever fewer partitions).
+    """``rows``, kept, in partitions of about ``partition_rows``.
 
-    A boosted fit is many short passes, whose time is that of their tasks.
+    A boosted fit is many short passes, whose time is that of their tasks: few rows
+    are merged, without a shuffle. More than the aggregation's partitions should hold
+    (as many as the session's shuffles have) are spread, so that what a task of the
+    fit reads doesn't grow with them.
     """
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    few = rows.coalesce(-(-rows.count() // partition_rows) or 1).persist(StorageLevel.MEMORY_AND_DISK)
-    few.count()
+    n_parts = -(-rows.count() // partition_rows) or 1
+    spread = n_parts > rows.rdd.getNumPartitions()
+    kept = rows.repartition(n_parts) if spread else rows.coalesce(n_parts)
+    kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()
     rows.unpersist()
-    return few
+    return kept
 
 
 def is_boosted(learner) -> bool:

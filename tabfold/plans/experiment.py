@@ -257,7 +257,7 @@ def cross_validate(prep: Prepared, learner: str = "tree", n_folds: int = 10, n_r
     The scaler and PCA of a ``variant`` are fitted once on all train rows, as
     the reference does; ``fit_per_fold`` fits them without the held-out fold.
     A boosted fit is many short passes, so the cached folds are merged to
-    partitions of about ``partition_rows`` rows (only ever fewer partitions).
+    partitions of about ``partition_rows`` rows (only counted ones ever to more).
     ``collapse`` counts equal rows (features, label) of a fold once and fits and
     scores with the counts as weights: the same sums over fewer rows, worth a
     shuffle where features take few values. True is for the raw variant; None

@@ -85,6 +85,21 @@ def test_counted_scaler_is_that_of_the_rows(spark, with_mean):
     assert one.std == [0.0, 0.0, 0.0]
 
 
+def test_many_counted_rows_are_spread(spark, monkeypatch):
+    """More distinct rows than the aggregation's partitions should hold."""
+    rows = spark.range(4000).select((F.col("id") % 1000).alias("x"), F.lit(0).alias("y"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    monkeypatch.setattr(counted.merged, "__defaults__", (100,))
+    try:
+        with counted.counted_rows(rows, ["x", "y"]) as kept:
+            sizes = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
+            assert kept.agg(F.sum(counted.WEIGHT)).first()[0] == 4000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sum(sizes) == 1000 and max(sizes) <= 120
+
+
 def test_parts_of_a_spread_scan_stay_small(spark, tmp_dir, monkeypatch):
     spark.range(200_000).withColumn("x", F.rand(1)).coalesce(1).write.parquet(f"{tmp_dir}/t.parquet")
     monkeypatch.setattr(tables, "PART_BYTES", 50_000)
