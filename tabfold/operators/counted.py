@@ -7,8 +7,10 @@ ones, however long the table. Counting is one map-side-combined aggregation; a
 sketch says first whether it is worth it, and where rows differ they are fitted
 as they are.
 
-Not for linear learners: their scaling takes weights for reliabilities, so its
-deviations, and with them a penalty, would change.
+Linear learners sum rows, too, but their scaling takes weights for reliabilities,
+so its deviations, and with them a penalty, would change: a sweep, which counts
+equal rows once for all its fits, gives them a penalty that makes up for it. The
+other fits leave linear learners on the rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest
+from pyspark.ml.classification import (
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +58,11 @@ def counts_rows(learner) -> bool:
         learner.getOrDefault("subsamplingRate") == 1.0 and not learner.isDefined("validationIndicatorCol"))
 
 
+def sums_rows(learner) -> bool:
+    """Whether a fit on counted rows (``weighted``) is that on the rows: also linear ones."""
+    return isinstance(learner, LogisticRegression) or counts_rows(learner)
+
+
 def weight_of(learner) -> str | None:
     """The learner's own weight column."""
     if isinstance(learner, SoftmaxBoosting):
@@ -61,8 +70,31 @@ def weight_of(learner) -> str | None:
     return learner.getOrDefault("weightCol") if learner.isDefined("weightCol") else None
 
 
-def weighted(learner):
-    """The learner with the weights of ``counted_rows``."""
+def same_penalty(learner: LogisticRegression, rows: DataFrame) -> dict:
+    """The parameters whose penalty on counted ``rows`` is the learner's on the rows themselves.
+
+    Penalties are on coefficients times deviations. The library's deviations of
+    weighted rows are those of the rows times one factor for all features, as their
+    variance divides by n - sum(w^2) / n instead of n - 1.
+    """
+    reg, net = learner.getOrDefault("regParam"), learner.getOrDefault("elasticNetParam")
+    if not reg or not learner.getOrDefault("standardization"):
+        return {}
+    w = F.col(WEIGHT)
+    row = rows.agg(F.sum(w).alias("n"), F.sum(w * w).alias("squares")).first()
+    n = row["n"] or 0.0
+    rest = n - row["squares"] / n if n else 0.0
+    if n <= 1 or rest <= 0:         # one kind of row: no deviation to penalise
+        return {}
+    factor = ((n - 1) / rest) ** 0.5
+    l1, l2 = reg * net / factor, reg * (1 - net) / factor ** 2
+    return {learner.regParam: l1 + l2, learner.elasticNetParam: l1 / (l1 + l2)}
+
+
+def weighted(learner, rows: DataFrame | None = None):
+    """The learner with the weights of ``counted_rows``; a linear one asks for the ``rows``."""
+    if isinstance(learner, LogisticRegression):
+        return learner.copy({learner.weightCol: WEIGHT, **same_penalty(learner, rows)})
     if isinstance(learner, SoftmaxBoosting):
         settings = {k: v for k, v in learner.settings.items() if k != "weight_col"}
         return SoftmaxBoosting(learner.getOrDefault("labelCol"), learner.getOrDefault("featuresCol"),

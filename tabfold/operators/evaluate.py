@@ -20,11 +20,15 @@ def _hit(label_col: str, pred_col: str):
 
 
 def accuracy(scored: DataFrame, label_col: str = "indexedLabel", pred_col: str = "prediction",
-             by: Sequence[str] = ("split",)) -> DataFrame:
-    """``n_rows``, ``n_correct``, ``accuracy`` per group."""
-    hit = _hit(label_col, pred_col)
+             by: Sequence[str] = ("split",), weight_col: str | None = None) -> DataFrame:
+    """``n_rows``, ``n_correct``, ``accuracy`` per group.
+    ``weight_col``: how many rows a row stands for."""
+    hit, n_rows = _hit(label_col, pred_col), F.count(F.lit(1))
+    if weight_col is not None:
+        n = F.col(weight_col).cast("long")
+        hit, n_rows = hit * n, F.sum(n)
     return (scored.groupBy(*by)
-                  .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(hit).alias("n_correct"))
+                  .agg(n_rows.alias("n_rows"), F.sum(hit).alias("n_correct"))
                   .withColumn("accuracy", F.col("n_correct") / F.col("n_rows")))
 
 

@@ -377,8 +377,8 @@ def _sweep_all(spark, d):
     """E7 for the three published learners, written as collated results and read back."""
     li = _t(spark, d, "lineitem", spread=True).withColumn("label", F.expr(_noisy(RULE_LINEAR)))
     path = scratch_path(spark, "collated")
-    for name in SWEEP_LEARNERS:
-        runs = ex.seed_sweep(li, LI_FEATURES, "label", LI_KEYS, name, SWEEP, parallelism=4)
+    for _, runs in ex.seed_sweeps(li, LI_FEATURES, "label", LI_KEYS, SWEEP_LEARNERS, SWEEP,
+                                  parallelism=4):
         sinks.write_report(runs.select("metric", "value", "seed", "model"), path, ("model",),
                            "overwrite_partitions", header=True)
     return sinks.read_collated(spark, path)

@@ -8,7 +8,7 @@ fold; the reference re-parsed its input for every action.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
@@ -93,12 +93,14 @@ def learner_for(name: str, **params):
 
 
 def fit_and_score(prep: Prepared, learner, data: DataFrame | None = None,
-                  category_model=None, split_col: str = "split", count_equal: bool = False):
+                  category_model=None, split_col: str = "split", count_equal: bool = False,
+                  counted: bool = False):
     """Fit on train rows, score every row once (train and test together).
 
     ``count_equal``: where equal rows are many, a tree learner is fitted on one of
     each with their number as its weight (``operators.counted``); its nodes' raw
-    counts are then of distinct rows.
+    counts are then of distinct rows. ``counted``: the rows of ``data`` are such
+    already, with their numbers in ``cn.WEIGHT``.
     """
     data = prep.data if data is None else data
     cat = prep.category_model if category_model is None else category_model
@@ -107,7 +109,9 @@ def fit_and_score(prep: Prepared, learner, data: DataFrame | None = None,
     # (the reference built it for logistic regression and never used it)
     uses_cat = learner.getOrDefault("featuresCol") == cat.getOrDefault("outputCol")
     before = [prep.label_model, cat] if uses_cat else [prep.label_model]
-    if count_equal and cn.counts_rows(learner) and prep.rows_repeat():
+    if counted:
+        model = models.fit([*before, cn.weighted(learner, train)], train)
+    elif count_equal and cn.counts_rows(learner) and prep.rows_repeat():
         vector = cat.getOrDefault("inputCol") if uses_cat else learner.getOrDefault("featuresCol")
         with cn.counted_rows(train, [vector, prep.label_col], cn.weight_of(learner)) as rows:
             model = models.fit([*before, cn.weighted(learner)], rows)
@@ -201,6 +205,7 @@ def variant_compare(prep: Prepared, variants: Sequence[str] = ("raw", "scaled",
 # ------------------------------------------------------------ E7 seed sweep
 
 SWEEP_SEEDS = (1, 2, 3, 4, 5, 6, 7, 8, 23, 42)
+SWEEP_SCHEMA = "model string, seed int, metric string, value double"
 
 
 def seed_sweep(df: DataFrame, feature_cols: Sequence[str], label_col: str, keys: Sequence,
@@ -209,34 +214,89 @@ def seed_sweep(df: DataFrame, feature_cols: Sequence[str], label_col: str, keys:
     """One run per seed on one persisted table -> long table
     ``(model, seed, metric, value)`` with train/test accuracy and row counts.
     Seeds run concurrently on one session when ``parallelism`` > 1."""
-    base = prepare(df, feature_cols, label_col, keys, seed=seeds[0])
+    [(_, runs)] = seed_sweeps(df, feature_cols, label_col, keys, [learner], seeds, parallelism,
+                              with_time, {learner: params})
+    return runs
+
+
+def seed_sweeps(df: DataFrame, feature_cols: Sequence[str], label_col: str, keys: Sequence,
+                learners: Sequence[str], seeds: Sequence[int] = SWEEP_SEEDS, parallelism: int = 1,
+                with_time: bool = False, params: dict[str, dict] | None = None,
+                ) -> Iterator[tuple[str, DataFrame]]:
+    """``seed_sweep`` of several learners on one table: each with its runs, as soon as they are over.
+
+    Every row is hashed once for each seed, and its sides are kept as flags. Where a
+    sketch finds that rows repeat, equal ones (features, label) are counted once for
+    all seeds and learners, with the train rows of each seed; learners that only sum
+    rows are fitted and scored on those, with the numbers as weights. ``params`` are a
+    learner's own.
+    """
+    params = params or {}
     spark = df.sparkSession
-    if cn.counts_rows(learner_for(learner, **params)):
-        base.rows_repeat()      # once, before the threads ask
-
-    def one(seed):
+    sides = [f"_train_{i}" for i in range(len(seeds))]
+    # a learner's parameter may name a key (its weights)
+    named = {v for own in params.values() for v in own.values() if isinstance(v, str)}
+    used = [k for k in keys if isinstance(k, str) and k in named]
+    rows = df
+    for side, seed in zip(sides, seeds, strict=True):
+        rows = sampling.hash_split(rows, keys, seed, out=side).withColumn(side, F.col(side) == "train")
+    rows = rows.select(*dict.fromkeys([*used, *feature_cols, label_col]), *sides)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [rows]
+    made = {name: learner_for(name, **params.get(name, {})) for name in learners}
+    whole = features.assemble(rows, feature_cols).select(
+        *dict.fromkeys([*(k for k in used if k != label_col), label_col]), "features", *sides)
+
+    def on_counts(name):
+        return cn.sums_rows(made[name]) and cn.weight_of(made[name]) is None and base.rows_repeat()
+
+    def one(name, i):
         t0 = time.time()
-        data = sampling.hash_split(base.data.drop("split"), keys, seed)
-        _, scored = fit_and_score(base, learner_for(learner, **params), data, count_equal=True)
-        rows = []
-        for r in evaluate.accuracy(scored).collect():
+        train = F.col(sides[i])
+        if on_counts(name):
+            both = F.array(F.struct(F.lit("train").alias("split"), train.alias(cn.WEIGHT)),
+                           F.struct(F.lit("test").alias("split"), (F.col(cn.COUNT) - train).alias(cn.WEIGHT)))
+            data = counts.select(label_col, "features", F.inline(both)).filter(F.col(cn.WEIGHT) > 0)
+            _, scored = fit_and_score(base, learner_for(name, **params.get(name, {})), data, counted=True)
+            acc = evaluate.accuracy(scored, weight_col=cn.WEIGHT)
+        else:
+            data = whole.withColumn("split", F.when(train, "train").otherwise("test")).drop(*sides)
+            _, scored = fit_and_score(base, learner_for(name, **params.get(name, {})), data,
+                                      count_equal=True)
+            acc = evaluate.accuracy(scored)
+        out = []
+        for r in acc.collect():
             side = r["split"]
-            rows.append((learner, int(seed), f"{side}_accuracy", float(r["accuracy"])))
-            rows.append((learner, int(seed), f"{side}_rows", float(r["n_rows"])))
+            out.append((name, int(seeds[i]), f"{side}_accuracy", float(r["accuracy"])))
+            out.append((name, int(seeds[i]), f"{side}_rows", float(r["n_rows"])))
         if with_time:
-            rows.append((learner, int(seed), "run_minutes", (time.time() - t0) / 60.0))
-        return rows
+            out.append((name, int(seeds[i]), "run_minutes", (time.time() - t0) / 60.0))
+        return out
 
     try:
+        base = Prepared(whole, features.fit_label_index(rows, label_col), None, list(feature_cols), label_col)
+        if any(cn.sums_rows(m) for m in made.values()):
+            # once, before the threads ask
+            base.known["repeat"] = cn.rows_repeat(rows, [*feature_cols, label_col])
+        counts = None
+        if any(on_counts(name) for name in learners):
+            counts = rows.groupBy(*dict.fromkeys([*feature_cols, label_col])).agg(
+                F.count(F.lit(1)).cast("double").alias(cn.COUNT),
+                *[F.sum(F.col(c).cast("long")).cast("double").alias(c) for c in sides])
+            counts = cn.merged(features.assemble(counts, feature_cols).select(
+                label_col, "features", cn.COUNT, *sides))
+            kept.append(counts)
+            if all(on_counts(name) for name in learners):
+                rows.unpersist()
+        # equal rows have equal categories
+        base.category_model = features.fit_category_index(whole if counts is None else counts)
         with ThreadPoolExecutor(max(1, parallelism)) as pool:
-            parts = list(pool.map(one, seeds))
+            for name in learners:
+                parts = list(pool.map(one, [name] * len(seeds), range(len(seeds))))
+                yield name, spark.createDataFrame([r for p in parts for r in p], SWEEP_SCHEMA)
     finally:
-        base.data.unpersist()
-    schema = T.StructType([T.StructField("model", T.StringType()),
-                           T.StructField("seed", T.IntegerType()),
-                           T.StructField("metric", T.StringType()),
-                           T.StructField("value", T.DoubleType())])
-    return spark.createDataFrame([r for p in parts for r in p], schema)
+        for table in kept:
+            table.unpersist()
 
 
 # ---------------------------------------------------------- E3 cross-validation

@@ -183,3 +183,101 @@ def test_boosted_fit_has_no_more_partitions_than_its_rows_need(spark, prep, monk
     assert cores < seen[2] <= 3 * cores
     predictions(wide, "tree")
     assert seen[3] == 3 * cores
+
+
+@pytest.fixture(scope="module")
+def kinds(prep):
+    """The rows of ``prep`` with their columns."""
+    return prep.data.select("k", "label", (F.col("k") % 12).cast("double").alias("a"),
+                            (F.col("k") % 5).cast("double").alias("b"))
+
+
+def _runs(sweep):
+    return sorted((r["seed"], r["metric"], r["value"]) for r in sweep.collect())
+
+
+def _runs_on_rows(prep, name, seeds, **params):
+    """Each seed fitted and scored on the rows as they are."""
+    out = []
+    for seed in seeds:
+        data = ex.sampling.hash_split(prep.data.drop("split"), ["k"], seed)
+        _, scored = ex.fit_and_score(prep, ex.learner_for(name, **params), data)
+        for r in ex.evaluate.accuracy(scored).collect():
+            out += [(seed, f"{r['split']}_accuracy", r["accuracy"]),
+                    (seed, f"{r['split']}_rows", float(r["n_rows"]))]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("name,params", [("tree", {}), ("logistic", {}), ("lasso", {"reg_param": 0.05}),
+                                         ("logistic", {"reg_param": 0.02, "elastic_net": 0.4})])
+def test_sweep_fits_and_scores_equal_rows_once(prep, kinds, monkeypatch, name, params):
+    want = _runs_on_rows(prep, name, (1, 2), **params)
+    seen, fit, predict = [], models.fit, models.predict
+    monkeypatch.setattr(models, "fit", lambda s, rows: (seen.append(rows.count()), fit(s, rows))[1])
+    monkeypatch.setattr(models, "predict", lambda m, df: (seen.append(df.count()), predict(m, df))[1])
+    assert _runs(ex.seed_sweep(kinds, ["a", "b"], "label", ["k"], name, (1, 2), **params)) == want
+    assert len(seen) == 4 and max(seen) < 400
+
+
+def test_sweeps_share_one_table(kinds, monkeypatch):
+    names, split, indexed = ["tree", "lasso"], [], []
+    want = {n: _runs(ex.seed_sweep(kinds, ["a", "b"], "label", ["k"], n, (1, 2))) for n in names}
+    hash_split, fit_label_index = ex.sampling.hash_split, features.fit_label_index
+    monkeypatch.setattr(ex.sampling, "hash_split",
+                        lambda df, k, seed, *a, **kw: (split.append(seed), hash_split(df, k, seed, *a, **kw))[1])
+    monkeypatch.setattr(features, "fit_label_index",
+                        lambda *a, **kw: (indexed.append(a), fit_label_index(*a, **kw))[1])
+    got = {n: _runs(s) for n, s in ex.seed_sweeps(kinds, ["a", "b"], "label", ["k"], names, (1, 2))}
+    assert got == want
+    assert split == [1, 2] and len(indexed) == 1
+
+
+def test_whole_sweep_prepares_its_rows_once(spark, tmp_dir, monkeypatch):
+    (spark.range(400).select(
+        F.col("id").alias("l_orderkey"), (F.col("id") % 7).alias("l_partkey"), F.lit(1).alias("l_suppkey"),
+        (F.col("id") % 7 + 1).cast("int").alias("l_linenumber"),
+        (F.col("id") % 3 / 100).alias("l_discount"), (F.col("id") % 2 / 100).alias("l_tax"))
+     .write.parquet(f"{tmp_dir}/lineitem.parquet"))
+    indexed, fitted, fit_label_index, fit = [], [], features.fit_label_index, models.fit
+    monkeypatch.setattr(features, "fit_label_index",
+                        lambda *a, **kw: (indexed.append(a), fit_label_index(*a, **kw))[1])
+    monkeypatch.setattr(models, "fit", lambda s, rows: (fitted.append(s), fit(s, rows))[1])
+    rows = C.q_seed_summary_all(spark, tmp_dir).collect()
+    assert len(rows) == 12 and all(r["n_runs"] == len(C.SWEEP) for r in rows)
+    assert len(indexed) == 1 and len(fitted) == len(C.SWEEP) * len(C.SWEEP_LEARNERS)
+
+
+def test_sweep_of_rows_that_differ_or_have_weights(spark, prep, kinds):
+    some = spark.range(600).select(
+        F.col("id").alias("k"), F.col("id").cast("double").alias("a"), (F.col("id") % 5 + 1).alias("b"),
+        F.when(F.col("id") % 9 == 0, 1 - (F.col("id") > 300).cast("int"))
+        .otherwise((F.col("id") > 300).cast("int")).alias("label"))
+    alone = ex.prepare(some, ["a", "b"], "label", ["k"])
+    assert not alone.rows_repeat()
+    for name in ("tree", "logistic"):
+        assert _runs(ex.seed_sweep(some, ["a", "b"], "label", ["k"], name, (1,))) == _runs_on_rows(
+            alone, name, (1,))
+    for name in ("tree", "lasso"):
+        assert _runs(ex.seed_sweep(kinds, ["a", "b"], "label", ["k"], name, (1,), weightCol="k")) == (
+            _runs_on_rows(prep, name, (1,), weightCol="k"))
+
+
+@pytest.mark.parametrize("reg,net,scaled", [(0.1, 1.0, True), (0.2, 0.0, True), (0.05, 0.3, True),
+                                            (0.05, 0.3, False), (0.0, 0.0, True)])
+def test_linear_fit_on_counted_rows_has_the_penalty_of_the_rows(spark, reg, net, scaled):
+    """Few kinds of very uneven numbers: weighted deviations are far from the rows'."""
+    rows = features.assemble(spark.range(900).select(
+        F.when(F.col("id") < 700, 0.0).when(F.col("id") < 850, 1.0).otherwise(9.0).alias("a"),
+        (F.col("id") % 2 * 1000).cast("double").alias("b"),
+        (F.col("id") % 5 < F.when(F.col("id") < 700, 1).otherwise(3)).cast("double").alias("indexedLabel")),
+        ["a", "b"])
+    learner = ex.learner_for("logistic", reg_param=reg, elastic_net=net, standardization=scaled, tol=1e-10,
+                             maxIter=500)
+    want = learner.fit(rows)
+    with counted.counted_rows(rows, ["features", "indexedLabel"]) as few:
+        assert few.count() == 12
+        got = counted.weighted(learner, few).fit(few)
+    assert list(got.coefficients) == pytest.approx(list(want.coefficients), rel=1e-4, abs=1e-9)
+    assert got.intercept == pytest.approx(want.intercept, rel=1e-4)
+    with counted.counted_rows(rows.limit(1), ["features", "indexedLabel"]) as one:
+        assert counted.same_penalty(learner, one) == {}
