@@ -232,12 +232,16 @@ def test_sweeps_share_one_table(kinds, monkeypatch):
     assert split == [1, 2] and len(indexed) == 1
 
 
-def test_whole_sweep_prepares_its_rows_once(spark, tmp_dir, monkeypatch):
+def _lineitem(spark, tmp_dir):
     (spark.range(400).select(
         F.col("id").alias("l_orderkey"), (F.col("id") % 7).alias("l_partkey"), F.lit(1).alias("l_suppkey"),
         (F.col("id") % 7 + 1).cast("int").alias("l_linenumber"),
         (F.col("id") % 3 / 100).alias("l_discount"), (F.col("id") % 2 / 100).alias("l_tax"))
      .write.parquet(f"{tmp_dir}/lineitem.parquet"))
+
+
+def test_whole_sweep_prepares_its_rows_once(spark, tmp_dir, monkeypatch):
+    _lineitem(spark, tmp_dir)
     indexed, fitted, fit_label_index, fit = [], [], features.fit_label_index, models.fit
     monkeypatch.setattr(features, "fit_label_index",
                         lambda *a, **kw: (indexed.append(a), fit_label_index(*a, **kw))[1])
@@ -247,6 +251,34 @@ def test_whole_sweep_prepares_its_rows_once(spark, tmp_dir, monkeypatch):
     assert len(indexed) == 1 and len(fitted) == len(C.SWEEP) * len(C.SWEEP_LEARNERS)
 
 
+def test_whole_sweep_is_that_of_the_rows(spark, tmp_dir, monkeypatch):
+    _lineitem(spark, tmp_dir)
+    monkeypatch.setattr(C, "SWEEP", (1, 2))
+    li = spark.read.parquet(f"{tmp_dir}/lineitem.parquet").withColumn("label", F.expr(C._noisy(C.RULE_LINEAR)))
+    base, want = ex.prepare(li, C.LI_FEATURES, "label", C.LI_KEYS), []
+    for name in C.SWEEP_LEARNERS:
+        for seed in C.SWEEP:
+            data = ex.sampling.hash_split(base.data.drop("split"), C.LI_KEYS, seed)
+            _, scored = ex.fit_and_score(base, ex.learner_for(name), data)
+            for r in ex.evaluate.accuracy(scored).collect():
+                want += [(name, seed, f"{r['split']}_accuracy", round(r["accuracy"], 8)),
+                         (name, seed, f"{r['split']}_rows", float(r["n_rows"]))]
+    seen, fit = [], models.fit
+    monkeypatch.setattr(models, "fit", lambda s, rows: (seen.append(rows.count()), fit(s, rows))[1])
+    got = C.q_seed_sweep_all(spark, tmp_dir).collect()
+    assert sorted((r["model"], r["seed"], r["metric"], round(r["value"], 8)) for r in got) == sorted(want)
+    assert len(seen) == 6 and max(seen) <= 84
+
+
+@pytest.mark.parametrize("kinds_of", [5, 400])
+def test_sweep_of_rows_without_a_feature_fails(spark, kinds_of):
+    rows = spark.range(400).select(
+        F.col("id").alias("k"), (F.col("id") % 2).alias("label"),
+        F.when(F.col("id") > 0, F.col("id") % kinds_of).cast("double").alias("a"))
+    with pytest.raises(Exception, match="handleInvalid|VectorAssembler"):
+        ex.seed_sweep(rows, ["a"], "label", ["k"], "logistic", (1,))
+
+
 def test_sweep_of_rows_that_differ_or_have_weights(spark, prep, kinds):
     some = spark.range(600).select(
         F.col("id").alias("k"), F.col("id").cast("double").alias("a"), (F.col("id") % 5 + 1).alias("b"),
